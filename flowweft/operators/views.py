@@ -34,8 +34,20 @@ def _merged_links(edges: DataFrame, first_by: list[str], carried: Iterable[str]
     )
 
 
+MAX_FAN = 1_000_000
+
+
+def _busy_helpers(hops: DataFrame, max_fan: int) -> tuple[DataFrame, int]:
+    """Helpers whose in-links times out-links exceed ``max_fan``."""
+    arriving = hops.filter("to_inner").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("into"))
+    leaving = hops.filter("from_inner").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
+    return write_table(
+        arriving.join(leaving, "id").filter(F.col("into").cast("double") * F.col("out") > max_fan).select("id")
+    )
+
+
 def visible_graph(
-    nodes: DataFrame, edges: DataFrame, compact: bool = True, hidden: Iterable[str] = ()
+    nodes: DataFrame, edges: DataFrame, compact: bool = True, hidden: Iterable[str] = (), max_fan: int = MAX_FAN
 ) -> tuple[DataFrame, DataFrame]:
     """Contract helper nodes: link visible nodes whose path runs through helpers only.
 
@@ -47,6 +59,11 @@ def visible_graph(
     Rounds extend states (origin, helper, kind, types) by edges that leave helpers,
     so the cost per round is the frontier, not the graph. Each state keeps its first
     hop's position, hence the label of the first path found is well defined.
+
+    Contracting a helper yields in-links x out-links pairs. A helper with more than
+    ``max_fan`` of them stays in the view as a junction (``role``): its links stand
+    for all those pairs with the same reachability, in linear space, and nothing is
+    dropped.
     """
     off = set(hidden)
     hidden_kinds = sorted(off & set(NODE_KINDS))
@@ -60,6 +77,19 @@ def visible_graph(
         .join(ends.select(F.col("id").alias("dst"), F.col("inner").alias("to_inner")), "dst")
     )
 
+    visible = visible.withColumn("role", F.lit(None).cast("string"))
+    if compact:
+        busy, found = _busy_helpers(hops, max_fan)
+        if found:
+            for end in ("src", "dst"):
+                flag = "from_inner" if end == "src" else "to_inner"
+                hops = hops.join(busy.select(F.col("id").alias(end), F.lit(True).alias("_busy")), end, "left").withColumn(
+                    flag, F.col(flag) & F.col("_busy").isNull()
+                ).drop("_busy")
+            hops = materialize(hops)
+            junctions = nodes.filter(shown_layer & inner).join(busy, "id", "left_semi")
+            visible = visible.unionByName(junctions.select(*nodes.columns, F.lit("junction").alias("role")))
+
     key = ["src", "dst", "kind", "types"]
     columns = [*key, "to_inner", "hops", "first", "label"]
     first = F.struct("first", "label")
@@ -110,7 +140,10 @@ def visible_graph(
     for layer in sorted(off & {"train", "belt"}):
         reached = reached.filter(edge_class() != layer)
     links = _merged_links(reached.withColumn("n", F.lit(1).cast("bigint")), ["hops", "first"])
-    return visible, links.select(link_id().alias("id"), "src", "dst", "kind", "label", "types", F.col("first").alias("seq"))
+    # Written: every further step of a view reads the links several times.
+    return visible, materialize(
+        links.select(link_id().alias("id"), "src", "dst", "kind", "label", "types", F.col("first").alias("seq"))
+    )
 
 
 def link_id() -> Column:
@@ -149,6 +182,7 @@ def fold_portals(
     all_nodes: DataFrame, functions: DataFrame, nodes: DataFrame, links: DataFrame, fn: str
 ) -> tuple[DataFrame, DataFrame]:
     """Every other function of a focused view becomes one node; its links move there and merge."""
+    nodes, links = materialize(nodes), materialize(links)
     other = nodes.filter(F.col("function") != fn)
     portal_id = F.concat(F.lit("portal:"), F.col("function"))
     names = functions.select(F.col("id").alias("function"), "name")
@@ -173,7 +207,9 @@ def fold_portals(
         .filter(F.col("src") != F.col("dst"))
     )
     merged = _merged_links(moved, ["seq", "id"])
-    return own.unionByName(portals), merged.select("id", "src", "dst", "kind", "label", "types", "seq", "n")
+    return materialize(own.unionByName(portals)), materialize(
+        merged.select("id", "src", "dst", "kind", "label", "types", "seq", "n")
+    )
 
 
 def number_operations(nodes: DataFrame, fn: str) -> DataFrame:
@@ -229,7 +265,7 @@ def section_view(nodes: DataFrame, links: DataFrame, fn: str, part: int = 0) ->
     here = numbered.filter(F.col("section") == part)
     # At most SECTION_SIZE ids, so the broadcast is bounded.
     chosen = F.broadcast(here.select("id"))
-    touching = (
+    touching = materialize(
         links.join(chosen.select(F.col("id").alias("src"), F.lit(True).alias("src_in")), "src", "left")
         .join(chosen.select(F.col("id").alias("dst"), F.lit(True).alias("dst_in")), "dst", "left")
         .filter(F.col("src_in") | F.col("dst_in"))

@@ -8,6 +8,7 @@ from ..operators import aggregate as A
 from ..operators import closure as C
 from ..operators import selection as P
 from ..operators import views as V
+from ..runtime import materialize
 from . import graphs as G
 from .registry import query
 
@@ -94,7 +95,7 @@ folded AS (
 
 
 def _folded(spark, d):
-    nodes, functions = G.trade_nodes(spark, d), G.trade_functions(spark, d)
+    nodes, functions = materialize(G.trade_nodes(spark, d)), G.trade_functions(spark, d)
     shown, links = P.focus_function(*V.visible_graph(nodes, G.trade_edges(spark, d)), FN)
     return V.fold_portals(nodes, functions, shown, links, FN)
 
