@@ -41,7 +41,7 @@ def value_names(debug_refs: DataFrame, params: DataFrame | None = None) -> DataF
 def instruction_order(instructions: DataFrame) -> DataFrame:
     """Running 0-based order per function in (block, pos); jumps, deferred runs and debug marks skipped."""
     kept = instructions.filter(~F.col("op").isin(*SKIPPED_OPS))
-    numbered = number_rows(kept, ["function"], [F.col("block"), F.col("pos")])
+    numbered = number_rows(kept, ["function"], [F.col("block"), F.col("pos"), F.col("instr_id")])
     return numbered.withColumn("ord", F.col("rn") - 1).drop("rn")
 
 
