@@ -64,25 +64,22 @@ def function_counts(nodes: DataFrame, functions: DataFrame) -> DataFrame:
 
 def graph_summary(projects: DataFrame, functions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of totals: each table is reduced to one row before they meet."""
-    def total(df: DataFrame, **measures: Column) -> DataFrame:
-        return df.agg(*[c.alias(n) for n, c in measures.items()]).withColumn("k", F.lit(0))
-
     rows = F.count(F.lit(1))
-    return (
-        total(projects, projects=rows)
-        .join(total(functions, functions=rows), "k")
-        .join(
-            total(
-                nodes,
-                nodes=rows,
-                warehouses=F.count_if(F.col("kind") == "warehouse"),
-                rockets=F.count_if(F.col("kind") == "rocket"),
-            ),
-            "k",
-        )
-        .join(total(edges, edges=rows, trains=F.count_if(F.col("kind") == "train")), "k")
-        .drop("k")
-    )
+    totals = [
+        projects.agg(rows.alias("projects")),
+        functions.agg(rows.alias("functions")),
+        nodes.agg(
+            rows.alias("nodes"),
+            F.count_if(F.col("kind") == "warehouse").alias("warehouses"),
+            F.count_if(F.col("kind") == "rocket").alias("rockets"),
+        ),
+        edges.agg(rows.alias("edges"), F.count_if(F.col("kind") == "train").alias("trains")),
+    ]
+    # Four rows that fill different columns: their maximum is one row with all.
+    merged = totals[0]
+    for part in totals[1:]:
+        merged = merged.unionByName(part, allowMissingColumns=True)
+    return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
 
 
 def package_nodes(functions: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..runtime import materialize, write_table
 _COMPACT_EVERY = 8
 
 
-def _grow(adjacency: DataFrame, seeds: DataFrame, key: list[str], max_rounds: int | None) -> DataFrame:
+def grow(adjacency: DataFrame, seeds: DataFrame, key: list[str], max_rounds: int | None) -> DataFrame:
     """Fixpoint of following ``adjacency`` (key at ``a`` -> ``b``) from ``seeds`` (key, at, level)."""
     first, found = write_table(seeds)
     rounds, frontier, level = [first], first, 0
@@ -55,7 +55,7 @@ def trace(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) ->
     start = seeds.select("id").distinct().select(
         F.explode(F.array(F.lit("down"), F.lit("up"))).alias("dir"), F.col("id").alias("at"), F.lit(0).alias("level")
     )
-    return _grow(adjacency, start, ["dir"], max_rounds).select(F.col("at").alias("id")).distinct()
+    return grow(adjacency, start, ["dir"], max_rounds).select(F.col("at").alias("id")).distinct()
 
 
 def bfs_levels(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def bfs_levels(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None
     ))
     adjacency = materialize(edges.select(ends.alias("e")).select("e.*").distinct())
     start = seeds.select(F.col("id").alias("at")).distinct().withColumn("level", F.lit(0))
-    return _grow(adjacency, start, [], max_rounds).select(F.col("at").alias("id"), "level")
+    return grow(adjacency, start, [], max_rounds).select(F.col("at").alias("id"), "level")
 
 
 def component_roots(pairs: DataFrame) -> DataFrame:

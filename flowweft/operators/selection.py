@@ -94,10 +94,8 @@ def default_view(functions: DataFrame, nodes: DataFrame) -> DataFrame:
         F.min_by("id", F.struct(rank, "seq")).alias("entry")
     )
     size = nodes.agg(F.count(F.lit(1)).alias("n"))
-    # Two one-row aggregates side by side.
-    return entry.withColumn("k", F.lit(0)).join(size.withColumn("k", F.lit(0)), "k").select(
-        F.when(F.col("n") <= LARGE_GRAPH_NODES, F.coalesce("entry", F.lit(""))).otherwise("").alias("fn")
-    )
+    both = entry.unionByName(size, allowMissingColumns=True).agg(F.max("entry").alias("entry"), F.max("n").alias("n"))
+    return both.select(F.when(F.col("n") <= LARGE_GRAPH_NODES, F.coalesce("entry", F.lit(""))).otherwise("").alias("fn"))
 
 
 def normalize_view(options: DataFrame) -> DataFrame:

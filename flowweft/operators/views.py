@@ -21,6 +21,7 @@ from ..schema import (
     SECTION_THRESHOLD,
 )
 from .aggregate import edge_types, package_overview, union_types
+from .closure import grow
 from .selection import edge_class, focus_function, function_catalog, induced, search_nodes
 
 
@@ -46,8 +47,26 @@ def _busy_helpers(hops: DataFrame, max_fan: int) -> tuple[DataFrame, int]:
     )
 
 
+def _near(hops: DataFrame) -> DataFrame:
+    """Nodes of the focused function with links, and all that they meet through helpers."""
+    both = F.explode(F.array(
+        F.struct(F.lit("down").alias("dir"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("from_inner").alias("inner"), F.col("from_own").alias("own")),
+        F.struct(F.lit("up").alias("dir"), F.col("dst").alias("a"), F.col("src").alias("b"), F.col("to_inner").alias("inner"), F.col("to_own").alias("own")),
+    ))
+    ways = hops.select(both.alias("e")).select("e.*")
+    first = ways.filter("own AND NOT inner")
+    start = first.select("dir", F.col("b").alias("at")).distinct().withColumn("level", F.lit(0))
+    met = grow(ways.filter("inner").select("dir", "a", "b").distinct(), start, ["dir"], None)
+    return materialize(met.select(F.col("at").alias("id")).unionByName(first.select(F.col("a").alias("id"))).distinct())
+
+
 def visible_graph(
-    nodes: DataFrame, edges: DataFrame, compact: bool = True, hidden: Iterable[str] = (), max_fan: int = MAX_FAN
+    nodes: DataFrame,
+    edges: DataFrame,
+    compact: bool = True,
+    hidden: Iterable[str] = (),
+    max_fan: int = MAX_FAN,
+    around: str = "",
 ) -> tuple[DataFrame, DataFrame]:
     """Contract helper nodes: link visible nodes whose path runs through helpers only.
 
@@ -64,17 +83,20 @@ def visible_graph(
     ``max_fan`` of them stays in the view as a junction (``role``): its links stand
     for all those pairs with the same reachability, in linear space, and nothing is
     dropped.
+
+    ``around`` names a function a caller is going to focus on: links are then followed
+    only among its nodes and what they reach through helpers, in either direction.
     """
     off = set(hidden)
     hidden_kinds = sorted(off & set(NODE_KINDS))
     shown_layer = ~F.col("kind").isin(hidden_kinds) if hidden_kinds else F.lit(True)
     inner = F.col("helper") if compact else F.lit(False)
     visible = nodes.filter(shown_layer & ~inner)
-    ends = nodes.filter(shown_layer).select("id", inner.alias("inner"))
+    ends = nodes.filter(shown_layer).select("id", inner.alias("inner"), "function")
     hops = materialize(
         edges.select("src", "dst", "kind", "label", "seq", edge_types().alias("types"))
-        .join(ends.select(F.col("id").alias("src"), F.col("inner").alias("from_inner")), "src")
-        .join(ends.select(F.col("id").alias("dst"), F.col("inner").alias("to_inner")), "dst")
+        .join(ends.select(F.col("id").alias("src"), F.col("inner").alias("from_inner"), (F.col("function") == around).alias("from_own")), "src")
+        .join(ends.select(F.col("id").alias("dst"), F.col("inner").alias("to_inner"), (F.col("function") == around).alias("to_own")), "dst")
     )
 
     visible = visible.withColumn("role", F.lit(None).cast("string"))
@@ -90,6 +112,16 @@ def visible_graph(
             junctions = nodes.filter(shown_layer & inner).join(busy, "id", "left_semi")
             visible = visible.unionByName(junctions.select(*nodes.columns, F.lit("junction").alias("role")))
 
+    near = None
+    if around:
+        near = _near(hops)
+        visible = visible.filter(F.col("function") == around).unionByName(
+            visible.filter(F.col("function") != around).join(near, "id", "left_semi")
+        )
+
+    def among(df: DataFrame, end: str) -> DataFrame:
+        return df if near is None else df.join(near.withColumnRenamed("id", end), end, "left_semi")
+
     key = ["src", "dst", "kind", "types"]
     columns = [*key, "to_inner", "hops", "first", "label"]
     first = F.struct("first", "label")
@@ -101,7 +133,7 @@ def visible_graph(
         )
 
     start = once(
-        hops.filter(~F.col("from_inner") & (F.col("src") != F.col("dst"))).select(
+        among(hops.filter(~F.col("from_inner") & (F.col("src") != F.col("dst"))), "src").select(
             *key, "to_inner", F.lit(1).alias("hops"), F.col("seq").alias("first"), "label"
         )
     ).select(*columns)
@@ -136,7 +168,7 @@ def visible_graph(
                 rounds = [materialize(reduce(DataFrame.unionByName, rounds))]
         states = reduce(DataFrame.unionByName, rounds)
 
-    reached = states.filter(~F.col("to_inner"))
+    reached = among(states.filter(~F.col("to_inner")), "dst")
     for layer in sorted(off & {"train", "belt"}):
         reached = reached.filter(edge_class() != layer)
     links = _merged_links(reached.withColumn("n", F.lit(1).cast("bigint")), ["hops", "first"])
@@ -350,7 +382,7 @@ def project_view(functions: DataFrame, nodes: DataFrame, edges: DataFrame, optio
             return View("catalog", function_catalog(functions, nodes, options.pkg, options.query))
         packages, flows = package_overview(functions, nodes, edges, options.hidden)
         return View("packages", packages, flows)
-    shown, links = visible_graph(nodes, edges, options.compact, options.hidden)
+    shown, links = visible_graph(nodes, edges, options.compact, options.hidden, around=options.fn)
     if options.fn:
         shown, links = focus_function(shown, links, options.fn)
     if options.query.strip():

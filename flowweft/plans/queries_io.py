@@ -124,7 +124,7 @@ def _snapshot_path(spark, d):
         F.when(k % 17 == 0, 3.0).otherwise(2.0).alias("speed"),
     )
     docs = _documents(spark, d).select(
-        F.concat(F.lit("﻿"), F.when(k % 3 == 0, F.to_json("graph")).otherwise(F.to_json(whole))).alias("value")
+        F.concat(F.lit("\ufeff"), F.when(k % 3 == 0, F.to_json("graph")).otherwise(F.to_json(whole))).alias("value")
     )
     docs.write.text(path)
     return path
@@ -225,21 +225,22 @@ def _(spark, d):
     files = spark.range(0).select(F.lit("").alias("file_id"), F.lit("").alias("path"))
     C.export_csv(G.trade_nodes(spark, d), G.trade_edges(spark, d), files, path, scope="project")
     back = spark.read.text(path, lineSep="\r\n")
-    return back.select(F.regexp_replace("value", "^﻿", "").alias("line"))
+    return back.select(F.regexp_replace("value", "^\uFEFF", "").alias("line"))
 
 
 # --- source files ---------------------------------------------------------------------------------
 
 @query("module_manifest", """
-SELECT DISTINCT '/src/' || lang || '/' || source AS path, 'example.com/' || lang || '/' || source AS module, '1.' || (SELECT max(substr(source, 4)::INT) + 5 FROM documents) || '.0' AS version
-FROM documents""")
+SELECT DISTINCT '/src/' || lang || '/' || source AS path, 'example.com/' || lang || '/' || source AS module FROM documents
+UNION ALL SELECT 'version', greatest('1.' || max(substr(source, 4)::INT) + 5 || '.0', '1.18.0') FROM documents""")
 def _(spark, d):
     manifest = F.concat(
         F.lit("// root\nmodule example.com/"), "lang", F.lit("/"), "source", F.lit("\n\ngo 1."), F.substring("source", 4, 9).cast("int") + 5, F.lit("\n")
     )
     files = G.table(spark, d, "documents").select(F.concat_ws("/", F.lit("/src"), "lang", "source").alias("path"), manifest.alias("content"))
     modules, top = X.module_manifest(files)
-    return modules.crossJoin(F.broadcast(top)).select("path", "module", F.concat_ws(".", "major", "minor", "patch").alias("version"))
+    version = top.select(F.lit("version").alias("path"), F.concat_ws(".", "major", "minor", "patch").alias("module"))
+    return modules.unionByName(version)
 
 
 @query("read_sources", "SELECT lang, source, (sum(length(text)) + count(*))::BIGINT AS chars FROM documents GROUP BY lang, source")
@@ -303,13 +304,14 @@ def _(spark, d):
 
 
 @query("inspect_node", G.with_trade("""
-SELECT n.id, n.kind, f.name AS function_name, e.id AS edge, CASE WHEN e.dst = n.id THEN 'in' ELSE 'out' END AS direction
-FROM nodes n JOIN functions f ON f.id = n.function JOIN edges e ON n.id IN (e.src, e.dst) WHERE n.id = 'p42'"""))
+SELECT n.id, n.kind, f.name AS about FROM nodes n JOIN functions f ON f.id = n.function WHERE n.id = 'p42'
+UNION ALL SELECT id, kind, CASE WHEN dst = 'p42' THEN 'in' ELSE 'out' END FROM edges WHERE 'p42' IN (src, dst)"""))
 def _(spark, d):
     files = spark.range(0).select(F.lit("").alias("file_id"), F.lit("").alias("path"))
     node, links = I.inspect_node(G.trade_nodes(spark, d), G.trade_edges(spark, d), G.trade_functions(spark, d), files, "p42")
-    # One node row beside its links.
-    return links.select(F.col("id").alias("edge"), "direction").crossJoin(F.broadcast(node.select("id", "kind", "function_name")))
+    return node.select("id", "kind", F.col("function_name").alias("about")).unionByName(
+        links.select("id", "kind", F.col("direction").alias("about"))
+    )
 
 
 @query("validate_graph", G.with_trade("""

@@ -62,3 +62,10 @@ def write_table(df: DataFrame) -> tuple[DataFrame, int]:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by a written table."""
     return write_table(df)[0]
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete the cut tables of this session. DataFrames built on them stop working."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(checkpoint_root(spark))
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
