@@ -83,13 +83,12 @@ def return_edges(calls: DataFrame, returns: DataFrame) -> DataFrame:
 
 def return_aliases(calls: DataFrame, returns: DataFrame, extracts: DataFrame) -> DataFrame:
     """Return value i = call result (one result) or its extract i (several)."""
-    counted = returns.groupBy("function", "instr_id").agg(
-        F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("idx", "value_id")).alias("results")
+    width = returns.groupBy("function", "instr_id").agg(F.count(F.lit(1)).alias("n"))
+    results = returns.join(width, ["function", "instr_id"]).select(
+        F.col("function").alias("callee"), "n", "idx", F.col("value_id").alias("returned")
     )
     waiting = calls.filter(F.col("mode") == "call").select(F.col("instr_id").alias("call"), "callee", F.col("value_id").alias("result"))
-    matched = waiting.join(
-        counted.select(F.col("function").alias("callee"), "n", F.inline("results").alias("idx", "returned")), "callee"
-    )
+    matched = waiting.join(results, "callee")
     single = matched.filter("n = 1").select(F.col("returned").alias("value_a"), F.col("result").alias("value_b"))
     several = matched.filter("n > 1").join(
         extracts.select(F.col("instr_id").alias("call"), "idx", F.col("value_id").alias("part")), ["call", "idx"]

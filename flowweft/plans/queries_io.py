@@ -314,14 +314,18 @@ def _(spark, d):
     )
 
 
-@query("validate_graph", G.with_trade("""
-bad AS (SELECT id, CASE WHEN type = 'PROMO' THEN 'mystery' ELSE kind END AS kind, CASE WHEN kind = 'warehouse' THEN 'gone' ELSE function END AS function FROM nodes WHERE NOT (kind = 'station' AND helper))
+BROKEN_SQL = """
+bad AS (SELECT id, CASE WHEN type = 'PROMO' THEN 'mystery' ELSE kind END AS kind, CASE WHEN kind = 'warehouse' THEN 'gone' ELSE function END AS function FROM nodes WHERE NOT (kind = 'station' AND helper)),
+found AS (
 SELECT 'kind' AS rule, 'nodes' AS "table", id AS key FROM bad WHERE kind = 'mystery'
 UNION ALL SELECT 'function', 'nodes', id FROM bad WHERE function = 'gone'
 UNION ALL SELECT 'repeated_id', 'edges', id FROM raw_edges GROUP BY id HAVING count(*) > 1
 UNION ALL SELECT 'src', 'edges', id FROM raw_edges WHERE src NOT IN (SELECT id FROM bad)
-UNION ALL SELECT 'dst', 'edges', id FROM raw_edges WHERE dst NOT IN (SELECT id FROM bad)"""))
-def _(spark, d):
+UNION ALL SELECT 'dst', 'edges', id FROM raw_edges WHERE dst NOT IN (SELECT id FROM bad))
+"""
+
+
+def _violations(spark, d):
     nodes = G.trade_nodes(spark, d).filter("NOT (kind = 'station' AND helper)").withColumns({
         "function": F.when(F.col("kind") == "warehouse", "gone").otherwise(F.col("function")),
         "kind": F.when(F.col("type") == "PROMO", "mystery").otherwise(F.col("kind")),
@@ -329,6 +333,16 @@ def _(spark, d):
     return V.validate_graph({"nodes": nodes, "edges": G.trade_raw_edges(spark, d), "functions": G.trade_functions(spark, d)}).drop("message")
 
 
+@query("validate_graph", G.with_trade(BROKEN_SQL + 'SELECT rule, "table", key FROM found'))
+def _(spark, d):
+    return _violations(spark, d)
+
+
+@query("capped_violations", G.with_trade(BROKEN_SQL + 'SELECT rule, "table", key FROM found ORDER BY rule, "table", key LIMIT 15'))
+def _(spark, d):
+    return V.capped_violations(_violations(spark, d))
+
+
 # --- column functions -------------------------------------------------------------------------------
 
 TYPE_FORMS = [
