@@ -1,10 +1,13 @@
-"""Row numbers, neighbours and running sums that survive a hot group.
+"""Row numbers, neighbours and running sums for groups of any size.
 
-A plain window sorts each group in one task. That is the right plan while every
-group is small, which one pre-aggregated count decides. Past ``hot_rows`` rows in
-one group the same result comes from a range shuffle: ranges split a group over
-many tasks, and only per-range totals (at most one row per group and range) are
-summed up.
+Rows are range-partitioned by (group, order): a large group fills many ranges, a
+small one shares its range with others. Inside a range a window does the work;
+between ranges only one row per (group, range) is summed up or handed on. The
+plan is the same whatever the size of a group. ``order`` should be total: rows
+that are equal in group and order cannot be told apart and stay in one range.
+
+Every function writes the ranged rows once (the ranges come from a sample), so
+it starts a job when it is called.
 """
 
 from __future__ import annotations
@@ -17,108 +20,79 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
-HOT_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group; counts combine map-side, so skew does not matter."""
-    if not group:
-        return df.count()
-    top = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return top or 0
+_OWN = ("_pos", "_slice")
 
 
 def _by_slices(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Sorted rows with ``_slice`` (range number) and ``_pos`` (position, rising in order)."""
     keys = [F.col(g) for g in group]
     ranges = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    # Written once: the ranges are sampled, so a second evaluation could cut them elsewhere.
     rows = materialize(ranges.withColumn("_pos", F.monotonically_increasing_id()))
     return rows.withColumn("_slice", F.shiftright("_pos", 33))
 
 
-def _add_slice_totals(rows: DataFrame, group: Sequence[str], totals: dict[str, Column]) -> DataFrame:
-    """Join to each row the totals of its group's earlier slices, as ``_before_<name>``."""
-    parts = rows.groupBy(*group, "_slice").agg(
-        F.min("_pos").alias("_first"), *[c.alias(f"_sum_{n}") for n, c in totals.items()]
-    )
-    w = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    before = parts.select(
+def _per_slice(rows: DataFrame, group: Sequence[str], carried: dict[str, Column], handed: dict[str, Column]) -> DataFrame:
+    """Join to each row what its group's other slices hand on.
+
+    ``carried`` aggregates a slice; ``handed`` are window expressions over the
+    slices of one group, in order.
+    """
+    parts = rows.groupBy(*group, "_slice").agg(*[c.alias(n) for n, c in carried.items()])
+    given = parts.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
         F.col("_slice").alias("_s"),
-        "_first",
-        *[F.coalesce(F.sum(f"_sum_{n}").over(w), F.lit(0)).alias(f"_before_{n}") for n in totals],
+        *[c.alias(n) for n, c in handed.items()],
     )
-    on = rows["_slice"] == before["_s"]
+    on = rows["_slice"] == given["_s"]
     for i, g in enumerate(group):
-        on = on & rows[g].eqNullSafe(before[f"_g{i}"])
-    return rows.join(before, on).drop("_s", *[f"_g{i}" for i in range(len(group))])
-
-
-def number_rows(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    name: str = "rn",
-    hot_rows: int = HOT_ROWS,
-    largest: int | None = None,
-) -> DataFrame:
+        on = on & rows[g].eqNullSafe(given[f"_g{i}"])
+    return rows.join(given, on).drop("_s", *[f"_g{i}" for i in range(len(group))])
+
+
+def _earlier(group: Sequence[str]):
+    return W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+
+
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
     """1-based position of each row within its group (or the whole table)."""
-    if (largest_group(df, group) if largest is None else largest) <= hot_rows:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("bigint"))
-    rows = _add_slice_totals(_by_slices(df, group, order), group, {"n": F.count(F.lit(1))})
-    return rows.withColumn(name, F.col("_pos") - F.col("_first") + F.col("_before_n") + 1).drop(
-        "_pos", "_slice", "_first", "_before_n"
+    before = F.coalesce(F.sum("_n").over(_earlier(group)), F.lit(0))
+    rows = _per_slice(
+        _by_slices(df, group, order), group, {"_first": F.min("_pos"), "_n": F.count(F.lit(1))},
+        {"_shift": before - F.col("_first") + 1},
     )
+    return rows.withColumn(name, F.col("_pos") + F.col("_shift")).drop(*_OWN, "_shift")
 
 
-def with_previous(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    columns: dict[str, str],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def with_previous(df: DataFrame, group: Sequence[str], order: Sequence[Column], columns: dict[str, str]) -> DataFrame:
     """Add the preceding row's values: ``columns`` maps a column to its new name."""
-    return _neighbour(df, group, order, columns, 1, hot_rows)
+    return _neighbour(df, group, order, columns, 1)
 
 
-def with_next(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    columns: dict[str, str],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def with_next(df: DataFrame, group: Sequence[str], order: Sequence[Column], columns: dict[str, str]) -> DataFrame:
     """Add the following row's values: ``columns`` maps a column to its new name."""
-    return _neighbour(df, group, order, columns, -1, hot_rows)
-
-
-def _neighbour(df, group, order, columns, offset, hot_rows):
-    largest = largest_group(df, group)
-    if largest <= hot_rows:
-        w = W.partitionBy(*group).orderBy(*order)
-        return df.withColumns({new: F.lag(c, offset).over(w) for c, new in columns.items()})
-    rows = materialize(number_rows(df, group, order, "_rn", hot_rows, largest))
-    # (group, position) spreads a hot group evenly, so the join has no hot key.
-    other = rows.select(
-        *group, (F.col("_rn") + offset).alias("_rn"), *[F.col(c).alias(new) for c, new in columns.items()]
+    return _neighbour(df, group, order, columns, -1)
+
+
+def _neighbour(df, group, order, columns, offset):
+    values = F.struct(*[F.col(c).alias(new) for c, new in columns.items()])
+    edge = F.max_by("_values", "_pos") if offset > 0 else F.min_by("_values", "_pos")
+    over = W.partitionBy(*group).orderBy("_slice")
+    rows = _per_slice(
+        _by_slices(df, group, order).withColumn("_values", values), group, {"_edge": edge},
+        {"_beyond": F.lag("_edge", offset).over(over)},
+    )
+    here = F.lag("_values", offset).over(W.partitionBy(*group, "_slice").orderBy("_pos"))
+    near = rows.withColumn("_near", F.coalesce(here, F.col("_beyond")))
+    return near.withColumns({new: F.col("_near")[new] for new in columns.values()}).drop(
+        *_OWN, "_values", "_beyond", "_near"
     )
-    return rows.join(other, [*group, "_rn"], "left").drop("_rn")
 
 
-def running_sum(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    value: str,
-    name: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
     """Sum of ``value`` up to and including each row of its group."""
-    if largest_group(df, group) <= hot_rows:
-        w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumn(name, F.sum(value).over(w))
-    rows = _add_slice_totals(_by_slices(df, group, order), group, {"v": F.sum(value)})
+    rows = _per_slice(
+        _by_slices(df, group, order), group, {"_sum": F.sum(value)},
+        {"_before": F.coalesce(F.sum("_sum").over(_earlier(group)), F.lit(0))},
+    )
     w = W.partitionBy(*group, "_slice").orderBy("_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn(name, F.col("_before_v") + F.sum(value).over(w)).drop("_pos", "_slice", "_first", "_before_v")
+    return rows.withColumn(name, F.col("_before") + F.sum(value).over(w)).drop(*_OWN, "_before")

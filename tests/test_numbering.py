@@ -23,18 +23,16 @@ def test_hot_groups_give_the_same_numbers(spark):
     rows, df = _data(spark)
     want = {(g, t): (i + 1, sum(v for _, v in items[: i + 1]), items[i - 1][0] if i else None, items[i + 1][0] if i + 1 < len(items) else None)
             for g, items in _by_group(rows).items() for i, (t, _) in enumerate(items)}
-    for hot in (10, 1_000_000):
-        order = [F.col("t")]
-        rn = {(r.g, r.t): r.rn for r in number_rows(df, ["g"], order, hot_rows=hot).collect()}
-        total = {(r.g, r.t): r.s for r in running_sum(df, ["g"], order, "v", "s", hot_rows=hot).collect()}
-        before = {(r.g, r.t): r.p for r in with_previous(df, ["g"], order, {"t": "p"}, hot_rows=hot).collect()}
-        after = {(r.g, r.t): r.n for r in with_next(df, ["g"], order, {"t": "n"}, hot_rows=hot).collect()}
-        assert {k: (rn[k], total[k], before[k], after[k]) for k in want} == want
-        assert len(rn) == len(rows)
+    order = [F.col("t")]
+    rn = {(r.g, r.t): r.rn for r in number_rows(df, ["g"], order).collect()}
+    total = {(r.g, r.t): r.s for r in running_sum(df, ["g"], order, "v", "s").collect()}
+    before = {(r.g, r.t): r.p for r in with_previous(df, ["g"], order, {"t": "p"}).collect()}
+    after = {(r.g, r.t): r.n for r in with_next(df, ["g"], order, {"t": "n"}).collect()}
+    assert {k: (rn[k], total[k], before[k], after[k]) for k in want} == want
+    assert len(rn) == len(rows)
 
 
 def test_whole_table_numbers(spark):
     rows, df = _data(spark)
-    for hot in (10, 1_000_000):
-        got = [r.t for r in number_rows(df, [], [F.col("t")], hot_rows=hot).orderBy("rn").collect()]
-        assert got == sorted(t for _, t, _ in rows)
+    got = [r.t for r in number_rows(df, [], [F.col("t")]).orderBy("rn").collect()]
+    assert got == sorted(t for _, t, _ in rows)
