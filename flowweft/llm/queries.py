@@ -7,8 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import label_shards, source_mix, token_files, vector_packing
-from .common import prepare, table
+from . import (
+    cosine_cells,
+    fuzzy_lexicon,
+    label_shards,
+    rank_profiles,
+    source_mix,
+    span_privacy,
+    token_files,
+    vector_packing,
+    vp_trees,
+)
+from .common import part_of, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,11 +46,44 @@ def op2(spark, d):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_cosine_cells")
+def op3(spark, d):
+    return cosine_cells.near_vectors(table(spark, d, "embeddings"), least=0.95)
+
+
+@query("op4_rank_profiles")
+def op4(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = part_of("doc_id", 3) == 1
+    profiles = rank_profiles.learn_profiles(docs.filter(~held_out).select("text", "lang"))
+    found = rank_profiles.predict_language(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op5_label_shards")
 def op5(spark, d):
     return label_shards.shard_documents(table(spark, d, "documents"), shards=24)
 
 
+@query("op6_span_privacy")
+def op6(spark, d):
+    return span_privacy.find_private(table(spark, d, "documents"))
+
+
+@query("op7_vp_trees")
+def op7(spark, d):
+    return vp_trees.nearest(table(spark, d, "embeddings"), every=50, k=5)
+
+
+@query("op8_fuzzy_lexicon")
+def op8(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held_out = part_of("doc_id", 5) == 0
+    model = fuzzy_lexicon.learn(docs.filter(~held_out), table(spark, d, "labels"))
+    found = fuzzy_lexicon.predict_toxicity(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op10_vector_packing")
 def op10(spark, d):
     return vector_packing.pack_documents(
