@@ -29,3 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
 def part_of(column: str, parts: int):
     """crc32 of an id's text, modulo ``parts``."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))
+
+
+def row_keys(*columns: str) -> list:
+    """Two hashes, k1 and k2, that stand for a row's id, text and further columns."""
+    return [
+        F.xxhash64("doc_id", "text", *columns).alias("k1"), F.xxhash64(F.lit(1), *columns, F.col("text"), F.col("doc_id")).alias("k2")
+    ]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     cosine_cells,
+    dart_minhash,
     fuzzy_lexicon,
     label_shards,
     rank_profiles,
@@ -84,6 +85,12 @@ def op8(spark, d):
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op9_dart_minhash")
+def op9(spark, d):
+    found = dart_minhash.near_duplicates(table(spark, d, "documents"), least=0.8)
+    return found.select("doc_id", "class_id", "kept")
+
+
 @query("op10_vector_packing")
 def op10(spark, d):
     return vector_packing.pack_documents(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import running_sum
 from ..runtime import materialize
+from .common import row_keys
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -116,6 +117,20 @@ def mix_sources(
     )
 
 
+def draw_mix(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every document as often as ``mix_sources`` says, columns unchanged.
+
+    Only ids, sources, sizes and row hashes go through the ranking; texts move once, to meet their copies.
+    """
+    hashed = docs.select("*", *row_keys("source"))
+    copies = mix_sources(hashed, keep=["k1", "k2"], **options).groupBy("k1", "k2").agg(F.sum("copies").alias("_copies"))
+    each = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    return (
+        hashed.join(copies.filter("_copies > 0"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        .withColumn("_copy", each).select(*docs.columns)
+    )
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
