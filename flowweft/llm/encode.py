@@ -1,59 +1,124 @@
-"""Exact token ids of whole texts with a word cache per Python worker."""
+"""Exact token ids of whole texts with a cache of pieces per Python worker."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Sequence
 
 import numpy as np
 from tokenizers import Tokenizer
 
-# A piece is a run of spaces and line feeds with the run of other characters after it. Pre-tokenizers whose patterns
-# look at white space only to start a token or to end a run of white space give the same tokens piece by piece.
+# A text may be cut before white space where the character before is none: pre-tokenizers whose patterns look at white
+# space only to start a token or to end a run of white space give the same tokens piece by piece. Only spaces and line
+# feeds are cut at; texts with other white space are encoded in one go.
+_OTHER_SPACE = ["\u180e", *[c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]]
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-# White space of another kind could join a piece's end to the next piece: such texts are encoded in one go.
-_OTHER_SPACE = re.compile("[^\\S \\n]|\u180e")
-_LOADED: dict[str, PieceEncoder] = {}
+# Full stops and commas after a letter or digit start a token of their own, so a text may be cut there too, if all
+# its stops and commas stand so (after letters that stay letters in lower case).
+_LOOSE_STOP = re.compile("(?:^|[^0-9A-Za-zÀ-ÖØ-öø-įı-ſΑ-ΡΣ-Ωα-ωА-Яа-яё])[.,]")
+_FENCE = "\ue000"  # stands between new pieces that are encoded together
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece; ``remember`` bounds the pieces kept (then the cache starts anew)."""
+    """Encodes texts piece by piece. Up to ``remember`` pieces are kept, and as many of the time before."""
 
-    def __init__(self, path: str, remember: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, remember: int = 300_000, longest: int = 64, together: int = 512):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.remember, self.longest = remember, longest
+        self.remember, self.longest, self.together = remember, longest, together
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.fence = np.frombuffer(self._raw("\n" + _FENCE), "<u4")
+        # Where the vocabulary marks the start or the end of a word, words need no fences between them.
+        words = [self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary)]
+        self.starts = np.array([w.startswith("\u0120") for w in words])
+        self.ends = np.array([w.endswith("</w>") for w in words])
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def _raw(self, texts: Sequence[str]) -> list[bytes]:
-        return [
-            np.asarray(e.ids, "<u4").tobytes()
-            for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
+    def _raw(self, text: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return array("I", ids).tobytes()
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """Keys of a text's pieces: a piece after one space is keyed without it, one that starts with a line feed, full
+        stop or comma as it is, any other after a carriage return.
+        """
+        if any(map(text.__contains__, _OTHER_SPACE)):
+            return None
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or " ." in text or " ," in text or text[0] in " \n.," or text[-1] in " \n":
+            return ["\r" + p for p in _PIECE.findall(text)]
+        if _LOOSE_STOP.search(text):
+            keys = text.replace("\n", " \n").split(" ")
+        else:
+            keys = text.replace("\n", " \n").replace(".", " .").replace(",", " ,").split(" ")
+        keys[0] = "\r" + keys[0]
+        return keys
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces, many in one call where fences can stand between them."""
+        found = {}
+        words = [k for k in new if k.isalpha()]
+        for at in range(0, len(words), self.together):
+            group = words[at:at + self.together]
+            raw = self._raw(" " + " ".join(group))
+            ids = np.frombuffer(raw, "<u4")
+            first = np.flatnonzero(self.starts[ids])
+            if len(first) != len(group):
+                first = np.concatenate([[0], np.flatnonzero(self.ends[ids])[:-1] + 1])
+                if len(first) != len(group) or not self.ends[ids[-1]]:
+                    continue  # the fences below
+            cuts = [*first.tolist(), len(ids)]
+            found.update((k, raw[4 * a:4 * b]) for k, a, b in zip(group, cuts, cuts[1:], strict=False))
+        fenced = []
+        for key in new:
+            if key in found:
+                continue
+            piece = key[1:] if key[0] == "\r" else key if key[0] in "\n.," else " " + key
+            if piece[0] in " \n" and piece[-1] not in " \n" and _FENCE not in piece:
+                fenced.append((key, piece))
+            else:
+                found[key] = self._raw(piece)
+        for at in range(0, len(fenced), self.together):
+            group = fenced[at:at + self.together]
+            raw = self._raw("".join([p + "\n" + _FENCE for _, p in group]))
+            ids, n = np.frombuffer(raw, "<u4"), len(self.fence)
+            here = np.flatnonzero(ids[: len(ids) - n + 1] == self.fence[0])
+            for j in range(1, n):
+                here = here[ids[here + j] == self.fence[j]]
+            if len(here) != len(group):
+                found.update((key, self._raw(p)) for key, p in group)
+                continue
+            begin = 0
+            for (key, _), end in zip(group, here.tolist(), strict=True):
+                found[key] = raw[4 * begin:4 * end]
+                begin = end + n
+        return found
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit integers; null counts as empty."""
+        cut = [self._pieces(t) if t else [] for t in texts]
+        new = set().union(*[c for c in cut if c]).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > self.remember:
+                self.older, self.known = self.known, {}
+                new = set().union(*[c for c in cut if c])
+            again = {k: self.older[k] for k in new if k in self.older}
+            self.known |= again
+            self.known |= self._learn([k for k in new if k not in again])
+        out = [
+            self._raw(t) if c is None else b"".join(map(self.known.__getitem__, c))
+            for t, c in zip(texts, cut, strict=True)
         ]
+        for key in [k for k in new if len(k) > self.longest]:
+            del self.known[key]
+        return out
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of one text as little-endian unsigned 32-bit integers; null counts as empty."""
-        if not text:
-            return b""
-        if _OTHER_SPACE.search(text):
-            return self._raw([text])[0]
-        pieces = _PIECE.findall(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = [p for p in set(pieces) if p not in known]
-        found = dict(zip(new, self._raw(new), strict=True))
-        ids = b"".join([found[p] if p in found else known[p] for p in pieces])
-        if len(known) + len(found) > self.remember:
-            known.clear()
-        known.update((p, x) for p, x in found.items() if len(p) <= self.longest)
-        return ids
+
+_LOADED: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -61,8 +126,3 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _LOADED:
         _LOADED[path] = PieceEncoder(path)
     return _LOADED[path]
-
-
-def encoded(path: str, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
-    one = encoder(path)
-    return (np.frombuffer(one.encode(t), "<u4") for t in texts)

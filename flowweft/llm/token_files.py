@@ -178,11 +178,12 @@ def write_tokens(
             made.append((name, part, len(made), len(out.ids), out.tokens))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            encoded = one.encode_all(batch.column(1).to_pylist())
+            for doc, raw in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 if out is None:
                     name = f"tokens-{part:06d}-{len(made):04d}-{uuid.uuid4().hex}.bin"
                     out = TokenWriter(store.open_output_stream(f"{root}/{name}"), bits, block_tokens)
-                out.add(doc, np.frombuffer(one.encode(text.as_py()) + tail, "<u4"))
+                out.add(doc, np.frombuffer(raw + tail, "<u4"))
                 if out.tokens >= file_tokens:
                     finish()
                     out = None

@@ -105,8 +105,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int = 1024)
         one = encoder(tokenizer)
         for batch in batches:
             rows: list[list[int | None]] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = one.encode(text.as_py()) + tail
+            encoded = one.encode_all(batch.column(1).to_pylist())
+            for doc, raw in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids = raw + tail
                 n = len(ids) // 4
                 start, end = 0, n % most or min(n, most)
                 piece = 0
