@@ -31,8 +31,17 @@ def part_of(column: str, parts: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))
 
 
-def row_keys(*columns: str) -> list:
-    """Two hashes, k1 and k2, that stand for a row's id, text and further columns."""
+def row_keys(*columns: str, names: tuple[str, str] = ("k1", "k2")) -> list:
+    """Two hashes that stand for a row's id, text and further columns."""
     return [
-        F.xxhash64("doc_id", "text", *columns).alias("k1"), F.xxhash64(F.lit(1), *columns, F.col("text"), F.col("doc_id")).alias("k2")
+        F.xxhash64("doc_id", "text", *columns).alias(names[0]),
+        F.xxhash64(F.lit(1), *columns, F.col("text"), F.col("doc_id")).alias(names[1]),
     ]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

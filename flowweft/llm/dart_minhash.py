@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.closure import component_roots
 from ..runtime import materialize, write_table
-from .common import row_keys
+from .common import free_name, row_keys
 
 SHINGLE_WORDS = 5
 _MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(b"place%d" % i) | 1 for i in range(SHINGLE_WORDS)], np.uint64)
@@ -254,5 +254,7 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but one document of each class. Columns stay; of equal rows one stays."""
-    kept = near_duplicates(docs, **options).filter("kept").select("k1", "k2").distinct()
-    return docs.select("*", *row_keys()).join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*docs.columns)
+    a, b = free_name(docs, "k1"), free_name(docs, "k2")
+    kept = near_duplicates(docs, **options).filter("kept").select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
+    hashed = docs.select("*", *row_keys(names=(a, b)))
+    return hashed.join(kept, [a, b], "left_semi").dropDuplicates([a, b]).select(*docs.columns)

@@ -22,34 +22,43 @@ def _chance(*parts):
     return F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
 
-def propagate(items: DataFrame, members: DataFrame, shards: int, rounds: int = 4, slack: float = 0.3) -> DataFrame:
+def propagate(items: DataFrame, members: DataFrame, shards: int, rounds: int = 6, slack: float = 0.3) -> DataFrame:
     """(item, size, shard) after ``rounds`` rounds of label propagation.
 
     ``items``: item (unique), size. ``members``: item, hub; an edge is a hub with two members, a clique a hub with
     many. ``slack``: how far above an equal share a shard may grow meanwhile. Items without hubs never move.
+
+    An item wishes to be in the shard where most of its neighbours' bytes are; a hub passes on the two shards that hold
+    most of its bytes, so that a member can leave its own bytes out. Between two shards moves go one way a round, by
+    a coin, or pairs would change places for ever.
     """
     state = materialize(items.select("item", "size", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int").alias("shard")))
-    size = F.sum("size").alias("w")
+    total = state.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first().t
+    limit = total / shards * (1 + slack)
     for k in range(rounds):
         placed = members.join(state, "item")
-        votes = placed.groupBy("hub", "shard").agg(size).groupBy("hub").agg(
-            F.max(F.struct("w", F.xxhash64("hub", "shard").alias("tie"), F.col("shard").alias("to"))).alias("v")
-        )
-        ballots = placed.join(votes, "hub").groupBy("item", "size", "shard", F.col("v.to").alias("to")).agg(
-            F.sum("v.w").alias("w"), F.min("hub").alias("hub")
-        )
-        choice = ballots.groupBy("item", "size", "shard").agg(
-            F.max(F.struct("w", F.xxhash64("to", F.lit(k)).alias("tie"), "to", "hub")).alias("c")
+        votes = placed.groupBy("hub", "shard").agg(F.sum("size").alias("w"))
+        vote = F.struct("w", F.xxhash64("hub", "shard").alias("tie"), F.col("shard").alias("to"))
+        best = materialize(votes.groupBy("hub").agg(  # at most ``shards`` rows a hub are collected
+            F.slice(F.sort_array(F.collect_list(vote), False), 1, 2).alias("best")
+        ))
+        ballots = placed.join(best, "hub").select("item", "size", "shard", "hub", F.explode("best").alias("v")).select(
+            "item", "size", "shard", "hub", "v.to",
+            (F.col("v.w") - F.when(F.col("v.to") == F.col("shard"), F.col("size")).otherwise(0)).alias("w"),
+        ).filter("w > 0")
+        choice = ballots.groupBy("item", "size", "shard", "to").agg(F.sum("w").alias("w"), F.min("hub").alias("hub")).groupBy(
+            "item", "size", "shard"
+        ).agg(F.max(F.struct("w", F.col("to") == F.col("shard"), F.xxhash64("hub", "to").alias("tie"), "to", "hub")).alias("c"))
+        coin = (F.pmod(F.xxhash64(F.least("shard", "to"), F.greatest("shard", "to")), F.lit(2)) + k) % 2 == 0
+        wishes = materialize(
+            choice.select("item", "size", "shard", "c.to", "c.hub").filter("to != shard").filter((F.col("to") < F.col("shard")) == coin)
         )
-        wishes = materialize(choice.filter("c.to != shard").select("item", "size", "shard", "c.to", "c.hub"))
-        share = state.agg(F.sum("size") / shards).select(F.col(f"(sum(size) / {shards})").alias("share"))
         load = state.groupBy("shard").agg(F.sum("size").alias("load"))
         leaving = wishes.groupBy("shard").agg(F.sum("size").alias("out"))
         coming = wishes.groupBy(F.col("to").alias("shard")).agg(F.sum("size").alias("in"))
-        room = F.greatest(F.lit(0.0), F.col("share") * (1 + slack) - F.col("load")) + F.coalesce("out", F.lit(0)) / 2
-        quota = (
-            coming.join(load, "shard", "left").join(leaving, "shard", "left").na.fill(0, ["load"])
-            .join(share, F.lit(True)).select(F.col("shard").alias("to"), (room / F.col("in")).alias("p"))
+        room = F.greatest(F.lit(0.0), F.lit(limit) - F.coalesce("load", F.lit(0))) + F.coalesce("out", F.lit(0)) / 2
+        quota = coming.join(load, "shard", "left").join(leaving, "shard", "left").select(
+            F.col("shard").alias("to"), (room / F.col("in")).alias("p")
         )
         moved = wishes.join(quota, "to").filter(_chance("hub", "shard", F.lit(k)) < F.col("p")).select("item", F.col("to").alias("_to"))
         state = materialize(
@@ -68,12 +77,12 @@ def level_out(state: DataFrame, linked: DataFrame, shards: int) -> DataFrame:
     kept = materialize(running_sum(
         marked, ["shard"], [F.desc("_linked"), F.desc("size"), F.col("hub"), F.col("item")], "size", "_sum"
     ))
-    share = kept.agg(F.sum("size").alias("t")).select((F.col("t") / shards).alias("share"))
-    told = kept.join(share, F.lit(True)).withColumn("_stays", F.col("_sum") <= F.col("share"))
+    share = (kept.agg(F.sum("size").alias("t")).first().t or 0) / shards
+    told = kept.withColumn("_stays", F.col("_sum") <= F.lit(share))
     full = told.filter("_stays").groupBy("shard").agg(F.sum("size").alias("load"))
     every = state.sparkSession.range(shards).select(F.col("id").cast("int").alias("to"))
-    free = every.join(full, F.col("to") == F.col("shard"), "left").join(share, F.lit(True)).select(
-        "to", (F.col("share") - F.coalesce("load", F.lit(0))).alias("room")
+    free = every.join(full, F.col("to") == F.col("shard"), "left").select(
+        "to", (F.lit(share) - F.coalesce("load", F.lit(0))).alias("room")
     )
     up_to = W.orderBy("to")  # one row per shard
     spans = free.withColumn("end", F.sum("room").over(up_to)).withColumn("begin", F.col("end") - F.col("room")).withColumn(
@@ -88,7 +97,7 @@ def level_out(state: DataFrame, linked: DataFrame, shards: int) -> DataFrame:
     return told.filter("_stays").select("item", "shard").unionByName(given)
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, slack: float = 0.3) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 6, slack: float = 0.3) -> DataFrame:
     """Shard and slot of every document; documents with equal texts are linked.
 
     Rows (one per row of ``docs``): doc_id, size (UTF-8 bytes of the text plus 8; null has no bytes), text_crc32 (of

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from .common import free_name
 
 UNKNOWN = "und"
 _BITS = 21  # a code point
@@ -156,6 +157,6 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], most: int
         return pd.DataFrame([judge.decide(x) for x in texts], columns=["lang", "score"])
 
     found: Column = decide(F.col(text))
-    return docs.withColumn("_found", found).withColumn("lang_pred", F.col("_found.lang")).withColumn(
-        "score", F.col("_found.score")
-    ).drop("_found")
+    name = free_name(docs, "found")
+    told = docs.withColumn(name, found)
+    return told.withColumns({"lang_pred": F.col(name)["lang"], "score": F.col(name)["score"]}).drop(name)

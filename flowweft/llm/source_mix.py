@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import running_sum
 from ..runtime import materialize
-from .common import row_keys
+from .common import free_name, row_keys
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -122,12 +122,15 @@ def draw_mix(docs: DataFrame, **options) -> DataFrame:
 
     Only ids, sources, sizes and row hashes go through the ranking; texts move once, to meet their copies.
     """
-    hashed = docs.select("*", *row_keys("source"))
-    copies = mix_sources(hashed, keep=["k1", "k2"], **options).groupBy("k1", "k2").agg(F.sum("copies").alias("_copies"))
-    each = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    a, b, n, copy = (free_name(docs, x) for x in ("k1", "k2", "copies", "copy"))
+    narrow = docs.select("doc_id", "source", "text", *row_keys("source"))
+    copies = mix_sources(narrow, keep=["k1", "k2"], **options).groupBy(F.col("k1").alias(a), F.col("k2").alias(b)).agg(
+        F.sum("copies").alias(n)
+    )
+    hashed = docs.select("*", *row_keys("source", names=(a, b)))
+    each = F.explode(F.sequence(F.lit(1), F.col(n)))
     return (
-        hashed.join(copies.filter("_copies > 0"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-        .withColumn("_copy", each).select(*docs.columns)
+        hashed.join(copies.filter(F.col(n) > 0), [a, b]).dropDuplicates([a, b]).withColumn(copy, each).select(*docs.columns)
     )
 
 

@@ -117,6 +117,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
 _AT_BRACKET = re.compile(rf"[ ]?{_OPEN}(?:{'|'.join(AT_WORDS)}|@){_CLOSE}[ ]?", re.IGNORECASE)
 _DOT_BRACKET = re.compile(rf"[ ]?{_OPEN}(?:{'|'.join(DOT_WORDS)}|\.){_CLOSE}[ ]?", re.IGNORECASE)
+# Without brackets, words for @ and full stop that go together, and the ends a host must then have.
+BARE_PAIRS = {"at": "dot", "arroba": "punto", "arobase": "point", "klammeraffe": "punkt"}
+HOST_ENDS = frozenset(
+    "com org net edu gov mil int info biz io ai co me tv app dev eu uk us ca au in jp cn ru br mx ar cl pe de at ch fr be nl it es pt pl se no fi dk ie cz gr example test".split()
+)
 _NAME, _LABEL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*", r"[A-Za-z0-9-]+"
 _BARE_DOT = rf"(?:[ ](?:{'|'.join(DOT_WORDS)})[ ]|\.)"
 _BARE = re.compile(
@@ -188,13 +193,14 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _bare(text: str) -> Iterator[tuple[int, int, str]]:
-    """``name at host dot org``: both words must be there, or one with its sign."""
+    """``name at host dot org``, or with one of the two signs written as such."""
     for m in _BARE.finditer(text):
-        domain = _WORD_DOT.sub(".", m["domain"])
-        if domain != m["domain"]:
-            if m["at"] != "@":
+        dots = list(_WORD_DOT.finditer(text, m.start("domain"), m.end("domain")))
+        at, host_end = m["at"].strip().lower(), re.split(r"[. ]", m["domain"])[-1].lower()
+        if dots and host_end in HOST_ENDS and (at == "@" or all(w.group().strip().lower() == BARE_PAIRS[at] for w in dots)):
+            if at != "@":
                 yield m.start("at"), m.end("at"), "@"
-            for w in _WORD_DOT.finditer(text, m.start("domain"), m.end("domain")):
+            for w in dots:
                 yield w.start(), w.end(), "."
 
 
