@@ -30,12 +30,12 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
 
 
 def edge_types() -> Column:
-    """Types an edge carries, as a one-element array of the normal form."""
-    return F.array(S.normalize_type("type"))
+    """Types an edge carries, as a one-element array of the normal form; null where it passes on what came before."""
+    return F.when(F.col("type").isNotNull(), F.array(S.normalize_type("type")))
 
 
 def union_types(arrays: Column) -> Column:
-    """Aggregate: sorted distinct union of type arrays. Grows with distinct types, not rows."""
+    """Aggregate: sorted distinct union of type arrays. Grows with the distinct arrays, not with the rows."""
     return F.array_sort(F.array_distinct(F.flatten(F.collect_set(arrays))))
 
 
@@ -47,7 +47,7 @@ def merge_types(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def type_legend(edges: DataFrame) -> DataFrame:
     """One styled row per distinct type; styles are computed after the distinct."""
-    types = edges.select(S.normalize_type("type").alias("type")).distinct()
+    types = edges.filter(F.col("type").isNotNull()).select(S.normalize_type("type").alias("type")).distinct()
     return types.select(
         "type",
         S.type_label("type").alias("label"),
@@ -98,7 +98,8 @@ def package_overview(
     """Packages as nodes; flows between different packages by class with count and types.
 
     Edges are rolled up by (src package, dst package, class, type) first, so the
-    normal form and the type sets are computed on few rows.
+    normal form and the type sets are computed on few rows. Routes through a hub
+    (nodes whose ``role`` is ``hub``) are counted writer by reader without listing them.
     """
     known = functions.select("package").distinct()
     owner = nodes.filter(F.col("package") != "").join(known, "package", "left_semi").select("id", "package")
@@ -109,12 +110,17 @@ def package_overview(
         kept = kept.filter(F.col("kind") != "train")
     if "belt" in off:
         kept = kept.filter(F.col("kind") == "train")
-    flows = (
+    by_hub = _hub_routes(nodes, kept, owner.withColumnRenamed("package", "group"), ["kind", "type"])
+    direct = (
         kept.join(owner.select(F.col("id").alias("src"), F.col("package").alias("src_package")), "src")
         .join(owner.select(F.col("id").alias("dst"), F.col("package").alias("dst_package")), "dst")
+        .select("src_package", "dst_package", "kind", "type", F.lit(1).cast("bigint").alias("n"))
+    )
+    flows = (
+        direct.unionByName(by_hub.withColumnsRenamed({"from": "src_package", "to": "dst_package"}))
         .filter(F.col("src_package") != F.col("dst_package"))
         .groupBy("src_package", "dst_package", "kind", "type")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     links = (
         flows.withColumn("type", S.normalize_type("type"))
@@ -124,6 +130,24 @@ def package_overview(
     return package_nodes(functions), links
 
 
+def _hub_routes(nodes: DataFrame, edges: DataFrame, owner: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Writer -> reader routes through hubs, counted per (from, to) group and ``keys`` of the writer's edge.
+
+    ``owner``: id, group. Each side of a hub is counted per group first; the counts meet
+    on the hub and are multiplied, so no route is listed. A node on both sides of a hub
+    has no route to itself, which shows only between equal groups.
+    """
+    if "role" not in nodes.columns:
+        text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+        return edges.filter(F.lit(False)).select(*keys, text.alias("from"), text.alias("to"), number.alias("n"))
+    hubs = nodes.filter(F.col("role") == "hub").select(F.col("id").alias("hub"))
+    into = edges.join(hubs.withColumnRenamed("hub", "dst"), "dst", "left_semi").join(owner.withColumnRenamed("id", "src"), "src")
+    out = edges.join(hubs.withColumnRenamed("hub", "src"), "src", "left_semi").join(owner.withColumnRenamed("id", "dst"), "dst")
+    writers = into.groupBy(F.col("dst").alias("hub"), F.col("group").alias("from"), *keys).agg(F.count(F.lit(1)).alias("w"))
+    readers = out.groupBy(F.col("src").alias("hub"), F.col("group").alias("to")).agg(F.count(F.lit(1)).alias("r"))
+    return writers.join(readers, "hub").groupBy(*keys, "from", "to").agg(F.sum(F.col("w") * F.col("r")).alias("n"))
+
+
 def contact_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Undirected weighted neighbours (id, other, weight), both directions listed.
 
@@ -134,9 +158,11 @@ def contact_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mirrored_weights(edges: DataFrame) -> DataFrame:
+    """Sums of both directions; an edge weighs its ``n`` (or ``count``), if that is finite and positive, else 1."""
     weight = F.lit(1.0)
-    if "count" in edges.columns:
-        c = F.col("count").cast("double")
+    counts = [c for c in ("n", "count") if c in edges.columns]
+    if counts:
+        c = F.col(counts[0]).cast("double")
         weight = F.when((c > 0) & ~F.isnan(c) & (c < float("inf")), c).otherwise(1.0)
     pairs = (
         edges.filter(F.col("src") != F.col("dst"))
@@ -166,14 +192,16 @@ def rank_hubs(strength: DataFrame, k: int) -> DataFrame:
 
 
 def function_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Contact graph between functions: the same weights one level up."""
-    owner = nodes.select("id", "function")
+    """Contact graph between functions: the same weights one level up, through hubs too."""
+    owner = nodes.filter(F.col("role").isNull() | (F.col("role") != "hub")) if "role" in nodes.columns else nodes
+    owner = owner.select("id", "function")
+    routes = _hub_routes(nodes, edges, owner.withColumnRenamed("function", "group"), [])
     lifted = (
         edges.join(owner.select(F.col("id").alias("src"), F.col("function").alias("f")), "src")
         .join(owner.select(F.col("id").alias("dst"), F.col("function").alias("g")), "dst")
-        .select(F.col("f").alias("src"), F.col("g").alias("dst"))
+        .select(F.col("f").alias("src"), F.col("g").alias("dst"), F.lit(1).cast("bigint").alias("n"))
     )
-    return mirrored_weights(lifted)
+    return mirrored_weights(lifted.unionByName(routes.select(F.col("from").alias("src"), F.col("to").alias("dst"), "n")))
 
 
 def method_calls(nodes: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ class Facts:
     map_values: DataFrame
 
 
-NODE_COLUMNS = ["id", "kind", "label", "function", "method", "package", "type", "names", "protocol", "reason", "helper", "block", "ord"]
+NODE_COLUMNS = ["id", "kind", "label", "function", "method", "package", "type", "names", "protocol", "reason", "helper", "block", "ord", "role"]
 
 
 def build_graph(facts: Facts, directives: DataFrame | None = None, tool: str = "flow") -> tuple[DataFrame, DataFrame]:
@@ -127,11 +127,12 @@ def build_graph(facts: Facts, directives: DataFrame | None = None, tool: str = "
     )
     hubs = memory_hubs.withColumn("kind", F.lit("memory")).unionByName(train_hubs.withColumn("kind", F.lit("station"))).select(
         "id", "kind", F.col("key").alias("label"), empty.alias("function"), empty.alias("method"), empty.alias("package"), empty.alias("type"),
-        none.alias("names"), empty.alias("protocol"), empty.alias("reason"), F.lit(True).alias("helper"), F.lit(0).alias("block"), F.lit(0.0).alias("ord"),
+        none.alias("names"), empty.alias("protocol"), empty.alias("reason"), F.lit(True).alias("helper"), F.lit(0).alias("block"), F.lit(0.0).alias("ord"), F.lit("hub").alias("role"),
     )
     ends = trash.select(
         "id", "kind", "label", "function", empty.alias("method"), "package", "type", none.alias("names"), empty.alias("protocol"),
         empty.alias("reason"), F.lit(False).alias("helper"), "block", F.col("ord").cast("double").alias("ord"),
     )
-    nodes = operations.unionByName(plain).unionByName(hubs).unionByName(ends).select(*NODE_COLUMNS)
+    plain_roles = operations.unionByName(plain).unionByName(ends).withColumn("role", F.lit(None).cast("string"))
+    nodes = plain_roles.unionByName(hubs).select(*NODE_COLUMNS)
     return unhide_named(nodes), edges

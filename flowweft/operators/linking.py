@@ -160,8 +160,9 @@ def _hubs(ops: DataFrame, kind: str, label: Column) -> tuple[DataFrame, DataFram
 
     Writers times readers of one key is quadratic in a hot key, so the pairs are not
     written out: a hub node of the same key carries them in linear space. The hub is a
-    helper and its outgoing belts pass the kind on, so contracting helpers gives
-    exactly the writer -> reader edges. Keys without both sides have no route.
+    helper and its outgoing belts pass kind and type on (their type is null), so
+    contracting helpers gives exactly the writer -> reader edges, and roll-ups count
+    them per side. Keys without both sides have no route.
     """
     sides = ops.groupBy("key").agg(
         F.count_if("into").alias("n_in"), F.count_if(~F.col("into")).alias("n_out")
@@ -174,7 +175,7 @@ def _hubs(ops: DataFrame, kind: str, label: Column) -> tuple[DataFrame, DataFram
         F.when(F.col("into"), hub).otherwise(F.col("node")).alias("dst"),
         F.when(F.col("into"), kind).otherwise("belt").alias("kind"),
         F.when(F.col("into"), label).otherwise("").alias("label"),
-        F.when(F.col("into"), F.col("type")).otherwise("").alias("type"),
+        F.when(F.col("into"), F.col("type")).alias("type"),
     ).distinct()
     return nodes, edges
 
@@ -216,14 +217,14 @@ def channel_routes(channel_ops: DataFrame, roots: DataFrame, values: DataFrame)
     return _hubs(ops, "train", F.col("label"))
 
 
-def expand_hubs(hubs: DataFrame, edges: DataFrame, max_edges: int = 10_000_000, salts: int = 64) -> DataFrame:
+def expand_hubs(hubs: DataFrame, edges: DataFrame, max_edges: int | None = None, salts: int = 64) -> DataFrame:
     """Writer -> reader edges of every hub, for graphs small enough to list them.
 
-    The exact number of pairs is known from the hubs; past ``max_edges`` this raises
-    and writes nothing. Readers are spread over salts so a hub fills several tasks.
+    The exact number of pairs is known from the hubs; past ``max_edges``, if given, this
+    raises and writes nothing. Readers are spread over salts so a hub fills several tasks.
     """
-    total = hubs.agg(F.sum(F.col("routes").cast("double"))).first()[0] or 0
-    if total > max_edges:
+    total = 0 if max_edges is None else hubs.agg(F.sum(F.col("routes").cast("double"))).first()[0] or 0
+    if max_edges is not None and total > max_edges:
         raise ValueError(f"{total:.0f} routes, limit {max_edges}: keep the hub form")
     ids = hubs.select(F.col("id").alias("hub"))
     into = edges.join(ids.withColumnRenamed("hub", "dst"), "dst", "left_semi").select(

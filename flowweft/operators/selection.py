@@ -87,19 +87,23 @@ def function_catalog(functions: DataFrame, nodes: DataFrame, pkg: str = "", quer
     return chosen
 
 
-def default_view(functions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row with the entry function, empty when there is none or the graph is large."""
+def default_view(functions: DataFrame, nodes: DataFrame, whole_nodes: int | None = LARGE_GRAPH_NODES) -> DataFrame:
+    """One row with the entry function, empty when there is none or the graph has more than ``whole_nodes`` nodes."""
     rank = F.when(F.col("name") == "Run", 0).otherwise(1)
     entry = functions.filter(F.col("name").isin("Run", "main")).agg(
         F.min_by("id", F.struct(rank, "seq")).alias("entry")
     )
     size = nodes.agg(F.count(F.lit(1)).alias("n"))
     both = entry.unionByName(size, allowMissingColumns=True).agg(F.max("entry").alias("entry"), F.max("n").alias("n"))
-    return both.select(F.when(F.col("n") <= LARGE_GRAPH_NODES, F.coalesce("entry", F.lit(""))).otherwise("").alias("fn"))
+    small = F.lit(True) if whole_nodes is None else F.col("n") <= whole_nodes
+    return both.select(F.when(small, F.coalesce("entry", F.lit(""))).otherwise("").alias("fn"))
 
 
 def normalize_view(options: DataFrame) -> DataFrame:
-    """View options with defaults filled in; of the layers only those switched off remain, in fixed order."""
+    """View options with defaults filled in; of the layers only those switched off remain, in fixed order.
+
+    A ``part`` below -1 is kept as it is: validate_snapshot reports it.
+    """
     off = F.filter(
         F.array(*[F.struct(F.lit(k).alias("key"), F.lit(False).alias("value")) for k in LAYERS]),
         lambda e: F.coalesce(F.try_element_at(F.col("layers"), e["key"]), F.lit(True)) == F.lit(False),
@@ -108,7 +112,7 @@ def normalize_view(options: DataFrame) -> DataFrame:
     return options.withColumns({
         "fn": F.coalesce("fn", F.lit("")),
         "pkg": F.coalesce("pkg", F.lit("")),
-        "part": F.when(part >= -1, part).otherwise(F.raise_error(F.lit("part must be -1 or more"))).cast("int"),
+        "part": part.cast("int"),
         "compact": F.coalesce("compact", F.lit(True)),
         "query": F.coalesce("query", F.lit("")),
         "layers": F.map_from_entries(off),

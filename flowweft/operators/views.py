@@ -35,15 +35,12 @@ def _merged_links(edges: DataFrame, first_by: list[str], carried: Iterable[str]
     )
 
 
-MAX_FAN = 1_000_000
-
-
-def _busy_helpers(hops: DataFrame, max_fan: int) -> tuple[DataFrame, int]:
-    """Helpers whose in-links times out-links exceed ``max_fan``."""
+def _junctions(hops: DataFrame) -> tuple[DataFrame, int]:
+    """Helpers with two or more links on both sides: contracting them would multiply links."""
     arriving = hops.filter("to_inner").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("into"))
     leaving = hops.filter("from_inner").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
     return write_table(
-        arriving.join(leaving, "id").filter(F.col("into").cast("double") * F.col("out") > max_fan).select("id")
+        arriving.join(leaving, "id").filter((F.col("into") > 1) & (F.col("out") > 1)).select("id")
     )
 
 
@@ -65,7 +62,7 @@ def visible_graph(
     edges: DataFrame,
     compact: bool = True,
     hidden: Iterable[str] = (),
-    max_fan: int = MAX_FAN,
+    linear: bool = False,
     around: str = "",
 ) -> tuple[DataFrame, DataFrame]:
     """Contract helper nodes: link visible nodes whose path runs through helpers only.
@@ -79,10 +76,12 @@ def visible_graph(
     so the cost per round is the frontier, not the graph. Each state keeps its first
     hop's position, hence the label of the first path found is well defined.
 
-    Contracting a helper yields in-links x out-links pairs. A helper with more than
-    ``max_fan`` of them stays in the view as a junction (``role``): its links stand
-    for all those pairs with the same reachability, in linear space, and nothing is
-    dropped.
+    Contracting a helper yields in-links x out-links pairs. With ``linear`` every helper
+    with two or more links on both sides stays in the view as a junction (``role``): its
+    links stand for all those pairs with the same reachability, in linear space. The rule
+    is the caller's choice and does not depend on the size of the graph.
+
+    An edge without a type (a hub's outgoing belt) passes on the types before it.
 
     ``around`` names a function a caller is going to focus on: links are then followed
     only among its nodes and what they reach through helpers, in either direction.
@@ -100,8 +99,8 @@ def visible_graph(
     )
 
     visible = visible.withColumn("role", F.lit(None).cast("string"))
-    if compact:
-        busy, found = _busy_helpers(hops, max_fan)
+    if compact and linear:
+        busy, found = _junctions(hops)
         if found:
             for end in ("src", "dst"):
                 flag = "from_inner" if end == "src" else "to_inner"
@@ -134,7 +133,8 @@ def visible_graph(
 
     start = once(
         among(hops.filter(~F.col("from_inner") & (F.col("src") != F.col("dst"))), "src").select(
-            *key, "to_inner", F.lit(1).alias("hops"), F.col("seq").alias("first"), "label"
+            "src", "dst", "kind", F.coalesce("types", F.array(F.lit(""))).alias("types"), "to_inner", F.lit(1).alias("hops"),
+            F.col("seq").alias("first"), "label",
         )
     ).select(*columns)
     if not compact:
@@ -156,7 +156,7 @@ def visible_graph(
                 .select(
                     "src", F.col("to").alias("dst"),
                     F.when(F.col("next_kind") == "belt", F.col("kind")).otherwise(F.col("next_kind")).alias("kind"),
-                    F.col("next_types").alias("types"), F.col("next_inner").alias("to_inner"),
+                    F.coalesce("next_types", "types").alias("types"), F.col("next_inner").alias("to_inner"),
                     (F.col("hops") + 1).alias("hops"), "first", "label",
                 )
             )
@@ -244,19 +244,19 @@ def fold_portals(
     )
 
 
-def number_operations(nodes: DataFrame, fn: str) -> DataFrame:
+def number_operations(nodes: DataFrame, fn: str, section_size: int = SECTION_SIZE) -> DataFrame:
     """Operations of one function with their 0-based section, in (ord, natural id) order."""
     own = nodes.filter(F.col("function") == fn)
     if "role" in nodes.columns:
         own = own.filter(F.col("role").isNull() | (F.col("role") != "portal"))
     numbered = number_rows(own, [], [F.col("ord"), S.natural_key("id")])
-    return numbered.withColumn("section", F.floor((F.col("rn") - 1) / SECTION_SIZE).cast("int"))
+    return numbered.withColumn("section", F.floor((F.col("rn") - 1) / section_size).cast("int"))
 
 
-def section_catalog(nodes: DataFrame, fn: str) -> DataFrame:
+def section_catalog(nodes: DataFrame, fn: str, section_size: int = SECTION_SIZE) -> DataFrame:
     """One row per section of a function with its first operation."""
     return (
-        number_operations(nodes, fn)
+        number_operations(nodes, fn, section_size)
         .groupBy("section")
         .agg(F.min_by("id", "rn").alias("first_id"), F.count(F.lit(1)).alias("operations"))
         .select(
@@ -280,22 +280,30 @@ class View:
     operations: int = 0
 
 
-def section_view(nodes: DataFrame, links: DataFrame, fn: str, part: int = 0) -> View:
+def section_view(
+    nodes: DataFrame, links: DataFrame, fn: str, part: int = 0, undivided: int | None = SECTION_THRESHOLD,
+    section_size: int = SECTION_SIZE, single_portals: int = SECTION_HUB_THRESHOLD,
+) -> View:
     """One section of a large function with portals for whatever its links touch elsewhere.
 
     ``members`` lists the merged edge ids in long form: a hub link may stand for any
     number of edges, so they are rows and not one array.
+
+    A function of at most ``undivided`` operations is shown whole (None: always); beyond
+    ``single_portals`` sections the others share one portal a direction.
     """
-    numbered = materialize(number_operations(nodes, fn))
+    if undivided is None:
+        return View("operations", nodes, links, links.select(link_id().alias("link"), F.col("id").alias("edge_id")))
+    numbered = materialize(number_operations(nodes, fn, section_size))
     size = numbered.count()
-    if size <= SECTION_THRESHOLD:
+    if size <= undivided:
         return View("operations", nodes, links, links.select(link_id().alias("link"), F.col("id").alias("edge_id")))
-    total = -(-size // SECTION_SIZE)
+    total = -(-size // section_size)
     if part < 0:
-        return View("catalog", section_catalog(nodes, fn), sections=total, operations=size)
+        return View("catalog", section_catalog(nodes, fn, section_size), sections=total, operations=size)
     part = min(part, total - 1)
     here = numbered.filter(F.col("section") == part)
-    # At most SECTION_SIZE ids, so the broadcast is bounded.
+    # At most section_size ids, so the broadcast is bounded.
     chosen = F.broadcast(here.select("id"))
     touching = materialize(
         links.join(chosen.select(F.col("id").alias("src"), F.lit(True).alias("src_in")), "src", "left")
@@ -309,7 +317,7 @@ def section_view(nodes: DataFrame, links: DataFrame, fn: str, part: int = 0) ->
         )
     )
     sections = numbered.select("id", "section")
-    hub = total > SECTION_HUB_THRESHOLD
+    hub = total > single_portals
 
     def key(inbound: Column) -> Column:
         own = F.concat(F.lit(f"section-hub:{fn}:"), inbound.cast("string")) if hub else F.concat(
@@ -372,17 +380,21 @@ class ViewOptions:
     hidden: tuple[str, ...] = field(default_factory=tuple)
 
 
-def project_view(functions: DataFrame, nodes: DataFrame, edges: DataFrame, options: ViewOptions) -> View:
+def project_view(
+    functions: DataFrame, nodes: DataFrame, edges: DataFrame, options: ViewOptions, whole_nodes: int | None = LARGE_GRAPH_NODES,
+    undivided: int | None = SECTION_THRESHOLD, linear: bool = False,
+) -> View:
     """The view a request asks for: overview, catalogue, whole graph or one function.
 
-    The granularity switch looks at one count of the node table.
+    Without a function, a graph of more than ``whole_nodes`` nodes is shown by packages
+    (None: always whole). ``undivided`` is that of section_view, ``linear`` that of visible_graph.
     """
-    if not options.fn and nodes.count() > LARGE_GRAPH_NODES:
+    if not options.fn and whole_nodes is not None and nodes.count() > whole_nodes:
         if options.pkg or options.query:
             return View("catalog", function_catalog(functions, nodes, options.pkg, options.query))
         packages, flows = package_overview(functions, nodes, edges, options.hidden)
         return View("packages", packages, flows)
-    shown, links = visible_graph(nodes, edges, options.compact, options.hidden, around=options.fn)
+    shown, links = visible_graph(nodes, edges, options.compact, options.hidden, linear, around=options.fn)
     if options.fn:
         shown, links = focus_function(shown, links, options.fn)
     if options.query.strip():
@@ -392,4 +404,4 @@ def project_view(functions: DataFrame, nodes: DataFrame, edges: DataFrame, optio
         return View("operations", shown, links)
     if options.compact:
         shown, links = fold_portals(nodes, functions, shown, links, options.fn)
-    return section_view(shown, links, options.fn, options.part)
+    return section_view(shown, links, options.fn, options.part, undivided)

@@ -88,7 +88,7 @@ live AS (SELECT root, count(*) FILTER (dir = 'send') AS n_in, count(*) FILTER (d
 SELECT DISTINCT instr_id AS src, 'train:' || root AS dst, 'train' AS kind, 'queue ' || (user_id % 3) AS label, 'msg.' || event_type AS type
 FROM keyed JOIN live USING (root) WHERE dir = 'send'
 UNION ALL
-SELECT DISTINCT 'train:' || root, instr_id, 'belt', '', '' FROM keyed JOIN live USING (root) WHERE dir = 'recv'""")
+SELECT DISTINCT 'train:' || root, instr_id, 'belt', '', NULL FROM keyed JOIN live USING (root) WHERE dir = 'recv'""")
 def _(spark, d):
     return _routes(spark, d)[1]
 
@@ -116,7 +116,7 @@ def _(spark, d):
 
 @query("memory_edges", f"WITH {D.MEMORY_SQL.strip()}" + """
 SELECT DISTINCT CASE WHEN into_ THEN instr_id ELSE 'memory:' || key END AS src, CASE WHEN into_ THEN 'memory:' || key ELSE instr_id END AS dst,
-  CASE WHEN into_ THEN 'memory' ELSE 'belt' END AS kind, CASE WHEN into_ THEN 'память' ELSE '' END AS label, CASE WHEN into_ THEN type ELSE '' END AS type
+  CASE WHEN into_ THEN 'memory' ELSE 'belt' END AS kind, CASE WHEN into_ THEN 'память' ELSE '' END AS label, CASE WHEN into_ THEN type END AS type
 FROM live""")
 def _(spark, d):
     return L.memory_edges(D.mem_ops(spark, d), _addresses(spark, d), D.values(spark, d))[1]

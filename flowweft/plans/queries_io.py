@@ -167,8 +167,7 @@ FROM (SELECT o_orderkey, unnest(range(o_orderkey % 4 + 2)) AS i FROM orders WHER
 WHERE n = 0 OR o_orderkey % 11 = 0""")
 def _(spark, d):
     t = D.read_layouts(D.read_snapshot(spark, _snapshot_path(spark, d), one_per_file=False)["layouts"].dropDuplicates(["rev", "layout"]))
-    ends = t["layout_edges"].distinct()
-    return t["layout_cells"].join(ends, ["layout_id", "edge_id"]).select(
+    return t["layout_cells"].join(t["layout_edges"], ["layout_id", "edge_id"]).select(
         F.split("layout_id", r"\|")[0].alias("rev"), "edge_id", "pos", "x", "y", "layer", "start_dir", "end_dir"
     )
 
@@ -247,7 +246,7 @@ def _(spark, d):
 def _(spark, d):
     path = scratch(spark)
     G.table(spark, d, "documents").select("text", "lang", "source").write.partitionBy("lang", "source").text(path)
-    read = X.read_sources(spark, path, max_bytes=1 << 30).filter("path LIKE '%.txt'")
+    read = X.read_sources(spark, path).filter("path LIKE '%.txt'")
     return read.groupBy(
         F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"), F.regexp_extract("path", "source=([^/]+)", 1).alias("source")
     ).agg(F.sum(F.length("content")).alias("chars"))

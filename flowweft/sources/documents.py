@@ -35,7 +35,7 @@ def graph_schema() -> str:
 
 def snapshot_schema() -> str:
     layout = (
-        f"STRUCT<view: {_struct(_VIEW)}, manual: BOOLEAN, nodes: ARRAY<STRUCT<id: STRING, x: DOUBLE, y: DOUBLE>>, "
+        f"STRUCT<view: {_struct(_VIEW)}, manual: BOOLEAN, assembly: STRING, nodes: ARRAY<STRUCT<id: STRING, x: DOUBLE, y: DOUBLE>>, "
         "edges: ARRAY<STRUCT<id: STRING, cells: ARRAY<STRUCT<x: INT, y: INT, layer: INT>>, startDir: INT, endDir: INT>>>"
     )
     return (
@@ -56,7 +56,7 @@ def _tables(docs: DataFrame) -> dict[str, DataFrame]:
     return {
         "snapshots": docs.select(
             "rev", "graph.version", F.coalesce("graph.mode", F.lit("static-ssa")).alias("mode"),
-            F.coalesce("graph.warnings", F.array().cast("array<string>")).alias("warnings"),
+            F.coalesce("graph.warnings", F.array().cast("array<string>")).alias("warnings"), "corrupt", missing_lists(),
         ),
         "nodes": rows("nodes", NODES),
         "edges": rows("edges", EDGES),
@@ -66,31 +66,55 @@ def _tables(docs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def missing_lists():
+    """Names of the lists that a document's graph lacks."""
+    lists = ("projects", "functions", "nodes", "edges")
+    return F.filter(
+        F.array(*[F.when(F.col(f"graph.{x}").isNull(), x) for x in lists]), lambda x: x.isNotNull()
+    ).alias("missing")
+
+
 def read_graph(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
-    """Graph JSON documents as tables. ``multi_line=False`` reads one document per line."""
-    raw = spark.read.schema(graph_schema()).json(path, multiLine=multi_line)
-    return _tables(raw.select(F.coalesce("revision", F.lit("")).alias("rev"), F.struct("*").alias("graph")))
+    """Graph JSON documents as tables. ``multi_line=False`` reads one document per line.
+
+    A document that is damaged or holds values of other types is marked ``corrupt`` in
+    snapshots; validate_graph reports it.
+    """
+    # Parsed from text: the JSON source would parse, and so check, only the columns a query asks for.
+    text = spark.read.text(path, wholetext=multi_line).filter(F.trim("value") != "")
+    parsed = F.from_json("value", f"{graph_schema()}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    docs = text.select(parsed.alias("graph"))
+    return _tables(docs.select(
+        F.coalesce("graph.revision", F.lit("")).alias("rev"), (F.col("graph").isNull() | F.col("graph._corrupt").isNotNull()).alias("corrupt"), "graph"
+    ))
 
 
 def read_snapshot(spark: SparkSession, path: str, one_per_file: bool = True) -> dict[str, DataFrame]:
     """Versioned snapshot documents, or bare graphs, one per file or one per line.
 
-    A leading byte-order mark is ignored.
+    A leading byte-order mark is ignored. Both forms are read with one schema that has
+    the fields of either. Damaged documents are marked ``corrupt``, see read_graph.
     """
     text = F.regexp_replace("value", "^\uFEFF", "")
+    own = [f for f in T.StructType.fromDDL(graph_schema()).fields if f.name != "version"]
+    both = T.StructType([*T.StructType.fromDDL(snapshot_schema()).fields, *own, T.StructField("_corrupt", T.StringType())])
     docs = spark.read.text(path, wholetext=one_per_file).select(
-        F.from_json(text, snapshot_schema()).alias("s"), F.from_json(text, graph_schema()).alias("bare")
+        F.from_json(text, both, {"columnNameOfCorruptRecord": "_corrupt"}).alias("s")
     )
     bare = F.col("s.format").isNull()
+    alone = F.struct("s.version", *[f"s.{f.name}" for f in own])
+    whole = F.struct("s.graph.version", *[f"s.graph.{f.name}" for f in own])
     docs = docs.select(
-        F.when(bare, F.col("bare")).otherwise(F.col("s.graph")).alias("graph"), "s.format",
+        F.when(bare, alone).otherwise(whole).alias("graph"), "s.format", (F.col("s").isNull() | F.col("s._corrupt").isNotNull()).alias("corrupt"),
+        F.coalesce("s.tracing", F.lit(False)).alias("tracing"), F.coalesce("s.playing", F.lit(False)).alias("playing"),
         F.when(~bare, F.col("s.version")).alias("doc_version"), "s.view", "s.layouts", "s.sources", "s.camera", "s.selected",
         F.coalesce("s.time", F.lit(0.0)).alias("time"), F.coalesce("s.speed", F.lit(1.0)).alias("speed"),
     ).withColumn("rev", F.coalesce("graph.revision", F.lit("")))
     tables = _tables(docs)
     view = F.coalesce("view.fn", F.lit("")).alias("fn"), F.coalesce("view.pkg", F.lit("")).alias("pkg")
     tables["snapshots"] = docs.select(
-        "rev", "graph.version", "format", "doc_version", *view, "view", "camera", "selected", "time", "speed"
+        "rev", "graph.version", "format", "doc_version", *view, "view", "camera", "selected", "time", "speed",
+        "tracing", "playing", "corrupt", missing_lists(),
     )
     tables["sources"] = docs.select("rev", F.explode("sources").alias("file_id", "content"))
     tables["layouts"] = docs.select("rev", F.posexplode("layouts").alias("layout", "l")).select("rev", "layout", "l.*")
@@ -98,11 +122,11 @@ def read_snapshot(spark: SparkSession, path: str, one_per_file: bool = True) ->
 
 
 def read_layouts(layouts: DataFrame) -> dict[str, DataFrame]:
-    """Layout records (rev, layout, view, nodes, edges) as node, edge and cell tables keyed by view."""
+    """Layout records (rev, layout, view, nodes, edges) as node, edge and cell tables keyed by place and view."""
     from ..operators.selection import normalize_view, view_key
 
-    keyed = normalize_view(layouts.select("rev", "view.*", "nodes", "edges")).withColumn(
-        "layout_id", F.concat_ws("|", "rev", view_key())
+    keyed = normalize_view(layouts.select("rev", "layout", "view.*", "manual", "assembly", "nodes", "edges")).withColumn(
+        "layout_id", F.concat_ws("|", "rev", F.col("layout").cast("string"), view_key())
     )
     routes = keyed.select("layout_id", F.inline("edges")).withColumnsRenamed(
         {"id": "edge_id", "startDir": "start_dir", "endDir": "end_dir"}
@@ -117,19 +141,22 @@ def read_layouts(layouts: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_graph(tables: dict[str, DataFrame], path: str) -> None:
-    """JSON lines per table, partitioned by ``rev``.
+def write_graph(tables: dict[str, DataFrame], path: str, files_per_revision: int = 8) -> None:
+    """JSON lines per table, partitioned by ``rev``; other revisions in the folder stay.
 
-    One array document per revision would gather a whole graph in one row; lines are
-    written by as many tasks as there are partitions.
+    One array document per revision would gather a whole graph in one row; a
+    revision's lines are spread over ``files_per_revision`` files.
     """
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy("rev").json(f"{path}/{name}")
+        spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != "rev"]), F.lit(files_per_revision))
+        df.repartition("rev", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rev").json(
+            f"{path}/{name}"
+        )
 
 
 def read_tables(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
-    """Tables written by :func:`write_graph`; filters on ``rev`` prune folders."""
-    return {n: spark.read.schema(s).json(f"{path}/{n}") for n, s in schemas.items()}
+    """Tables written by :func:`write_graph`; filters on ``rev`` prune folders. The empty revision's folder reads as null."""
+    return {n: spark.read.schema(s).json(f"{path}/{n}").na.fill("", ["rev"]) for n, s in schemas.items()}
 
 
 def save_snapshot(tables: dict[str, DataFrame], path: str, key: str) -> None:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from flowweft.operators import aggregate as A
+from flowweft.operators import validate as V_check
 from flowweft.operators import views as V
 from flowweft.operators.build import Facts, build_graph
 
@@ -59,6 +61,27 @@ def test_program_becomes_a_graph(spark):
     assert ("w1", "m5", "memory") in shown
 
 
+def test_routes_of_a_built_graph_roll_up(spark):
+    nodes, edges = build_graph(facts(spark))
+    pairs = {(r.src, r.dst) for r in V.visible_graph(nodes.withColumn("seq", F.xxhash64("id")), edges, compact=True)[1].filter("kind = 'train'").collect()}
+    home = {r.id: (r.function, r.package) for r in nodes.collect()}
+    functions = nodes.filter("function <> ''").select(F.col("function").alias("id"), F.col("function").alias("name"), "package").distinct()
+    assert V_check.validate_graph({"nodes": nodes, "edges": edges, "functions": functions}).count() == 0
+    types = {(r.src, r.dst): r.types for r in V.visible_graph(nodes.withColumn("seq", F.xxhash64("id")), edges)[1].filter("kind = 'train'").collect()}
+    assert all(t != [""] for t in types.values())
+    # One package: give every function its own, so that routes cross packages.
+    apart = nodes.withColumn("package", F.col("function"))
+    flows = A.package_overview(functions.withColumn("package", F.col("id")), apart, edges)[1].filter("kind = 'train'")
+    want = {}
+    for a, b in pairs:
+        key = (home[a][0], home[b][0])
+        if key[0] != key[1]:
+            want[key] = want.get(key, 0) + 1
+    assert {(r.src_package, r.dst_package): r.n for r in flows.collect()} == want and want
+    contact = A.function_graph(nodes, edges)
+    assert "" not in {r.id for r in contact.collect()} and {(a, b) for a, b in want} <= {(r.id, r.other) for r in contact.collect()}
+
+
 def test_row_order_does_not_matter(spark):
     a = facts(spark)
     b = Facts(**{k: v.orderBy(F.rand(7)) for k, v in vars(a).items()})

@@ -36,6 +36,28 @@ def test_directives_belong_to_the_next_function(spark):
     assert {(r.function, tuple(r.words)) for r in K.parse_directives(src).collect()} == {("A", ("rocket", "webrtc")), ("B", ("trash",))}
 
 
+def test_directives_below_long_comments_and_with_crlf(spark):
+    long = "// words\n" * 100_000 + "//flow:trash\nfunc Long() {}\n"
+    src = spark.createDataFrame(
+        [("f1", long), ("f2", "x\r\n//flow:rocket grpc\r\nfunc (t *T) A() {}\r\n"), ("f3", "//flow:trash\n\nfunc Gap() {}\n//flow:warehouse\n//flow:lost\nfunc A()"), ("f4", None)],
+        "file_id string, content string",
+    )
+    found = K.parse_directives(src)
+    assert {(r.file_id, r.function, tuple(r.words), r.line) for r in found.collect()} == {
+        ("f1", "Long", ("trash",), 100_002), ("f2", "A", ("rocket", "grpc"), 3), ("f3", "A", ("warehouse",), 6),
+    }
+    functions = spark.createDataFrame(
+        [("p.(*T).A", ("f2", 3)), ("q.A", ("f3", 6)), ("q.B", ("f3", 9)), ("p.Long", ("f1", 100_002))], "id string, source struct<file: string, line: int>"
+    )
+    marks = K.directive_functions(found, functions)
+    assert {(r.function, tuple(r.words)) for r in marks.collect()} == {("p.(*T).A", ("rocket", "grpc")), ("q.A", ("warehouse",)), ("p.Long", ("trash",))}
+    calls = spark.createDataFrame(
+        [("i1", "q.A"), ("i2", "q.B"), ("i3", "p.(*T).A")], "instr_id string, callee string"
+    ).withColumns({"callee_pkg": F.lit("q"), "callee_name": F.lit("A"), "signature": F.lit(""), "dispatch": F.lit("static"), "mode": F.lit("call"), "const_args": F.array().cast("array<string>")})
+    done = K.classify_calls(calls, directives=marks.unionByName(marks))
+    assert {(r.instr_id, r.kind) for r in done.collect()} == {("i1", "warehouse"), ("i2", "machine"), ("i3", "rocket")} and done.count() == 3
+
+
 def values(spark, rows):
     return spark.createDataFrame(rows, "value_id string, label string, type string, is_channel boolean, is_pointer boolean").withColumn("node", F.col("value_id"))
 

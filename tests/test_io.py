@@ -51,16 +51,61 @@ def test_graph_documents(spark, tmp_path):
 @pytest.mark.parametrize("change,rule", [
     ({}, None), ({"format": "x"}, "format"), ({"version": 2}, "format"), ({"view": {"fn": "gone"}}, "fn"), ({"view": {"pkg": "gone"}}, "pkg"),
     ({"sources": {"f9": "t"}}, "source"), ({"speed": 3}, "playback"), ({"time": -1}, "playback"), ({"camera": {"x": 0, "y": 0, "zoom": 9}}, "camera"),
+    ({"view": {"part": -2}}, "part"), ({"layouts": [{"view": {"part": -3}}]}, "part"), ({"view": {"layers": {"belt": "no"}}}, "document"), ({"playing": "yes"}, "document"),
     ({"layouts": [{"view": {}}, {"view": {"part": 0}}]}, "layout_key"), ({"layouts": [{"view": {"fn": "gone"}}]}, "fn"),
 ])
 def test_snapshot_mutations_are_reported(spark, tmp_path, change, rule):
     (tmp_path / "s.json").write_text("﻿" + json.dumps(snapshot(**change)), encoding="utf-8")
     t = D.read_snapshot(spark, str(tmp_path / "s.json"))
     layouts = normalize_view(t["layouts"].select("rev", "view.*"))
-    found = V.validate_snapshot(t["snapshots"], layouts, t["functions"], t["sources"], t["files"], FORMAT)
+    views = t["snapshots"].withColumn("part", F.col("view.part"))
+    found = V.validate_snapshot(views, layouts, t["functions"], t["sources"], t["files"], FORMAT)
     assert {r.rule for r in found.collect()} == ({rule} if rule else set())
 
 
+def test_damaged_graphs_are_reported(spark, tmp_path):
+    broken = {k: v for k, v in GRAPH.items() if k != "edges"} | {"revision": "lists"}
+    typed = json.loads(json.dumps(GRAPH)) | {"revision": "types"}
+    typed["nodes"][0]["source"]["line"] = "1"
+    texts = [json.dumps(GRAPH), json.dumps(broken), json.dumps(typed), json.dumps(GRAPH)[:60], "{"]
+    (tmp_path / "g.json").write_text("\n".join(texts))
+    t = D.read_graph(spark, str(tmp_path / "g.json"), multi_line=False)
+    found = V.validate_graph({k: t[k] for k in ("snapshots", "nodes", "edges", "functions")}).collect()
+    assert sum(r.rule == "document" for r in found) == 3 and ("missing_list", "lists:edges") in {(r.rule, r.key) for r in found}
+    assert not {r.rule for r in found} & {"repeated_id", "src", "dst"}
+
+
+def test_revisions_are_checked_and_kept_apart(spark, tmp_path):
+    nodes = spark.createDataFrame([("r1", "a", "machine", ""), ("r2", "a", "machine", ""), ("r2", "b", "machine", ""), ("", "a", "machine", "")], "rev string, id string, kind string, function string")
+    functions = spark.createDataFrame([("r1", ""), ("r2", ""), ("", "")], "rev string, id string")
+    edges = spark.createDataFrame([("r1", "e", "a", "b"), ("r2", "e", "a", "b")], "rev string, id string, src string, dst string")
+    found = V.validate_graph({"nodes": nodes, "edges": edges, "functions": functions}).collect()
+    assert {(r.rule, r.key) for r in found} == {("empty_id", ""), ("dst", "e")} and len(found) == 4
+    path = str(tmp_path / "all")
+    for rev in ("r1", "r2", ""):
+        D.write_graph({"nodes": nodes.filter(F.col("rev") == rev)}, path)
+    D.write_graph({"nodes": nodes.filter("rev = 'r1'")}, path)
+    back = D.read_tables(spark, path, {"nodes": "rev string, id string, kind string, function string"})["nodes"]
+    assert graph_diff(back, nodes).count() == 0
+
+
+def test_layouts_are_matched_one_by_one(spark):
+    at = "layout_id string, id string, x double, y double"
+    nodes = spark.createDataFrame([("l1", "a", 16.0, 16.0), ("l2", "a", 16.0, 16.0), ("l2", "b", 16.0, 48.0)], at)
+    none = spark.createDataFrame([], "layout_id string, edge_id string, start_dir int, end_dir int")
+    cells = spark.createDataFrame([], "layout_id string, edge_id string, pos int, x int, y int, layer int")
+    want = spark.createDataFrame([("l1", "a"), ("l1", "b"), ("l2", "a")], "layout_id string, id string")
+    found = V.match_layout(nodes, none, cells, want, want.filter("false")).collect()
+    assert {(r.rule, r.key) for r in found} == {("absent", "b"), ("unexpected", "b")}
+
+
+def test_a_large_source_keeps_its_text(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("é" * 1_700_000)
+    (tmp_path / "small.txt").write_text("x")
+    sizes = {r.path.rpartition("/")[2]: len(r.content or "") for r in X.read_sources(spark, str(tmp_path)).collect()}
+    assert sizes == {"big.txt": 1_700_000, "small.txt": 1}
+
+
 def test_bare_graph_is_a_snapshot(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps(GRAPH))
     t = D.read_snapshot(spark, str(tmp_path / "g.json"))

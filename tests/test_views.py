@@ -74,7 +74,7 @@ def test_train_kind_survives_a_helper(spark, make_nodes, make_edges):
 def test_busy_helpers_stay_as_junctions_with_equal_reach(spark, make_nodes, make_edges, seed):
     nodes, edges = random_graph(seed)
     want = {(a, b) for a, b, _ in brute(nodes, edges)}
-    shown, links = V.visible_graph(make_nodes(nodes), make_edges(edges), max_fan=1)
+    shown, links = V.visible_graph(make_nodes(nodes), make_edges(edges), linear=True)
     junctions = {r.id for r in shown.filter("role = 'junction'").collect()}
     assert junctions
     out = {}
@@ -163,5 +163,4 @@ def test_view_keys_ignore_what_is_on(spark):
     keys = {r.i: r.k for r in P.normalize_view(df).select("i", P.view_key().alias("k")).collect()}
     assert keys[1] == keys[2] != keys[3]
     bad = spark.createDataFrame([("f", "", -2, True, "", {})], "fn string, pkg string, part int, compact boolean, query string, layers map<string,boolean>")
-    with pytest.raises(Exception, match="part must be"):
-        P.normalize_view(bad).collect()
+    assert P.normalize_view(bad).first().part == -2  # validate_snapshot reports it
