@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Sequence
+from itertools import filterfalse
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -16,7 +17,7 @@ _OTHER_SPACE = ["\u180e", *[c for c in map(chr, range(0x3001)) if c.isspace() an
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 # Full stops and commas after a letter or digit start a token of their own, so a text may be cut there too, if all
 # its stops and commas stand so (after letters that stay letters in lower case).
-_LOOSE_STOP = re.compile("(?:^|[^0-9A-Za-zÀ-ÖØ-öø-įı-ſΑ-ΡΣ-Ωα-ωА-Яа-яё])[.,]")
+_LOOSE_STOP = re.compile("[.,](?<![0-9A-Za-zÀ-ÖØ-öø-įı-ſΑ-ΡΣ-Ωα-ωА-Яа-яё][.,])")
 _FENCE = "\ue000"  # stands between new pieces that are encoded together
 
 
@@ -101,7 +102,10 @@ class PieceEncoder:
     def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of texts as little-endian unsigned 32-bit integers; null counts as empty."""
         cut = [self._pieces(t) if t else [] for t in texts]
-        new = set().union(*[c for c in cut if c]).difference(self.known)
+        new: set[str] = set()
+        for keys in cut:
+            if keys:
+                new.update(filterfalse(self.known.__contains__, keys))
         if new:
             if len(self.known) + len(new) > self.remember:
                 self.older, self.known = self.known, {}
