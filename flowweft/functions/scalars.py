@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -197,7 +195,7 @@ def csv_cell(c, is_text: bool = True) -> Column:
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; the one step Spark has no function for."""
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    return s.str.normalize("NFKC")
 
 
 def safe_name(c, extension: str = "", prefix: str = "", fallback: str = "factory", compose: bool = True) -> Column:

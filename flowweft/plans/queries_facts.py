@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import aggregate as A
 from ..operators import classify as K
 from ..operators import linking as L
+from ..operators import views as V
 from . import facts as D
 from . import graphs as G
 from .registry import query
@@ -98,6 +100,61 @@ def _(spark, d):
     return _routes(spark, d)[0].drop("key")
 
 
+def _routed_graph(spark, d):
+    """Operations of the channel facts in functions and packages of their own, with the hubs of their routes."""
+    hubs, edges = _routes(spark, d)
+    number = F.substring("instr_id", 2, 20).cast("bigint")
+    operations = D.channel_ops(spark, d).select(
+        F.col("instr_id").alias("id"), F.concat(F.lit("f."), number % 50).alias("function"), F.concat(F.lit("pkg."), number % 7).alias("package"),
+        F.lit(False).alias("helper"), F.lit(None).cast("string").alias("role"),
+    )
+    empty = F.lit("")
+    nodes = operations.unionByName(hubs.select(
+        "id", empty.alias("function"), empty.alias("package"), F.lit(True).alias("helper"), F.lit("hub").alias("role")
+    )).withColumns({"kind": F.lit("station"), "label": F.col("id"), "seq": F.xxhash64("id")})
+    return nodes, edges.withColumn("seq", F.xxhash64("src", "dst"))
+
+
+PAIR_SQL = ROUTE_SQL + """,
+pairs AS (
+  SELECT s.instr_id AS src, r.instr_id AS dst, 'msg.' || s.event_type AS type, substr(s.instr_id, 2)::BIGINT AS a, substr(r.instr_id, 2)::BIGINT AS b
+  FROM keyed s JOIN keyed r USING (root) WHERE s.dir = 'send' AND r.dir = 'recv')
+"""
+
+
+@query("visible_graph_routes", PAIR_SQL + "SELECT src, dst, 'train' AS kind, type AS types FROM pairs")
+def _(spark, d):
+    links = V.visible_graph(*_routed_graph(spark, d))[1]
+    return links.select("src", "dst", "kind", F.array_join("types", ",").alias("types"))
+
+
+@query("package_overview_built", PAIR_SQL + """
+SELECT 'pkg.' || (a % 7) AS src_package, 'pkg.' || (b % 7) AS dst_package, 'train' AS kind, count(*) AS n, array_to_string(list_sort(list(DISTINCT type)), ',') AS types
+FROM pairs WHERE a % 7 <> b % 7 GROUP BY 1, 2""")
+def _(spark, d):
+    nodes, edges = _routed_graph(spark, d)
+    functions = nodes.filter("package <> ''").select(F.col("function").alias("id"), "package").distinct()
+    return A.package_overview(functions, nodes, edges)[1].withColumn("types", F.array_join("types", ","))
+
+
+@query("function_graph_built", PAIR_SQL + """
+SELECT id, other, sum(n)::DOUBLE AS weight FROM (
+  SELECT 'f.' || (a % 50) AS id, 'f.' || (b % 50) AS other, count(*) AS n FROM pairs WHERE a % 50 <> b % 50 GROUP BY 1, 2
+  UNION ALL SELECT 'f.' || (b % 50), 'f.' || (a % 50), count(*) FROM pairs WHERE a % 50 <> b % 50 GROUP BY 1, 2) GROUP BY 1, 2""")
+def _(spark, d):
+    return A.function_graph(*_routed_graph(spark, d))
+
+
+@query("contact_graph_counts", PAIR_SQL + """,
+flows AS (SELECT least(a % 7, b % 7) AS x, greatest(a % 7, b % 7) AS y, count(*)::DOUBLE AS weight FROM pairs WHERE a % 7 <> b % 7 GROUP BY 1, 2)
+SELECT 'pkg.' || x AS id, 'pkg.' || y AS other, weight FROM flows UNION ALL SELECT 'pkg.' || y, 'pkg.' || x, weight FROM flows""")
+def _(spark, d):
+    nodes, edges = _routed_graph(spark, d)
+    functions = nodes.filter("package <> ''").select(F.col("function").alias("id"), "package").distinct()
+    flows = A.package_overview(functions, nodes, edges)[1].withColumnsRenamed({"src_package": "src", "dst_package": "dst"})
+    return A.contact_graph(functions.select(F.col("package").alias("id")).distinct(), flows)
+
+
 def _addresses(spark, d):
     values = D.addr_values(spark, d)
     none = values.select(F.col("value_id").alias("value_a"), F.col("value_id").alias("value_b")).filter("value_a <> value_b")
@@ -279,6 +336,11 @@ SELECT 'd' || doc_id AS file_id, 'Doc' || doc_id AS function,
   CASE doc_id % 4 WHEN 0 THEN 'rocket ' || lang WHEN 1 THEN 'warehouse' ELSE 'trash ' || source END AS words
 FROM documents WHERE doc_id % 4 < 3""")
 def _(spark, d):
+    return K.parse_directives(_commented(spark, d)).select("file_id", "function", F.array_join("words", " ").alias("words"))
+
+
+def _commented(spark, d):
+    """A source file per document: its text as comments, a directive block of one of four kinds, a method."""
     kind = F.col("doc_id") % 4
     block = (
         F.when(kind == 0, F.concat(F.lit("//flow:rocket "), "lang", F.lit("\n// note\n")))
@@ -288,5 +350,25 @@ def _(spark, d):
     )
     body = F.concat(F.lit("// "), F.regexp_replace("text", "\n", "\n// "), F.lit("\n\n"))
     content = F.concat(body, block, F.lit("func (r *T) Doc"), F.col("doc_id"), F.lit("(x int) {\n}\n"))
-    sources = G.table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("file_id"), content.alias("content"))
-    return K.parse_directives(sources).select("file_id", "function", F.array_join("words", " ").alias("words"))
+    return G.table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("file_id"), content.alias("content"))
+
+
+@query("classify_with_directives", """
+SELECT 'c' || doc_id AS instr_id, CASE doc_id % 4 WHEN 0 THEN 'rocket' WHEN 1 THEN 'warehouse' WHEN 2 THEN 'trash' ELSE 'machine' END AS kind,
+  CASE doc_id % 4 WHEN 0 THEN lang WHEN 2 THEN source ELSE '' END AS protocol
+FROM documents""")
+def _(spark, d):
+    docs, name = G.table(spark, d, "documents"), F.concat(F.lit("Doc"), F.col("doc_id"))
+    # Lines of the commented text, a blank one, the block of two or three lines, then the method.
+    line = F.size(F.split("text", "\n")) + 1 + F.when(F.col("doc_id") % 4 == 3, 3).otherwise(2) + 1
+    functions = docs.select(
+        F.concat(F.lit("p."), F.col("doc_id") % 5, F.lit("."), name).alias("id"),
+        F.struct(F.concat(F.lit("d"), "doc_id").alias("file"), line.alias("line")).alias("source"), "doc_id",
+    )
+    marks = K.directive_functions(K.parse_directives(_commented(spark, d)), functions)
+    text = lambda v: F.lit(v)
+    calls = functions.select(
+        F.concat(F.lit("c"), "doc_id").alias("instr_id"), F.col("id").alias("callee"), text("app/local").alias("callee_pkg"), text("Do").alias("callee_name"),
+        text("").alias("signature"), text("static").alias("dispatch"), text("call").alias("mode"), F.array().cast("array<string>").alias("const_args"),
+    )
+    return K.classify_calls(calls, directives=marks).select("instr_id", "kind", "protocol")

@@ -140,7 +140,7 @@ bridge AS (SELECT layout_id, edge_id, tx, ty FROM ln WHERE line % 2 = 1 AND q >=
 env AS (
   SELECT layout_id, x, y, count(*) AS n FROM (
     SELECT layout_id, edge_id, x, unnest(range(ty - 1, ty + 2))::INT AS y FROM (SELECT *, unnest(range(tx + 3, tx + 11))::INT AS x FROM bridge)) GROUP BY ALL),
-meets AS (SELECT u.layout_id, u.edge_id, u.x, u.y FROM cells u JOIN cells g ON g.layout_id = u.layout_id AND g.x = u.x AND g.y = u.y AND u.layer = 1 AND g.layer = 0)
+meets AS (SELECT u.layout_id, u.edge_id, u.x, u.y FROM cells u SEMI JOIN (SELECT layout_id, x, y FROM cells WHERE layer = 0 GROUP BY ALL) g ON g.layout_id = u.layout_id AND g.x = u.x AND g.y = u.y WHERE u.layer = 1)
 """
 
 

@@ -16,14 +16,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
     AQE splits a shuffle partition that one hot key fills, and it may add a
     shuffle to do so: most joins here feed an aggregation, and without the
-    second flag AQE would keep the skewed plan in exactly those cases.
+    second flag AQE would keep the skewed plan in exactly those cases. They hold for the
+    session from then on; nothing else of it is changed.
     """
     for key, value in {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-        "spark.sql.session.timeZone": "UTC",
     }.items():
         spark.conf.set(key, value)
     return spark
@@ -39,7 +39,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return f"{named.rstrip('/')}/flowweft-{app}"
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = tempfile.mkdtemp(prefix="flowweft-")
