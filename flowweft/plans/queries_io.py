@@ -459,10 +459,13 @@ def _(spark, d):
     return G.table(spark, d, "documents").select("doc_id", S.safe_name("text", "csv", compose=False).alias("name"))
 
 
-@query("safe_name_composed")
+@query("safe_name_composed", """
+WITH t AS (SELECT doc_id, left(regexp_replace(regexp_replace(nfc_normalize(text), '[^\\p{L}\\p{N}._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 90) AS n FROM documents)
+SELECT doc_id, CASE WHEN n = '' THEN 'factory' ELSE n END || '.csv' AS name FROM t""")
 def _(spark, d):
-    """With compatibility composition, which SQL lacks; tested on a fixture."""
-    return G.table(spark, d, "documents").select("doc_id", S.safe_name("text", "csv").alias("name"))
+    """Titles written with full-width letters: composed, they are the texts themselves."""
+    wide = F.translate("text", "aeot", "ａｅｏｔ")
+    return G.table(spark, d, "documents").select("doc_id", S.safe_name(wide, "csv").alias("name"))
 
 
 @query("kind_title", G.with_events("""
@@ -562,17 +565,18 @@ e AS (
   UNION SELECT a.value_id, callee || '.p' || p.idx, 'call' FROM calls c JOIN call_args a USING (instr_id) JOIN params p ON p.function = c.callee AND p.idx = a.idx
   UNION SELECT instr_id, entry, 'call' FROM calls JOIN entries USING (callee) WHERE instr_id <> entry AND callee NOT IN (SELECT function FROM params)
   UNION SELECT callee || '.ret', instr_id, 'return' FROM calls JOIN rets ON function = callee WHERE mode = 'call'
-  UNION SELECT CASE WHEN into_ THEN instr_id ELSE key END, CASE WHEN into_ THEN key ELSE instr_id END, CASE WHEN into_ THEN 'memory' ELSE 'belt' END FROM live
-  UNION SELECT CASE dir WHEN 'send' THEN instr_id ELSE root END, CASE dir WHEN 'send' THEN root ELSE instr_id END,
+  UNION SELECT CASE WHEN into_ THEN instr_id ELSE 'memory:' || key END, CASE WHEN into_ THEN 'memory:' || key ELSE instr_id END,
+    CASE WHEN into_ THEN 'memory' ELSE 'belt' END FROM live
+  UNION SELECT CASE dir WHEN 'send' THEN instr_id ELSE 'train:' || root END, CASE dir WHEN 'send' THEN 'train:' || root ELSE instr_id END,
     CASE dir WHEN 'send' THEN 'train' ELSE 'belt' END FROM troots JOIN tlive USING (root))
-SELECT kind, count(*) AS n FROM e GROUP BY kind"""
+SELECT src, dst, kind FROM e"""
 
 
 @query("build_graph_edges", BUILD_SQL)
 def _(spark, d):
-    """Edges per kind; trash ends are checked by their own query."""
+    """Every link of the build; trash ends are checked by their own query."""
     _nodes, edges = B.build_graph(_facts(spark, d))
-    return edges.filter("kind <> 'disposal'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return edges.filter("kind <> 'disposal'").select("src", "dst", "kind").distinct()
 
 
 @query("build_graph_nodes")
