@@ -88,6 +88,17 @@ def _neighbour(df, group, order, columns, offset):
     )
 
 
+def next_filled(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """The first value that is not null at or after each row of its group."""
+    after = W.partitionBy(*group).orderBy("_slice").rowsBetween(1, W.unboundedFollowing)
+    rows = _per_slice(
+        _by_slices(df, group, order), group, {"_head": F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_pos")))},
+        {"_beyond": F.first("_head", ignorenulls=True).over(after)},
+    )
+    here = W.partitionBy(*group, "_slice").orderBy("_pos").rowsBetween(0, W.unboundedFollowing)
+    return rows.withColumn(name, F.coalesce(F.first(value, ignorenulls=True).over(here), F.col("_beyond"))).drop(*_OWN, "_beyond")
+
+
 def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
     """Sum of ``value`` up to and including each row of its group."""
     rows = _per_slice(
