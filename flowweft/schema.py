@@ -58,3 +58,34 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
         return value.alias(field.name)
 
     return df.select(*[column(f) for f in T.StructType.fromDDL(schema).fields])
+
+
+# Column names, by table, that hold ids of the same revision.
+_OF_REVISION = {
+    "nodes": ("id", "function", "package"), "edges": ("id", "src", "dst"), "functions": ("id", "package"),
+}
+_MARK = "\x1f"
+
+
+def per_revision(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The graph tables of several revisions with ids that carry their ``rev``.
+
+    Equal ids of different revisions stay apart from then on, so every operator on nodes,
+    edges and functions works per revision in one run. Empty ids stay empty. ``plain_id``
+    and ``revision_of`` take the parts of an id again.
+    """
+
+    def marked(c: str) -> Column:
+        return F.when(F.col(c) == "", "").otherwise(F.concat("rev", F.lit(_MARK), c)).alias(c)
+
+    return {
+        name: df.select(*[marked(c) if c in _OF_REVISION.get(name, ()) else c for c in df.columns]) for name, df in tables.items()
+    }
+
+
+def plain_id(c: str) -> Column:
+    return F.element_at(F.split(F.col(c), _MARK), -1)
+
+
+def revision_of(c: str) -> Column:
+    return F.when(F.contains(F.col(c), F.lit(_MARK)), F.split(F.col(c), _MARK)[0]).otherwise("")

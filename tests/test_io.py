@@ -186,3 +186,22 @@ def test_projects_and_windows(spark):
     places = spark.createDataFrame([("n", "f1", 2), ("m", "f1", 6)], "id string, file_id string, line int")
     got = {i: [(r.line, r.active) for r in X.source_window(places, src).filter(F.col("id") == i).orderBy("line").collect()] for i in "nm"}
     assert got["n"] == [(1, False), (2, True), (3, False), (4, False), (5, False)] and [x for x, _ in got["m"]] == [4, 5, 6, 7]
+
+
+def test_operators_work_per_revision(spark):
+    from flowweft.operators import aggregate as A
+    from flowweft.operators.closure import trace
+    from flowweft.schema import per_revision, plain_id, revision_of
+
+    nodes = spark.createDataFrame([(r, i, "f" + i, "p" + i) for r in ("r1", "r2") for i in "abc"], "rev string, id string, function string, package string")
+    functions = nodes.select("rev", F.col("function").alias("id"), "package")
+    edges = spark.createDataFrame(
+        [("r1", "e1", "a", "b"), ("r2", "e1", "b", "c"), ("r2", "e2", "c", "a")], "rev string, id string, src string, dst string"
+    ).withColumns({"kind": F.lit("train"), "label": F.lit(""), "type": F.lit("T")})
+    t = per_revision({"nodes": nodes, "edges": edges, "functions": functions})
+    parts = lambda c: (revision_of(c), plain_id(c))
+    seeds = t["nodes"].filter(plain_id("id") == "b").select("id")
+    assert {tuple(r) for r in trace(t["edges"], seeds).select(*parts("id")).collect()} == {("r1", "a"), ("r1", "b"), ("r2", "a"), ("r2", "b"), ("r2", "c")}
+    flows = A.package_overview(t["functions"], t["nodes"], t["edges"])[1]
+    assert {tuple(r) for r in flows.select(*parts("src_package"), plain_id("dst_package"), "n").collect()} == {
+        ("r1", "pa", "pb", 1), ("r2", "pb", "pc", 1), ("r2", "pc", "pa", 1)}

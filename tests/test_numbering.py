@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from flowweft.functions.numbering import number_rows, running_sum, with_next, with_previous
+from flowweft.functions.numbering import next_filled, number_rows, running_sum, with_next, with_previous
 
 
 def _data(spark):
@@ -36,3 +36,13 @@ def test_whole_table_numbers(spark):
     rows, df = _data(spark)
     got = [r.t for r in number_rows(df, [], [F.col("t")]).orderBy("rn").collect()]
     assert got == sorted(t for _, t, _ in rows)
+
+
+def test_next_value_that_is_not_null(spark):
+    rows, df = _data(spark)
+    marked = df.withColumn("m", F.when(F.col("t") % 7 == 0, F.col("t")))
+    got = {(r.g, r.t): r.f for r in next_filled(marked, ["g"], [F.col("t")], "m", "f").collect()}
+    for g, items in _by_group(rows).items():
+        ts = [t for t, _ in items]
+        for i, t in enumerate(ts):
+            assert got[g, t] == next((x for x in ts[i:] if x % 7 == 0), None)
