@@ -138,22 +138,38 @@ def _agreeing(least: int):
     return agree
 
 
+class _ShingleSets(dict):
+    """Shingle sets by text; starts anew when it holds more than ``most`` shingles."""
+
+    def __init__(self, most: int = 2_000_000):
+        self.most, self.held = most, 0
+
+    def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = shingles(word_hashes(text))
+        if self.held + len(found[0]) > self.most:
+            self.clear()
+            self.held = 0
+        self.held += len(found[0])
+        self[text] = found
+        return found
+
+
+_SETS = _ShingleSets()
+
+
 def _similar(least: float):
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[str, tuple] = {}  # within one batch: a pivot comes many times
-        out = []
-        for x, y in zip(a, b, strict=True):
-            if x not in known:
-                known = {x: shingles(word_hashes(x))}
-            out.append(similarity(known[x], shingles(word_hashes(y))) >= least)
-        return pd.Series(out, dtype=bool)
+        return pd.Series([similarity(_SETS[x], _SETS[y]) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
 
     return similar
 
 
-def _blocks(least: int):
-    """Pairs of members of different components whose signatures agree often enough, in one pair of blocks."""
+def _blocks(least: int, most: int):
+    """Pairs of members of different components whose signatures agree often enough, in one pair of blocks.
+
+    Of a member's pairs only the ``most`` that agree best are told; ``cut`` says whether there were more.
+    """
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group.side == 0], group[group.side == 1]
@@ -162,10 +178,12 @@ def _blocks(least: int):
             ys = np.stack([np.frombuffer(s, np.uint32) for s in right.sketch])
             b, cb = right.rep.to_numpy(), right.component.to_numpy()
             for rep, component, sketch in zip(left.rep, left.component, left.sketch, strict=True):
-                other = (cb != component) & (b > rep)
-                near = (ys[other] == np.frombuffer(sketch, np.uint32)).sum(axis=1) >= least
-                found += [(rep, x) for x in b[other][near].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+                other = np.flatnonzero(cb != component)
+                agree = (ys[other] == np.frombuffer(sketch, np.uint32)).sum(axis=1)
+                other, agree = other[agree >= least], agree[agree >= least]
+                best = b[other][np.lexsort((b[other], -agree))[:most]].tolist()
+                found += [(min(rep, x), max(rep, x), len(other) > most) for x in best]
+        return pd.DataFrame(found, columns=["a", "b", "cut"]).astype({"a": "int64", "b": "int64", "cut": bool})
 
     return compare
 
@@ -217,14 +235,17 @@ def near_duplicates(
     links = _verified(tried, folded, docs, least)
     roots = materialize(component_roots(links))
 
-    labelled = members.filter("size > 2").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("root", "rep")
-    )
-    split = labelled.groupBy("bucket").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")
-    ).filter("x != y").select("bucket", F.ceil(F.col("size") / block_rows).cast("int").alias("blocks"))
-    parts, left_over = write_table(labelled.select("bucket", "rep", "component").join(split, "bucket"))
-    if left_over:
+    # The best pairs come first: one link is enough to join two components (edited copies with their original, most
+    # of all), and only pairs of components that stay apart are gone through to the end.
+    most, done = 2, False
+    while not done:
+        labelled = members.filter("size > 2").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+            "component", F.coalesce("root", "rep")
+        )
+        split = labelled.groupBy("bucket").agg(
+            F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")
+        ).filter("x != y").select("bucket", F.ceil(F.col("size") / block_rows).cast("int").alias("blocks"))
+        parts = labelled.select("bucket", "rep", "component").join(split, "bucket")
         own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int")
         each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         sides = parts.join(sketches, "rep")
@@ -232,11 +253,18 @@ def near_duplicates(
         both = sides.withColumn("side", F.lit(0)).withColumn("p", own).withColumn("q", each).select(*columns).unionByName(
             sides.withColumn("side", F.lit(1)).withColumn("q", own).withColumn("p", each).select(*columns)
         )
-        found = both.groupBy("bucket", "p", "q").applyInPandas(_blocks(enough), "a long, b long").distinct()
-        more, n = write_table(found.join(tried, ["a", "b"], "left_anti"))
-        if n:
-            links = links.unionByName(_verified(more, folded, docs, least))
-            roots = materialize(component_roots(links))
+        found = both.groupBy("bucket", "p", "q").applyInPandas(_blocks(enough, most), "a long, b long, cut boolean")
+        pairs = found.groupBy("a", "b").agg(F.max("cut").alias("cut")).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left")
+        told = materialize(pairs)
+        left = told.agg(F.count_if(F.col("old").isNull()).alias("new"), F.max("cut").alias("cut")).first()
+        if left.new:
+            more = told.filter("old IS NULL").select("a", "b")
+            tried = tried.unionByName(more)
+            better, n = write_table(_verified(more, folded, docs, least))
+            if n:
+                links = links.unionByName(better)
+                roots = materialize(component_roots(links))
+        done, most = not left.cut, most * 8
 
     classes = folded.select("fp", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         "fp", F.coalesce("root", "rep").alias("component")
