@@ -160,3 +160,44 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], most: int
     name = free_name(docs, "found")
     told = docs.withColumn(name, found)
     return told.withColumns({"lang_pred": F.col(name)["lang"], "score": F.col(name)["score"]}).drop(name)
+
+
+def has_letters(text: str = "text") -> Column:
+    """Whether a text is there and holds a letter, as n-grams see it."""
+
+    @F.pandas_udf("boolean")
+    def lettered(texts: pd.Series) -> pd.Series:
+        return pd.Series([x is not None and any(map(str.isalpha, x)) for x in texts], dtype=bool)
+
+    return lettered(F.col(text))
+
+
+def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = 400, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """Per language, the lowest score of all documents that name it and are found to be in it.
+
+    All rows count, not only those that profiles are fitted on. A language that no such document has gets the lowest
+    bound of the others. A score of 0 (no n-gram in common) is none that a document can be found by, so bounds are positive.
+    """
+    named = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    found = predict_language(named, profiles, most, "_text").filter((F.col("lang_pred") == F.col("_lang")) & (F.col("score") > 0))
+    least = {r["lang_pred"]: r["least"] for r in found.groupBy("lang_pred").agg(F.min("score").alias("least")).collect()}
+    other = min(least.values(), default=float(np.nextafter(0.0, 1.0)))
+    return {name: least.get(name, other) for name in profiles}
+
+
+def keep_told(docs: DataFrame, profiles: dict[str, np.ndarray], least: dict[str, float], most: int = 400, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents with letters that name a language, or whose score reaches the least one of the language found."""
+    judge = Judge(profiles, most)
+
+    @F.pandas_udf("boolean")
+    def told(texts: pd.Series, named: pd.Series) -> pd.Series:
+        keep = []
+        for one, known in zip(texts, named, strict=True):
+            if known:
+                keep.append(one is not None and any(map(str.isalpha, one)))
+            else:
+                name, score = judge.decide(one)
+                keep.append(name != UNKNOWN and score >= least[name])
+        return pd.Series(keep, dtype=bool)
+
+    return docs.filter(told(F.col(text), F.col(lang).isNotNull()))

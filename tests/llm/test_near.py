@@ -163,3 +163,23 @@ def test_pipeline_of_no_documents(text_spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(text_spark, docs, D))
     assert docs.count() == 0
+
+
+def test_language_stage_rejects_what_no_profile_is_near_to(text_spark, make_docs):
+    docs = text_spark.read.parquet(f"{D}/documents.parquet")
+    rng = random.Random(9)
+    noise = " ".join("".join(rng.choice("qxzjkwvy") for _ in range(9)) for _ in range(200))
+    english = docs.filter("lang = 'en' AND n_chars > 300").select("text").first().text
+    odd = make_docs([
+        (-1, "Это текст на другом языке, которого нет ни в одном профиле.", None), (-2, noise, None), (-3, english, None),
+        (-4, "123 ...", "en"), (-5, None, "en"), (-6, None, None), (-7, "", None), (-8, "Имя", "en"),
+    ]).select(*docs.columns)
+    everything = docs.unionByName(odd)
+    kept = Counter(r.doc_id for r in corpus_pipeline.identify_language(text_spark, everything, D).collect())
+    want = Counter(r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
+    assert kept == want + Counter([-3, -8])
+
+
+def test_language_stage_without_named_languages(text_spark, make_docs):
+    docs = make_docs([(1, "some words"), (2, None), (3, ""), (4, "12 *** 34"), (5, "слова")])
+    assert {r.doc_id for r in corpus_pipeline.identify_language(text_spark, docs, D).collect()} == {1, 5}
