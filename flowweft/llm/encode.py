@@ -22,11 +22,20 @@ _FENCE = "\ue000"  # stands between new pieces that are encoded together
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece. Up to ``remember`` pieces are kept, and as many of the time before."""
+    """Encodes texts piece by piece. Up to ``remember`` pieces are kept, and as many of the time before.
 
-    def __init__(self, path: str, remember: int = 300_000, longest: int = 64, together: int = 512):
+    With ``special_as_text`` a special token's content that stands in a text is spelled out in other tokens. Without it
+    ids are those of the tokenizer as its file has it, as ``encoder`` wants them: the content becomes the token.
+    """
+
+    def __init__(self, path: str, remember: int = 300_000, longest: int = 64, together: int = 512, special_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        # A text that holds an added token is encoded in one go: the token cuts the text before anything else does.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not t.normalized]
+        normal = self.tokenizer.normalizer
+        self.added_normal = [normal.normalize_str(t.content) if normal else t.content for t in added if t.normalized]
         self.remember, self.longest, self.together = remember, longest, together
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -44,11 +53,19 @@ class PieceEncoder:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return array("I", ids).tobytes()
 
+    def _holds_added(self, text: str) -> bool:
+        if any(map(text.__contains__, self.added)):
+            return True
+        if not self.added_normal:
+            return False
+        normal = self.tokenizer.normalizer
+        return any(map((normal.normalize_str(text) if normal else text).__contains__, self.added_normal))
+
     def _pieces(self, text: str) -> list[str] | None:
         """Keys of a text's pieces: a piece after one space is keyed without it, one that starts with a line feed, full
         stop or comma as it is, any other after a carriage return.
         """
-        if any(map(text.__contains__, _OTHER_SPACE)):
+        if any(map(text.__contains__, _OTHER_SPACE)) or self._holds_added(text):
             return None
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or " ." in text or " ," in text or text[0] in " \n.," or text[-1] in " \n":
             return ["\r" + p for p in _PIECE.findall(text)]
@@ -128,5 +145,5 @@ _LOADED: dict[str, PieceEncoder] = {}
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder for a tokenizer file, loaded once."""
     if path not in _LOADED:
-        _LOADED[path] = PieceEncoder(path)
+        _LOADED[path] = PieceEncoder(path, special_as_text=False)
     return _LOADED[path]

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from flowweft.llm import token_files as T
 from flowweft.llm import vector_packing as V
 from flowweft.llm.common import shared_folder
-from flowweft.llm.encode import PieceEncoder
+from flowweft.llm.encode import PieceEncoder, encoder
 
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -36,6 +36,26 @@ def test_pieces_give_the_ids_of_whole_texts(path):
         assert [np.frombuffer(x, "<u4").tolist() for x in one.encode_all(group)] == want
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_operators_give_the_ids_of_the_tokenizer_as_it_is(path):
+    rng, whole = random.Random(5), Tokenizer.from_file(path)
+    parts = ["a", "Bc", " ", "  ", "\n", ".", ",", "1", "é", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "\t"]
+    texts = ["a <|endoftext|> b", *["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2000)]]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder(path).encode_all(texts)]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert whole.token_to_id("<|endoftext|>") in got[0]
+
+
+def test_token_index_and_packing_of_added_tokens(make_docs):
+    text = "a <|endoftext|> b"
+    for path, n, crc in (
+        (WORD, "n_tokens", {r.doc_id: r for r in T.token_index(make_docs([(1, text)]), WORD, 1).collect()}),
+        (BYTE, "length", {r.doc_id: r for r in V.pack_documents(make_docs([(1, text)]), BYTE, 2).collect()}),
+    ):
+        ids = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1 if path == WORD else 2]
+        assert crc[1][n] == len(ids) and crc[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 31, 32])
 def test_packing_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001, dtype=np.uint64).astype(np.uint32)
