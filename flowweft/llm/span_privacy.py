@@ -117,17 +117,31 @@ _WORD = re.compile(r"[^\W\d_]+")
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
 _AT_BRACKET = re.compile(rf"[ ]?{_OPEN}(?:{'|'.join(AT_WORDS)}|@){_CLOSE}[ ]?", re.IGNORECASE)
 _DOT_BRACKET = re.compile(rf"[ ]?{_OPEN}(?:{'|'.join(DOT_WORDS)}|\.){_CLOSE}[ ]?", re.IGNORECASE)
-# Without brackets, words for @ and full stop that go together, and the ends a host must then have.
-BARE_PAIRS = {"at": "dot", "arroba": "punto", "arobase": "point", "klammeraffe": "punkt"}
+# Host ends that are known to be ones, for where a word alone does not tell an address from prose.
 HOST_ENDS = frozenset(
-    "com org net edu gov mil int info biz io ai co me tv app dev eu uk us ca au in jp cn ru br mx ar cl pe de at ch fr be nl it es pt pl se no fi dk ie cz gr example test".split()
+    "com org net edu gov mil int info biz io ai co me tv app dev eu uk us ca au in jp cn ru br mx ar cl pe de at ch fr be nl it es pt pl se no fi dk ie cz gr example test "
+    "xyz online shop site store tech cloud email mail pro name mobi agency berlin paris london blog club news nz za kr tw hk sg my th vn ph tr ua hu ro bg hr si sk lt lv ee "
+    "lu li is il ae sa ir pk bd lk eg ma tn ng ke gh uy py ve ec bo cr cu gt hn ni pa sv su kz by cat".split()
 )
-_NAME, _LABEL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*", r"[A-Za-z0-9-]+"
-_BARE_DOT = rf"(?:[ ](?:{'|'.join(DOT_WORDS)})[ ]|\.)"
-_BARE = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}+(?P<at>[ ](?:{'|'.join(AT_WORDS)})[ ]|@)(?P<domain>{_LABEL}(?:{_BARE_DOT}{_LABEL})+)", re.IGNORECASE
+# "at ... point" is English prose as well ("at this point in time"): these words before or after "point" are no host.
+_PROSE_ENDS = frozenset("in it at be no us me is so to my by as am do test name store shop mail news pro blog club site online".split())
+_PROSE_LABELS = frozenset("a an the this that these those some any one no each every which what his her its my our your their another such".split())
+# Ends that file names have as well, and words before "at host.end" that speak of a site, not of a person.
+_FILE_ENDS = frozenset("py".split())
+_SITE_NAMES = frozenset(
+    "a an the us me him her it them you we i he she they this that these those more most much info information details detail available online found find visit see look looks "
+    "looking read learn here there site website page pages blog is are was were be been version out free up download downloads hosted published posted sold located live stay "
+    "arrive directly now today anytime only also work works worked working employed job team shop buy order check ask join starts started back not and or but".split()
 )
-_BARE_HINT = re.compile(rf"[ ](?:{'|'.join(DOT_WORDS)})[ ]", re.IGNORECASE)
+_LABEL = r"[A-Za-z0-9-]+"
+_BARE_DOT = rf"(?:[ ](?:{'|'.join(DOT_WORDS)})[ ]|\.)"
+_BARE = re.compile(rf"(?:[ ](?:{'|'.join(AT_WORDS)})[ ]|@)(?={_LABEL}{_BARE_DOT}{_LABEL})", re.IGNORECASE | re.ASCII)
+_FIRST, _NEXT = re.compile(_LABEL), re.compile(rf"({_BARE_DOT})({_LABEL})", re.IGNORECASE | re.ASCII)
+_END = re.compile(r"[A-Za-z]{2,63}|[Xx][Nn]--[A-Za-z0-9-]{1,59}")
+# Numbers up to three digits, as digits or words, in fours with a word for full stop between some.
+_NUMBER = rf"{_ONE}(?:[ -]?{_ONE}){{0,2}}"
+_NUMBERS = re.compile(rf"(?<![0-9])(?<![0-9]\.){_NUMBER}(?:(?:[ ](?:{'|'.join(DOT_WORDS)})[ ]|[ ]?\.[ ]?){_NUMBER}){{3}}(?![0-9])", re.IGNORECASE)
+_NUMBERS_HINT = re.compile(rf"[ ](?:{'|'.join(DOT_WORDS)})[ ]{_ONE}", re.IGNORECASE)
 _WORD_DOT = re.compile(rf"[ ](?:{'|'.join(DOT_WORDS)})[ ]", re.IGNORECASE)
 _SPACED = re.compile(r"(?<=[A-Za-z0-9]) ([@.]) (?=[A-Za-z0-9])")
 
@@ -192,16 +206,58 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), lead + (compact if compact.count(".") == 3 else compact.replace(".", ""))
 
 
+def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
+    """``192 dot 168 dot 0 dot 1``, in digits, digit words or both."""
+    for m in _NUMBERS.finditer(text):
+        if _WORD_DOT.search(m.group()):
+            parts = re.split(r"\.", _WORD_DOT.sub(".", m.group()))
+            plain = [re.sub(r"[^0-9]", "", _WORD.sub(lambda w: _VALUE.get(w.group().lower(), ""), p)) for p in parts]
+            if all(int(p) <= 255 for p in plain):
+                yield m.start(), m.end(), ".".join(plain)
+
+
 def _bare(text: str) -> Iterator[tuple[int, int, str]]:
-    """``name at host dot org``, or with one of the two signs written as such."""
+    """``name at host dot org``, or with one of the two signs written as such; the longest host that may be one."""
+    done = 0
     for m in _BARE.finditer(text):
-        dots = list(_WORD_DOT.finditer(text, m.start("domain"), m.end("domain")))
-        at, host_end = m["at"].strip().lower(), re.split(r"[. ]", m["domain"])[-1].lower()
-        if dots and host_end in HOST_ENDS and (at == "@" or all(w.group().strip().lower() == BARE_PAIRS[at] for w in dots)):
+        a = m.start()
+        if a < done or a == 0 or text[a - 1] not in _LOCAL:
+            continue
+        b = a
+        while b > done and text[b - 1] in _LOCAL:
+            b -= 1
+        name, at = text[b:a].lower(), m.group().strip().lower()
+        if not any(map(str.isalnum, name)):
+            continue
+        label = _FIRST.match(text, m.end())
+        word, point, prose, upper = False, False, False, label.group().isupper()
+        places, best, done = [], 0, label.end()
+        step = _NEXT.match(text, done)
+        while step:
+            if (dot := step[1].strip().lower()) != ".":
+                places.append(step.span(1))
+                word, point = True, point or dot == "point"
+                prose = prose or label[label.lastindex or 0].lower() in _PROSE_LABELS
+            label, done, last, end = step, step.end(), step[2], step[2].lower()
+            upper = upper and last.isupper()
+            if not _END.fullmatch(last):
+                good = False
+            elif at != "at":  # a sign, or a word that says nothing else
+                good = word or at != "@"
+            elif not word:  # not a new sentence without a space, nor a file or a site
+                good = (last.islower() or upper) and end in HOST_ENDS and end not in _FILE_ENDS and name not in _SITE_NAMES
+            elif point:
+                good = end in HOST_ENDS and end not in _PROSE_ENDS and not prose
+            else:
+                good = end in HOST_ENDS or not prose
+            if good:
+                best = done
+            step = _NEXT.match(text, done)
+        if best:
             if at != "@":
-                yield m.start("at"), m.end("at"), "@"
-            for w in dots:
-                yield w.start(), w.end(), "."
+                yield m.start(), m.end(), "@"
+            yield from ((x, y, ".") for x, y in places if y < best)
+            done = best
 
 
 def rewritten(text: str) -> Rewrite | None:
@@ -214,10 +270,11 @@ def rewritten(text: str) -> Rewrite | None:
         now = now.apply((m.start(), m.end(), ".") for m in _DOT_BRACKET.finditer(now.text))
     if " @ " in now.text or " . " in now.text and "@" in now.text:
         now = now.apply((m.start(), m.end(), m.group(1)) for m in _SPACED.finditer(now.text))
+    if _NUMBERS_HINT.search(now.text):
+        now = now.apply(_numbers(now.text))
     if _SPELLED_HINT.search(now.text):
         now = now.apply(_spelled(now.text))
-    if _BARE_HINT.search(now.text):
-        now = now.apply(_bare(now.text))
+    now = now.apply(_bare(now.text))
     return now if now.pieces else None
 
 

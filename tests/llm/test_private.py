@@ -90,3 +90,41 @@ def test_query_columns(make_docs, odd_rows):
     assert S.find_private(make_docs([])).count() == 0
     masked = {r.doc_id: r.text for r in S.mask_private(make_docs(rows)).collect()}
     assert masked[20] == "<EMAIL> <IP> x <PHONE> y <CARD> z <EMAIL>" and masked[2] is None and masked[1] == rows[0][1]
+
+
+@pytest.mark.parametrize(("text", "kind", "span"), [
+    ("ask ann at firm dot nz now", "email", "ann at firm dot nz"),
+    ("ask ann at firm dot xyz now", "email", "ann at firm dot xyz"),
+    ("ask ann at firm dot photography now", "email", "ann at firm dot photography"),
+    ("x ann at firma punkt de y", "email", "ann at firma punkt de"),
+    ("x ann at domaine point fr y", "email", "ann at domaine point fr"),
+    ("x ana arroba firma dot com y", "email", "ana arroba firma dot com"),
+    ("x ann@firm dot nz y", "email", "ann@firm dot nz"),
+    ("write john at gmail.com today", "email", "john at gmail.com"),
+    ("write john.doe at mail.firm.co.uk today", "email", "john.doe at mail.firm.co.uk"),
+    ("x juan arroba correo.museum y", "email", "juan arroba correo.museum"),
+    ("bob at firm dot com point taken", "email", "bob at firm dot com"),
+    ("host 192 dot 168 dot 0 dot 1 up", "ip", "192 dot 168 dot 0 dot 1"),
+    ("host 10 punkt 0.0 punkt 1 up", "ip", "10 punkt 0.0 punkt 1"),
+    ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("host un neuf deux point 168 point zéro point un ici", "ip", "un neuf deux point 168 point zéro point un"),
+])
+def test_bare_words_of_any_host_and_language(text, kind, span):
+    base, every = S.find_spans(text)
+    assert [text[a:b] for a, b in every[kind]] == [span] and not base[kind]
+    assert S.mask(text) == text.replace(span, f"<{kind.upper()}>")
+
+
+@pytest.mark.parametrize("text", [
+    "look at this point in time", "water at boiling point it steams", "look at the dot product", "visit us at example.com", "he was at home.It rained",
+    "look at main.py", "meet at 5.30", "300 dot 1 dot 1 dot 1", "1 dot 2 dot 3", "at some point de facto",
+])
+def test_prose_with_the_same_words_stays(text):
+    assert not any(S.find_spans(text)[1].values()) and S.mask(text) == text
+
+
+@pytest.mark.parametrize("big", ["a at b" + " dot c" * 60_000 + " 1", "a at b.c " * 40_000, "1 dot " * 60_000, "a at " * 80_000, "one dot one " * 30_000])
+def test_long_runs_of_bare_words_take_linear_time(big):
+    begun = time.process_time()
+    S.find_spans(big)
+    assert time.process_time() - begun < 8
