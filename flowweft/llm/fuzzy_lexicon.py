@@ -222,17 +222,19 @@ def lower_bound(hits, n, z: float = 2.6):
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, terms: int = 500, least_share: float = 0.5) -> ToxicityModel:
     """Fit a model on ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks; null texts and labels do not count.
 
-    Uses about ``train_rows`` rows at most, chosen by a hash of the text before texts are moved. The lexicon has the
+    Uses about ``train_rows`` different texts (per label) at most, chosen by a hash of the text before texts are moved; copies
+    with the same label count once. The lexicon has the
     words whose share of toxic places is ``least_share`` or more with confidence, at most ``terms``, strongest first.
     Words near a term that occur in the sample without being terms are kept as harmless. Without rows of both labels the
     score is the share of toxic rows (0 if there are none).
     """
     marks = labels.filter("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     usable = docs.filter("text IS NOT NULL").select("doc_id", "text")
-    rows = usable.select("doc_id").join(marks, "doc_id").agg(F.count(F.lit(1)).alias("n")).first().n
+    hashes = usable.select("doc_id", F.xxhash64("text").alias("h"))
+    rows = hashes.join(marks, "doc_id").select("h", "toxic").distinct().agg(F.count(F.lit(1)).alias("n")).first().n
     rate = min(1.0, train_rows / max(rows, 1))
     chosen_texts = usable.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000)))
-    sample = materialize(chosen_texts.join(marks, "doc_id").select("text", "toxic"))
+    sample = materialize(chosen_texts.join(marks, "doc_id").select("text", "toxic").distinct())
     places = sample.mapInPandas(word_places, COUNTS).groupBy("word", "place").agg(
         F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("n")
     )

@@ -76,20 +76,20 @@ def top_grams(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 def learn_profiles(labelled: DataFrame, most: int = 400, train_rows: int = 5_000, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Profiles (n-gram keys in rank order) per language, from rows with a language and a text.
 
-    Fitted on about ``train_rows`` rows of each language at most, chosen by a hash of the text. Counts are combined
-    map-side and again per n-gram, so only ``most`` n-grams a language reach the driver.
+    Fitted on about ``train_rows`` different texts of each language at most, chosen by a hash of the text; copies count
+    once. Counts are combined map-side and again per n-gram, so only ``most`` n-grams a language reach the driver.
     """
     usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("_lang"), F.col(text).alias("_text")
     )
     rates = [  # as many as there are profiles
         F.when(F.col("_lang") == r["_lang"], F.lit(train_rows / r["n"]))
-        for r in usable.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in usable.select("_lang", F.xxhash64("_text").alias("_h")).distinct().groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()
     ]
     if not rates:
         return {}
     chance = F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) / 1e6
-    sample = usable.filter(chance < F.coalesce(*rates))
+    sample = usable.filter(chance < F.coalesce(*rates)).distinct()
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}

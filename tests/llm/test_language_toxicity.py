@@ -137,3 +137,20 @@ def test_held_out_toxicity(text_spark):
     assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     held = [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in truth]
     assert np.mean([a == b for a, b in held]) > 0.93 and sum(b and not a for a, b in held) <= 1
+
+
+def test_a_sample_counts_texts_and_not_their_copies(make_docs):
+    words = {"en": "the river runs past old stone houses", "de": "der alte Fluss fließt an steinernen Häusern vorbei"}
+    once = [(0, f"{words[x]} {x}{i}", x) for x in words for i in range(20)]
+    copies = [(0, t, x) for _, t, x in once for _ in range(100)]
+    single, many = (R.learn_profiles(make_docs(r), train_rows=20) for r in (once, copies))
+    assert set(single) == set(many) == {"en", "de"}
+    assert all((single[x] == many[x]).all() for x in words)
+
+
+def test_a_lexicon_sample_counts_texts_and_not_their_copies(text_spark, make_docs):
+    texts = [f"plain talk number {i} of the day" if i % 2 else f"you are vermin and scoundrel {i}" for i in range(40)]
+    docs = make_docs([(100 * i + j, t) for i, t in enumerate(texts) for j in range(50)])
+    labels = text_spark.createDataFrame([(100 * i + j, int(i % 2 == 0)) for i in range(40) for j in range(50)], "doc_id long, toxic int")
+    model = X.learn(docs, labels, train_rows=40)
+    assert model.lexicon and model.score("you are vermin and scoundrel") > 0.5 > model.score("plain talk of the day")
