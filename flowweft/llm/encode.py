@@ -21,14 +21,37 @@ _LOOSE_STOP = re.compile("[.,](?<![0-9A-Za-zÀ-ÖØ-öø-įı-ſΑ-ΡΣ-Ωα-ω
 _FENCE = "\ue000"  # stands between new pieces that are encoded together
 
 
+def cut_pieces(text: str) -> list[str] | None:
+    """Keys of the pieces of a text that is not empty, or None if it holds white space that is not cut at.
+
+    A piece after one space is keyed without it, one that starts with a line feed, full stop or comma as it is, any other
+    after a carriage return.
+    """
+    if any(map(text.__contains__, _OTHER_SPACE)):
+        return None
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or " ." in text or " ," in text or text[0] in " \n.," or text[-1] in " \n":
+        return ["\r" + p for p in _PIECE.findall(text)]
+    if _LOOSE_STOP.search(text):
+        keys = text.replace("\n", " \n").split(" ")
+    else:
+        keys = text.replace("\n", " \n").replace(".", " .").replace(",", " ,").split(" ")
+    keys[0] = "\r" + keys[0]
+    return keys
+
+
+def piece_text(key: str) -> str:
+    """The piece that a key of ``cut_pieces`` stands for."""
+    return key[1:] if key[0] == "\r" else key if key[0] in "\n.," else " " + key
+
+
 class PieceEncoder:
     """Encodes texts piece by piece. Up to ``remember`` pieces are kept, and as many of the time before.
 
-    With ``special_as_text`` a special token's content that stands in a text is spelled out in other tokens. Without it
-    ids are those of the tokenizer as its file has it, as ``encoder`` wants them: the content becomes the token.
+    Ids are those of the tokenizer as its file has it: an added token's content in a text becomes that token. With
+    ``special_as_text`` a special token's content is spelled out in other tokens.
     """
 
-    def __init__(self, path: str, remember: int = 300_000, longest: int = 64, together: int = 512, special_as_text: bool = True):
+    def __init__(self, path: str, remember: int = 300_000, longest: int = 64, together: int = 512, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         # A text that holds an added token is encoded in one go: the token cuts the text before anything else does.
@@ -49,9 +72,11 @@ class PieceEncoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
+    def _raws(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _raw(self, text: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return array("I", ids).tobytes()
+        return self._raws([text])[0]
 
     def _holds_added(self, text: str) -> bool:
         if any(map(text.__contains__, self.added)):
@@ -62,23 +87,11 @@ class PieceEncoder:
         return any(map((normal.normalize_str(text) if normal else text).__contains__, self.added_normal))
 
     def _pieces(self, text: str) -> list[str] | None:
-        """Keys of a text's pieces: a piece after one space is keyed without it, one that starts with a line feed, full
-        stop or comma as it is, any other after a carriage return.
-        """
-        if any(map(text.__contains__, _OTHER_SPACE)) or self._holds_added(text):
-            return None
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or " ." in text or " ," in text or text[0] in " \n.," or text[-1] in " \n":
-            return ["\r" + p for p in _PIECE.findall(text)]
-        if _LOOSE_STOP.search(text):
-            keys = text.replace("\n", " \n").split(" ")
-        else:
-            keys = text.replace("\n", " \n").replace(".", " .").replace(",", " ,").split(" ")
-        keys[0] = "\r" + keys[0]
-        return keys
+        return None if self._holds_added(text) else cut_pieces(text)
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces, many in one call where fences can stand between them."""
-        found = {}
+        """Ids of new pieces: many in one text where fences can stand between them, all others in one batch."""
+        found, single = {}, []
         words = [k for k in new if k.isalpha()]
         for at in range(0, len(words), self.together):
             group = words[at:at + self.together]
@@ -95,11 +108,11 @@ class PieceEncoder:
         for key in new:
             if key in found:
                 continue
-            piece = key[1:] if key[0] == "\r" else key if key[0] in "\n.," else " " + key
+            piece = piece_text(key)
             if piece[0] in " \n" and piece[-1] not in " \n" and _FENCE not in piece:
                 fenced.append((key, piece))
             else:
-                found[key] = self._raw(piece)
+                single.append((key, piece))
         for at in range(0, len(fenced), self.together):
             group = fenced[at:at + self.together]
             raw = self._raw("".join([p + "\n" + _FENCE for _, p in group]))
@@ -108,12 +121,13 @@ class PieceEncoder:
             for j in range(1, n):
                 here = here[ids[here + j] == self.fence[j]]
             if len(here) != len(group):
-                found.update((key, self._raw(p)) for key, p in group)
+                single += group
                 continue
             begin = 0
             for (key, _), end in zip(group, here.tolist(), strict=True):
                 found[key] = raw[4 * begin:4 * end]
                 begin = end + n
+        found.update(zip([k for k, _ in single], self._raws([p for _, p in single]), strict=True))
         return found
 
     def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
@@ -145,5 +159,5 @@ _LOADED: dict[str, PieceEncoder] = {}
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder for a tokenizer file, loaded once."""
     if path not in _LOADED:
-        _LOADED[path] = PieceEncoder(path, special_as_text=False)
+        _LOADED[path] = PieceEncoder(path)
     return _LOADED[path]

@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    bpe_prefix,
     cosine_cells,
     dart_minhash,
+    fill_middle,
     fuzzy_lexicon,
     label_shards,
+    phrase_trie,
     rank_profiles,
     source_mix,
     span_privacy,
@@ -96,3 +99,18 @@ def op10(spark, d):
     return vector_packing.pack_documents(
         table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, most=1024
     )
+
+
+@query("op11_phrase_trie", phrase_trie.ORACLE)
+def op11(spark, d):
+    return phrase_trie.collocations(table(spark, d, "documents"), least=10, top=2000)
+
+
+@query("op12_fill_middle", fill_middle.ORACLE)
+def op12(spark, d):
+    return fill_middle.middle_digests(table(spark, d, "documents"))
+
+
+@query("op13_bpe_prefix")
+def op13(spark, d):
+    return bpe_prefix.round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

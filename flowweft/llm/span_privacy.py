@@ -279,19 +279,26 @@ def rewritten(text: str) -> Rewrite | None:
 
 
 def find_spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    """(plain spans, all spans) of a whole text per kind. A disguised one that meets a plain one of its kind is not added."""
+    """(plain spans, all spans) of a whole text per kind. A disguised one that meets another of its kind is not added.
+
+    Spans of a kind come in order and apart, in the text as in its rewritten form, so each new one has to be held against
+    its neighbour among the plain ones and the last one added.
+    """
     text = text or ""
     base = plain_spans(text)
     every = {kind: list(spans) for kind, spans in base.items()}
     now = rewritten(text)
     if now:
         for kind, spans in plain_spans(now.text).items():
+            ends, last, more = [y for _, y in base[kind]], 0, []
             for a, b in spans:
                 if now.touches(a, b):
                     sa, sb = now.source(a, False), now.source(b, True)
-                    if all(sb <= x or y <= sa for x, y in every[kind]):
-                        every[kind].append((sa, sb))
-            every[kind].sort()
+                    near = bisect.bisect_right(ends, sa)  # the first plain span that ends after this one starts
+                    if sa >= last and (near == len(ends) or sb <= base[kind][near][0]):
+                        more.append((sa, sb))
+                        last = sb
+            every[kind] = sorted(base[kind] + more)
     return base, every
 
 

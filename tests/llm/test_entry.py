@@ -8,9 +8,9 @@ from flowweft.llm.queries import QUERIES
 ROOT = Path(__file__).resolve().parents[2]
 
 
-def test_eleven_queries_are_registered():
+def test_fourteen_queries_are_registered():
     names = [n for n in entry.queries() if n == "pipeline" or n[:2] == "op" and n[2].isdigit()]
-    assert len(names) == 11 and {int(n[2:].split("_")[0]) for n in names if n != "pipeline"} == set(range(1, 11))
+    assert len(names) == 14 and {int(n[2:].split("_")[0]) for n in names if n != "pipeline"} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} == set(names) and "op2_source_mix" in entry.oracle_sql()
 
 

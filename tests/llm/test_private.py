@@ -128,3 +128,11 @@ def test_long_runs_of_bare_words_take_linear_time(big):
     begun = time.process_time()
     S.find_spans(big)
     assert time.process_time() - begun < 8
+
+
+def test_many_disguised_spans_in_one_text():
+    """200,000 new spans between plain ones, each held against its neighbours only."""
+    begun = time.process_time()
+    base, every = S.find_spans("a [at] b [dot] org, x@y.org, " * 200_000)
+    assert time.process_time() - begun < 40
+    assert len(base["email"]) == 200_000 and len(every["email"]) == 400_000
