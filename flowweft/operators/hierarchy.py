@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import natural_key
 from ..runtime import materialize, write_table
-from .closure import component_roots
 
 
 @dataclass
@@ -59,60 +58,128 @@ def _relabel(live: DataFrame, moves: DataFrame) -> DataFrame:
     )
 
 
-def _compose(members: DataFrame, moves: DataFrame) -> DataFrame:
-    return members.join(moves.select(F.col("group").alias("group_id"), "parent"), "group_id", "left").select(
-        F.coalesce("parent", "group_id").alias("group_id"), "node_id"
+def _stars(picks: DataFrame, number: int) -> DataFrame:
+    """(group, parent, partner, degree) of the groups that merge in a round: centres and those that join them.
+
+    Every group has picked a partner and draws a rank from its name and the round. It joins its partner if that ranks
+    higher and does not join another itself, so long chains of picks fall into stars: at least a third of all picks are
+    expected to be followed, and in each ring of picks one is. A centre has no partner.
+    """
+    rank = lambda c: F.xxhash64(F.lit(number), F.col(c))
+    partners = picks.select(F.col("group").alias("partner"), F.col("partner").alias("beyond"), F.col("degree").alias("centre_degree"))
+    joined = picks.join(partners, "partner").filter(
+        (rank("group") < rank("partner")) & (rank("partner") > rank("beyond"))
     )
+    none = F.lit(None).cast("string")
+    both = F.explode(F.array(
+        F.struct("group", F.col("partner").alias("centre"), F.col("partner").alias("partner"), F.col("degree")),
+        F.struct(F.col("partner").alias("group"), F.col("partner").alias("centre"), none.alias("partner"), F.col("centre_degree").alias("degree")),
+    ))
+    rows = joined.select(both.alias("m")).select("m.*").groupBy("group", "centre").agg(F.min("partner").alias("partner"), F.min("degree").alias("degree"))
+    return rows.select("group", F.concat(F.lit(f"group:{number}:"), "centre").alias("parent"), "partner", "degree")
 
 
 def contract_groups(nodes: DataFrame, edges: DataFrame) -> Hierarchy:
-    """Merge groups, fewest external links first, until no link leaves a group.
+    """Merge groups until no link leaves a group.
 
-    All groups whose degree is at most each neighbour's pick in the same round, so
-    every component makes progress at once; a strict global order would need one job
-    per merge. The partner shares most links, then has the higher degree, then the
-    smaller id in natural order. Picks that chain together form one parent.
+    In each round every group with links to others picks a partner: the one it shares most links with, then the one of the
+    higher degree, then the smaller id in natural order. Picks are followed in stars (``_stars``), so the number of rounds grows with
+    the logarithm of the number of nodes, whatever their degrees; a strict global order would need one job per merge.
+    ``degree`` of a merge is its group's number of external links at the time.
     """
-    members = nodes.select(F.concat(F.lit("block:"), "id").alias("group_id"), F.col("id").alias("node_id"))
     live, left = write_table(_live(nodes, edges))
-    merges, inner, rounds = [], [], 0
+    rounds, inner = [], []
     while left:
         contact, degree = _external(live)
-        degree = materialize(degree)
-        around = (
+        picks = materialize(
             contact.join(degree.select(F.col("group").alias("a"), F.col("degree").alias("da")), "a")
             .join(degree.select(F.col("group").alias("b"), F.col("degree").alias("db")), "b")
-            .groupBy("a")
-            .agg(
-                F.min("da").alias("degree"), F.min("db").alias("lowest"),
-                F.min_by("b", F.struct(-F.col("shared"), -F.col("db"), natural_key("b"))).alias("partner"),
-            )
-        )
-        picks = materialize(
-            around.filter(F.col("degree") <= F.col("lowest")).select(F.col("a").alias("group"), "partner", "degree")
-        )
-        roots = component_roots(picks.select(F.col("group").alias("a"), F.col("partner").alias("b")))
-        names = roots.groupBy("root").agg(F.min("id").alias("first"))
-        moves = materialize(
-            roots.join(names, "root").select(F.col("id").alias("group"), F.concat(F.lit(f"group:{rounds}:"), "first").alias("parent"))
-        )
-        merges.append(
-            moves.join(picks, "group", "left").join(degree.withColumnRenamed("degree", "d"), "group").select(
-                F.lit(rounds).alias("round"), "group", "partner", "parent", F.col("d").alias("degree")
-            )
+            .groupBy(F.col("a").alias("group"))
+            .agg(F.min("da").alias("degree"), F.min_by("b", F.struct(-F.col("shared"), -F.col("db"), natural_key("b"))).alias("partner"))
         )
+        moves = materialize(_stars(picks, len(rounds)))
         relabelled = materialize(_relabel(live, moves))
-        inner.append(
-            relabelled.filter("ga = gb").select(F.lit(rounds).alias("round"), F.col("ga").alias("parent"), "edge_id")
-        )
-        members = materialize(_compose(members, moves))
+        inner.append(relabelled.filter("ga = gb").select(F.lit(len(rounds)).alias("round"), F.col("ga").alias("parent"), "edge_id"))
         live, left = write_table(relabelled.filter("ga <> gb"))
-        rounds += 1
+        rounds.append(moves.select(F.lit(len(rounds)).alias("round"), "group", "partner", "parent", "degree"))
     spark = nodes.sparkSession
     empty_m = "round INT, group STRING, partner STRING, parent STRING, degree BIGINT"
-    merge_table = reduce(DataFrame.unionByName, merges) if merges else spark.createDataFrame([], empty_m)
+    merges = reduce(DataFrame.unionByName, rounds) if rounds else spark.createDataFrame([], empty_m)
     merge_edges = reduce(DataFrame.unionByName, inner) if inner else spark.createDataFrame([], "round INT, parent STRING, edge_id STRING")
-    return Hierarchy(merge_table, merge_edges, members, internal_edges(members, edges))
+    members = materialize(_members(nodes, Forest(merges)))
+    return Hierarchy(merges, merge_edges, members, internal_edges(members, edges))
+
+
+class Forest:
+    """Groups under their parents, with each group's ancestors at distances of powers of two (``lifts``).
+
+    ``merges``: group, parent, round. A group's first merge counts. Groups whose parents lead back to themselves, and those
+    below them, are in ``rings`` and have no place in the forest.
+    """
+
+    def __init__(self, merges: DataFrame):
+        first = merges.groupBy("group").agg(F.min(F.struct("round", "parent")).alias("m"))
+        up, n = write_table(first.select("group", "m.parent", "m.round"))
+        self.parents, self.lifts = up, []
+        state = up.select("group", F.col("parent").alias("top"), F.lit(1).cast("long").alias("steps"))
+        open_, step = n, 1
+        while open_:
+            self.lifts.append(state.filter(F.col("steps") == step).select("group", F.col("top").alias("above")))
+            beyond = state.select(F.col("group").alias("top"), F.col("top").alias("above"), F.col("steps").alias("more"))
+            further = state.join(beyond, "top", "left").select(
+                "group", F.coalesce("above", "top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
+            )
+            state, step = materialize(further), step * 2
+            open_ = state.filter(F.col("steps") == step).count()
+            if step > 2 * n:
+                break
+        # What is still on its way after more steps than there are groups goes round.
+        self.rings = state.filter(F.col("steps") >= step).select("group") if open_ else up.filter("false").select("group")
+        self.roots = state.join(self.rings, "group", "left_anti").select("group", "top", F.col("steps").alias("depth"))
+
+
+def _members(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """(group_id, node_id): each node under its outermost group."""
+    leaves = nodes.select(F.concat(F.lit("block:"), "id").alias("group"), F.col("id").alias("node_id"))
+    return leaves.join(forest.roots, "group", "left").select(F.coalesce("top", "group").alias("group_id"), "node_id")
+
+
+def _meetings(live: DataFrame, forest: Forest) -> DataFrame:
+    """(edge_id, round, parent): where and when the ends of links come into one group; no row for those that never do.
+
+    Both ends are lifted to one depth, then as far as their ancestors differ, in steps of falling powers of two.
+    """
+    depth = forest.roots.select("group", "depth")
+    at = (
+        live.join(depth.toDF("ga", "da"), "ga").join(depth.toDF("gb", "db"), "gb")
+        .select("edge_id", F.when(F.col("da") >= F.col("db"), F.col("ga")).otherwise(F.col("gb")).alias("x"),
+                F.when(F.col("da") >= F.col("db"), F.col("gb")).otherwise(F.col("ga")).alias("y"), F.abs(F.col("da") - F.col("db")).alias("gap"))
+    )
+    for k in reversed(range(len(forest.lifts))):
+        lifted = at.join(forest.lifts[k].toDF("x", "above"), "x", "left")
+        up = F.when(F.col("gap") >= 1 << k, F.col("above")).otherwise(F.col("x"))
+        at = lifted.select("edge_id", up.alias("x"), "y", F.when(F.col("gap") >= 1 << k, F.col("gap") - (1 << k)).otherwise(F.col("gap")).alias("gap"))
+    at = materialize(at)
+    for k in reversed(range(len(forest.lifts))):
+        lifted = at.join(forest.lifts[k].toDF("x", "ax"), "x", "left").join(forest.lifts[k].toDF("y", "ay"), "y", "left")
+        apart = F.coalesce(F.col("ax") != F.col("ay"), F.lit(False))
+        at = lifted.select("edge_id", F.when(apart, F.col("ax")).otherwise(F.col("x")).alias("x"), F.when(apart, F.col("ay")).otherwise(F.col("y")).alias("y"))
+    own = forest.parents
+    return (
+        at.join(own.select(F.col("group").alias("x"), F.col("parent").alias("px"), F.col("round").alias("rx")), "x")
+        .join(own.select(F.col("group").alias("y"), F.col("parent").alias("py"), F.col("round").alias("ry")), "y")
+        .filter("px = py").select("edge_id", F.greatest("rx", "ry").alias("round"), F.col("px").alias("parent"))
+    )
+
+
+def _below(own: DataFrame, forest: Forest) -> DataFrame:
+    """(group, n): sums of ``own`` (group, n) over a group and all below it, by doubling the distance that is summed."""
+    total = own.groupBy("group").agg(F.sum("n").alias("n"))
+    for lift in forest.lifts:
+        total = materialize(total)
+        higher = total.join(lift, "group").select(F.col("above").alias("group"), "n")
+        total = total.unionByName(higher).groupBy("group").agg(F.sum("n").alias("n"))
+    return total
 
 
 def internal_edges(groups: DataFrame, edges: DataFrame) -> DataFrame:
@@ -136,28 +203,35 @@ def _mismatch(rule: str, want: DataFrame, got: DataFrame, key: str) -> DataFrame
 def validate_hierarchy(nodes: DataFrame, edges: DataFrame, stored: Hierarchy) -> DataFrame:
     """(rule, key) for whatever a stored hierarchy says that the links do not.
 
-    Each round is replayed on the contracted link table: degrees before the round,
-    links that become internal in it, then the final groups.
+    Nothing is replayed: the parents are a forest, a link becomes internal at the lowest common ancestor of its ends, and
+    a group's degree is the number of link ends at its nodes less two for every link that meets in it or below.
+
+    merged_twice: a group with several merges (the first counts). ring: a group whose parents never end. order: a group
+    merged before it was whole, or a parent whose groups came in different rounds. degree, merge_edges, members,
+    group_edges: what is stored and what follows differ; a row for each side. open_edge: a link that no group holds. Groups in or below a
+    ring are held to nothing else.
     """
-    last = stored.merges.agg(F.max("round")).first()[0]
+    merges = materialize(stored.merges.select("round", "group", "parent", F.col("degree").cast("bigint").alias("degree")))
+    forest = Forest(merges)
     live = materialize(_live(nodes, edges))
-    members = nodes.select(F.concat(F.lit("block:"), "id").alias("group_id"), F.col("id").alias("node_id"))
-    found = []
-    for r in range(-1 if last is None else last + 1):
-        now = materialize(stored.merges.filter(F.col("round") == r))
-        _contact, degree = _external(live)
-        found.append(_mismatch(
-            "degree", degree.join(now.select("group"), "group", "left_semi").select("group", F.col("degree").cast("bigint")),
-            now.select("group", F.col("degree").cast("bigint")), "group",
-        ))
-        relabelled = materialize(_relabel(live, now))
-        found.append(_mismatch(
-            "merge_edges", relabelled.filter("ga = gb").select(F.col("ga").alias("parent"), "edge_id"),
-            stored.merge_edges.filter(F.col("round") == r), "edge_id",
-        ))
-        members = materialize(_compose(members, now))
-        live = relabelled.filter("ga <> gb")
-    found.append(_mismatch("members", members, stored.groups, "node_id"))
-    found.append(_mismatch("group_edges", internal_edges(members, edges), stored.group_edges, "edge_id"))
-    found.append(live.select(F.lit("open_edge").alias("rule"), F.col("edge_id").alias("key")))
+    met = materialize(_meetings(live, forest))
+    ends = live.select(F.explode(F.array("ga", "gb")).alias("group"), F.lit(1).alias("n"))
+    own = ends.unionByName(met.select(F.col("parent").alias("group"), F.lit(-2).alias("n")))
+    first = merges.groupBy("group").agg(F.min(F.struct("round", "parent", "degree")).alias("m")).select("group", "m.degree")
+    placed = first.join(forest.rings, "group", "left_anti")
+    degree = _below(own, forest).filter("n <> 0").join(placed.select("group"), "group", "left_semi").select("group", F.col("n").alias("degree"))
+    made = forest.parents.groupBy(F.col("parent").alias("group")).agg(F.min("round").alias("begun"), F.max("round").alias("whole"))
+    early = made.join(forest.parents.select("group", "round"), "group", "left").filter("begun <> whole OR round <= whole")
+    told = lambda rule, df, key: df.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
+    members = materialize(_members(nodes, forest))
+    found = [
+        told("merged_twice", merges.groupBy("group").count().filter("count > 1"), "group"),
+        told("ring", forest.rings, "group"),
+        told("order", early.join(forest.rings, "group", "left_anti"), "group"),
+        _mismatch("degree", degree, placed, "group"),
+        _mismatch("merge_edges", met.select("round", "parent", "edge_id"), stored.merge_edges, "edge_id"),
+        _mismatch("members", members, stored.groups, "node_id"),
+        _mismatch("group_edges", internal_edges(members, edges), stored.group_edges, "edge_id"),
+        told("open_edge", live.join(met.select("edge_id"), "edge_id", "left_anti"), "edge_id"),
+    ]
     return reduce(DataFrame.unionByName, found)

@@ -21,7 +21,7 @@ from ..schema import (
     SECTION_THRESHOLD,
 )
 from .aggregate import edge_types, package_overview, union_types
-from .closure import grow
+from .closure import reached
 from .selection import edge_class, focus_function, function_catalog, induced, search_nodes
 
 
@@ -52,8 +52,8 @@ def _near(hops: DataFrame) -> DataFrame:
     ))
     ways = hops.select(both.alias("e")).select("e.*")
     first = ways.filter("own AND NOT inner")
-    start = first.select("dir", F.col("b").alias("at")).distinct().withColumn("level", F.lit(0))
-    met = grow(ways.filter("inner").select("dir", "a", "b").distinct(), start, ["dir"], None)
+    start = first.select("dir", F.col("b").alias("at")).distinct()
+    met = reached(materialize(ways.filter("inner").select("dir", "a", "b").distinct()), start)
     return materialize(met.select(F.col("at").alias("id")).unionByName(first.select(F.col("a").alias("id"))).distinct())
 
 

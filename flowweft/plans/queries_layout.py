@@ -333,11 +333,55 @@ def _(spark, d):
     return nodes.join(edges, "group_id", "left").select("first", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
-@query("validate_hierarchy", G.with_events("SELECT 'group_edges' AS rule, id AS key FROM eedges WHERE kind = 'train'"))
+# Every rule at events of one type, so that the rows follow from the events whatever the rounds were.
+@query("validate_hierarchy", G.with_events("""
+SELECT 'group_edges' AS rule, id AS key FROM eedges WHERE kind = 'train'
+UNION ALL SELECT 'merge_edges', id FROM eedges WHERE label = 'click'
+UNION ALL SELECT 'members', id FROM enodes, (VALUES (1), (2)) AS sides(n) WHERE label = 'signup'
+UNION ALL SELECT 'degree', 'block:' || src FROM eedges, (VALUES (1), (2)) AS sides(n) WHERE label = 'error'
+UNION ALL SELECT 'merged_twice', 'block:' || src FROM eedges WHERE label = 'view'
+UNION ALL SELECT 'order', 'late:' || id FROM enodes WHERE label = 'signup'
+UNION ALL SELECT 'ring', 'loop:' || id FROM enodes WHERE label = 'error'
+UNION ALL SELECT 'ring', 'pool:' || id FROM enodes WHERE label = 'error'
+UNION ALL SELECT 'open_edge', 'open:' || id FROM enodes WHERE label = 'purchase'"""))
 def _(spark, d):
-    """A stored hierarchy that lost the train links of its groups."""
+    """A stored hierarchy that is wrong in every way.
+
+    It lost the train links of its groups and the click links of its merges, has signups in another group, counts a link too
+    many at errors and merges views twice. Beside the events stand pairs of nodes that come together in different rounds
+    (at signups), pairs that never do though they are linked (at purchases), and groups that are their own parents (at errors).
+    """
     nodes, edges = materialize(G.event_nodes(spark, d)), materialize(G.event_edges(spark, d))
     h = H.contract_groups(nodes, edges)
-    trains = edges.filter("kind = 'train'").select(F.col("id").alias("edge_id"))
-    lost = h.group_edges.join(trains, "edge_id", "left_anti")
-    return H.validate_hierarchy(nodes, edges, H.Hierarchy(h.merges, h.merge_edges, h.groups, lost))
+    at = lambda label: nodes.filter(F.col("label") == label)
+    name = lambda first: F.concat(F.lit(first), "id")
+    blocks = lambda label: at(label).select(name("block:").alias("group"))
+    text, none = (lambda v: F.lit(v)), F.lit(None).cast("string")
+    pairs = at("signup").select(name("left:").alias("a"), name("right:").alias("b"), name("late:").alias("e"))
+    apart = at("purchase").select(name("left:").alias("a"), name("right:").alias("b"), name("open:").alias("e"))
+    every = pairs.unionByName(apart)
+    more_nodes = every.select(F.explode(F.array("a", "b")).alias("id"))
+    more_edges = every.select(F.col("e").alias("id"), F.col("a").alias("src"), F.col("b").alias("dst"))
+    row = lambda n, group, parent, degree: F.struct(
+        F.lit(n).alias("round"), group.alias("group"), none.alias("partner"), parent.alias("parent"), F.lit(degree).cast("long").alias("degree"))
+    block = lambda c: F.concat(text("block:"), c)
+    late = pairs.select(F.explode(F.array(row(5, block("a"), F.col("e"), 1), row(7, block("b"), F.col("e"), 1))).alias("m")).select("m.*")
+    loops = at("error").select(F.explode(F.array(
+        row(0, name("loop:"), name("pool:"), 1), row(1, name("pool:"), name("loop:"), 1))).alias("m")).select("m.*")
+    again = h.merges.join(blocks("view"), "group", "left_semi").withColumn("round", F.col("round") + 1000)
+    counted = h.merges.join(blocks("error").withColumn("one", F.lit(1)), "group", "left").withColumn(
+        "degree", F.col("degree") + F.coalesce("one", F.lit(0))).drop("one")
+    merges = counted.unionByName(again).unionByName(late).unionByName(loops)
+    ids = lambda where: edges.filter(where).select(F.col("id").alias("edge_id"))
+    merge_edges = h.merge_edges.join(ids("label = 'click'"), "edge_id", "left_anti").unionByName(
+        pairs.select(F.lit(7).alias("round"), F.col("e").alias("parent"), F.col("e").alias("edge_id")))
+    moved = at("signup").select(F.col("id").alias("node_id"), text("elsewhere").alias("other"))
+    groups = h.groups.join(moved, "node_id", "left").select(F.coalesce("other", "group_id").alias("group_id"), "node_id")
+    for side in ("a", "b"):
+        groups = groups.unionByName(pairs.select(F.col("e").alias("group_id"), F.col(side).alias("node_id")))
+        groups = groups.unionByName(apart.select(block(side).alias("group_id"), F.col(side).alias("node_id")))
+    group_edges = h.group_edges.join(ids("kind = 'train'"), "edge_id", "left_anti").unionByName(
+        pairs.select(F.col("e").alias("group_id"), F.col("e").alias("edge_id")))
+    return H.validate_hierarchy(
+        nodes.select("id").unionByName(more_nodes), edges.select("id", "src", "dst").unionByName(more_edges),
+        H.Hierarchy(merges, merge_edges, groups, group_edges))

@@ -65,6 +65,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return write_table(df)[0]
 
 
+def write_bucketed(df: DataFrame, by: list[str]) -> tuple[DataFrame, str]:
+    """Write ``df`` once as a table bucketed by ``by``; return it and its name, for ``drop_table``.
+
+    Joins on ``by`` then move the other side only. As many buckets as shuffle partitions, one file each.
+    """
+    spark = df.sparkSession
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"flowweft_{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{name}"
+    df.repartition(parts, *by).write.bucketBy(parts, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Forget a bucketed table; its files stay until ``clear_tables``."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def clear_tables(spark: SparkSession) -> None:
     """Delete the cut tables of this session. DataFrames built on them stop working."""
     context = spark.sparkContext

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowweft.operators import aggregate as A
 from flowweft.operators import closure as C
@@ -16,6 +17,64 @@ def test_trace_has_no_sibling_branches(spark, make_edges):
         C.trace(edges, seeds, max_rounds=1)
 
 
+def closure_of(pairs, seeds):
+    """Names that pairs lead to from the seeds, by going from one to the next."""
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    seen, todo = set(seeds), list(seeds)
+    while todo:
+        for b in out.get(todo.pop(), []):
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_trace_of_deep_graphs(spark, make_edges, seed):
+    """Long ladders, rings and side branches, beyond the rounds of plain hops; ids may hold the marks used inside."""
+    rng = random.Random(seed)
+    pairs = [(f"down:{i}", f"down:{i + rng.choice([1, 1, 1, 2, 3, -1])}") for i in range(90) for _ in range(2)]
+    pairs += [(f"down:{rng.randrange(90)}", f"side{i}") for i in range(30)] + [(f"side{i}", f"side{i + 1}") for i in range(0, 28, 2)]
+    pairs += [(f"ring{i}", f"ring{(i + 1) % 20}") for i in range(20)] + [("ring3", "down:40"), ("down:60", "deep0"), ("", "ring0")]
+    pairs += [(f"deep{i}", f"deep{i + 1}") for i in range(50)] + [("deep50", "deep25")]
+    seeds = ["down:3", "side5", "nowhere"]
+    got = {r.id for r in C.trace(make_edges(pairs), spark.createDataFrame([(s,) for s in seeds], "id string")).collect()}
+    assert got == closure_of(pairs, seeds) | closure_of([(b, a) for a, b in pairs], seeds)
+
+
+@pytest.mark.parametrize("shape", ["chain", "ring"])
+def test_long_paths_take_few_rounds(spark, shape):
+    n = 10_000
+    ids = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    edges = ids if shape == "chain" else ids.withColumn("dst", F.col("dst") % n)
+    traced = C.trace(edges, spark.createDataFrame([(n // 2,)], "id long"), max_rounds=11)
+    assert traced.count() == n + (shape == "chain") and dict(traced.dtypes) == {"id": "bigint"}
+
+
+def test_links_stay_in_place_during_levels(spark):
+    """A round's plan moves the frontier, never the links; hubs have several buckets."""
+    pairs = spark.createDataFrame([("hub", f"leaf{i}") for i in range(300)] + [("leaf7", "x"), ("x", "y"), ("y", None)], "src string, dst string")
+    seen, real = [], C._hop
+    C._hop = lambda *a: seen.append(real(*a)) or seen[-1]
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        levels = {r.id: r.level for r in C.bfs_levels(pairs, spark.createDataFrame([("y",)], "id string"), hub_links=40).collect()}
+        plan = seen[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        C._hop = real
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert levels == {"y": 0, "x": 1, "leaf7": 2, "hub": 3, **{f"leaf{i}": 4 for i in range(300) if i != 7}}
+    assert "Bucketed: true" in plan
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+    scan_depth = lines[at].index("FileScan")
+    above = next(line for line in reversed(lines[:at]) if "SortMergeJoin" in line or "Exchange" in line)
+    assert "SortMergeJoin" in above and scan_depth > 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_and_levels(spark, make_nodes, make_edges, seed):
     rng = random.Random(seed)
@@ -56,13 +115,87 @@ def test_groups_are_components(spark, make_nodes, make_edges):
     h = H.contract_groups(nodes, edges)
     assert sorted(r["count"] for r in h.groups.groupBy("group_id").count().collect()) == [1, 3, 3, 4]
     assert h.group_edges.count() == edges.count()
-    first = {r.group: r.degree for r in h.merges.filter("round = 0").collect()}
-    assert first["block:p"] == 1 and first["block:t0"] == 2
+    first = {r.group: r.degree for r in h.merges.filter("group LIKE 'block:%'").collect()}
+    assert first["block:p"] == 1 and first["block:t0"] == 2 and first["block:k1"] == 3 and "block:alone" not in first
     assert H.validate_hierarchy(nodes, edges, h).count() == 0
     worse = H.Hierarchy(h.merges.withColumn("degree", h.merges.degree + 1), h.merge_edges, h.groups, h.group_edges)
     assert {r.rule for r in H.validate_hierarchy(nodes, edges, worse).collect()} == {"degree"}
 
 
+def test_a_chain_of_rising_degrees_takes_few_rounds(spark):
+    """10,000 nodes, each with one more parallel link to the next than to the one before (as far as 60)."""
+    n = 10_000
+    nodes = spark.range(n).select(F.concat(F.lit("n"), "id").alias("id"))
+    many = F.explode(F.sequence(F.lit(0), F.least(F.lit(60), F.col("id") % 61)))
+    edges = spark.range(n - 1).select("id", many.alias("k")).select(
+        F.concat_ws("-", "id", "k").alias("id"), F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("n"), F.col("id") + 1).alias("dst"))
+    h = H.contract_groups(nodes, edges)
+    assert h.merges.agg(F.max("round")).first()[0] < 40
+    assert h.groups.select("group_id").distinct().count() == 1 and h.group_edges.count() == edges.count() == h.merge_edges.count()
+
+
+def replayed(nodes, edges, merges, merge_edges):
+    """Degrees and inner links as the rounds give them, one after the other."""
+    at = {f"block:{n}": f"block:{n}" for n in nodes}
+    bad = set()
+    for r in sorted({m.round for m in merges}):
+        now = [m for m in merges if m.round == r]
+        for m in now:
+            n = sum((at[f"block:{a}"] == m.group) != (at[f"block:{b}"] == m.group) for _, a, b in edges)
+            if n != m.degree:
+                bad.add(("degree", m.group))
+        apart = [e for e in edges if at[f"block:{e[1]}"] != at[f"block:{e[2]}"]]
+        to = {m.group: m.parent for m in now}
+        at = {k: to.get(v, v) for k, v in at.items()}
+        want = {(at[f"block:{e[1]}"], e[0]) for e in apart if at[f"block:{e[1]}"] == at[f"block:{e[2]}"]}
+        bad |= {("merge_edges", e) for _, e in want ^ {(m.parent, m.edge_id) for m in merge_edges if m.round == r}}
+    return bad | {("open_edge", e) for e, a, b in edges if at[f"block:{a}"] != at[f"block:{b}"]}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_hierarchies_as_by_replay(spark, make_nodes, make_edges, seed):
+    """Also deep ones, two groups at a time, with wrong degrees, lost inner links and links that stay open."""
+    rng = random.Random(seed)
+    ids = [f"n{i}" for i in range(30)]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(45)]
+    nodes, edges = make_nodes(ids), make_edges(pairs)
+    linked = [(f"e{i}", a, b) for i, (a, b) in enumerate(pairs) if a != b]
+    rows, inner, r = [], [], 0
+    at = {i: f"block:{i}" for i in ids}
+    for e, a, b in rng.sample(linked, len(linked) - 2):
+        x, y = at[a], at[b]
+        if x != y:
+            for g, o in ((x, y), (y, x)):
+                n = sum((at[c] == g) != (at[d] == g) for _, c, d in linked)
+                rows.append((r, g, o, f"group:{r}", n + (rng.random() < 0.1)))
+            apart = [k for k, c, d in linked if {at[c], at[d]} == {x, y}]
+            inner += [(r, f"group:{r}", k) for k in apart if rng.random() < 0.9]
+            at = {i: f"group:{r}" if g in (x, y) else g for i, g in at.items()}
+            r += 1
+    members = spark.createDataFrame([(g, i) for i, g in at.items()], "group_id string, node_id string")
+    stored = H.Hierarchy(
+        spark.createDataFrame(rows, "round int, group string, partner string, parent string, degree long"),
+        spark.createDataFrame(inner, "round int, parent string, edge_id string"), members, H.internal_edges(members, edges))
+    got = {(v.rule, v.key) for v in H.validate_hierarchy(nodes, edges, stored).collect()}
+    assert got == replayed(ids, linked, stored.merges.collect(), stored.merge_edges.collect())
+
+
+def test_hierarchies_that_are_no_forest(spark, make_nodes, make_edges):
+    nodes, edges = make_nodes(["a", "b", "c", "d"]), make_edges([("a", "b")])
+    rows = [
+        (0, "block:a", None, "group:x", 1), (2, "block:b", None, "group:x", 1), (1, "group:x", None, "top", 0), (5, "block:a", None, "other", 9),
+        (0, "block:c", None, "loop", 0), (1, "loop", None, "block:c", 0),
+    ]
+    stored = H.Hierarchy(
+        spark.createDataFrame(rows, "round int, group string, partner string, parent string, degree long"),
+        spark.createDataFrame([(2, "group:x", "e0")], "round int, parent string, edge_id string"),
+        spark.createDataFrame([("top", "a"), ("top", "b"), ("block:c", "c"), ("block:d", "d")], "group_id string, node_id string"),
+        spark.createDataFrame([("top", "e0")], "group_id string, edge_id string"))
+    got = sorted((v.rule, v.key) for v in H.validate_hierarchy(nodes, edges, stored).collect())
+    # a group that merges without any link to others is told by its degree, which a merge cannot have as 0
+    assert got == [("degree", "group:x"), ("merged_twice", "block:a"), ("order", "group:x"), ("ring", "block:c"), ("ring", "loop")]
+
+
 def test_parallel_links_count_each(spark, make_nodes, make_edges):
     h = H.contract_groups(make_nodes(["a", "b"]), make_edges([("a", "b"), ("b", "a"), ("a", "a")]))
     assert {r.degree for r in h.merges.collect()} == {2}
