@@ -6,9 +6,10 @@ the signature's coordinates. A coordinate keeps the earliest dart that hit one o
 darts up to a time at which all coordinates are expected to be hit are thrown, so the work is the number of shingles
 plus k log k, and two signatures agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Candidates share a band of coordinates. In each bucket all members are first compared with one pivot; buckets whose
-members did not all come together are then compared in blocks by signature, and what the signatures cannot rule out
-is checked on the whole texts. So no pair of a tight group is listed beyond its pivots, and none outside is left out.
+Candidates share a band of coordinates. In each bucket all members are first compared with one pivot. Where a bucket's
+members did not all come together, those outside its largest part are compared with all of it, in blocks that hold
+the members' regions and so count exactly what each pair has in common. A block returns a spanning forest of the links it
+finds, never pairs: at most a row for each member, whatever the number of links.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from ..operators.closure import component_roots
 from ..runtime import materialize, write_table
 from .common import free_name, row_keys
+from .cosine_cells import _forest
 
 SHINGLE_WORDS = 5
 _MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(b"place%d" % i) | 1 for i in range(SHINGLE_WORDS)], np.uint64)
@@ -64,6 +66,14 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mix(total), return_counts=True)
 
 
+def regions_of(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The units of weight of a weighted set, as a plain set of 64-bit names: weighted similarity is theirs."""
+    with np.errstate(over="ignore"):
+        first = np.repeat(np.cumsum(counts) - counts, counts)
+        unit = (np.arange(counts.sum()) - first).astype(np.uint64)
+        return mix(np.repeat(elements, counts) + unit * _GOLDEN)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two shingle sets."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -74,10 +84,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def signature(elements: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     """``k`` dart names (32 bits) of a weighted set that is not empty."""
-    with np.errstate(over="ignore"):
-        first = np.repeat(np.cumsum(counts) - counts, counts)
-        unit = (np.arange(counts.sum()) - first).astype(np.uint64)
-        regions = mix(np.repeat(elements, counts) + unit * _GOLDEN)
+    regions = regions_of(elements, counts)
     until = (log(k) + 2) * k / len(regions)
     while True:
         times, darts = _throw(regions, until)
@@ -138,71 +145,64 @@ def _agreeing(least: int):
     return agree
 
 
-class _ShingleSets(dict):
-    """Shingle sets by text; starts anew when it holds more than ``most`` shingles."""
-
-    def __init__(self, most: int = 2_000_000):
-        self.most, self.held = most, 0
-
-    def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = shingles(word_hashes(text))
-        if self.held + len(found[0]) > self.most:
-            self.clear()
-            self.held = 0
-        self.held += len(found[0])
-        self[text] = found
-        return found
+def _cut_regions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(rep, size, regions) of texts; the regions sorted."""
+    for frame in frames:
+        found = [np.sort(regions_of(*shingles(word_hashes(text)))) for text in frame["text"]]
+        yield pd.DataFrame({"rep": frame["rep"], "size": [len(r) for r in found], "regions": [r.tobytes() for r in found]})
 
 
-_SETS = _ShingleSets()
+def common_regions(left: list[np.ndarray], right: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
+    """How many regions each of the left sets shares with each of the right ones."""
+    common = np.zeros((len(left), len(right)), np.float32)
+    x, y = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(x, y)
+    rows, columns = np.repeat(np.arange(len(left)), list(map(len, left))), np.repeat(np.arange(len(right)), list(map(len, right)))
+    x_in, y_in = np.isin(x, shared), np.isin(y, shared)
+    x_at, rows, y_at, columns = np.searchsorted(shared, x[x_in]), rows[x_in], np.searchsorted(shared, y[y_in]), columns[y_in]
+    for begin in range(0, len(shared), at_once):
+        n = min(at_once, len(shared) - begin)
+        a, b = np.zeros((len(left), n), np.float32), np.zeros((len(right), n), np.float32)
+        here, there = (x_at >= begin) & (x_at < begin + n), (y_at >= begin) & (y_at < begin + n)
+        a[rows[here], x_at[here] - begin] = 1
+        b[columns[there], y_at[there] - begin] = 1
+        common += a @ b.T  # counts below 2**24 are exact
+    return common
 
 
 def _similar(least: float):
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(_SETS[x], _SETS[y]) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(common / (len(x) + len(y) - common) >= least)
+        return pd.Series(out, dtype=bool)
 
     return similar
 
 
-def _blocks(least: int, most: int):
-    """Pairs of members of different components whose signatures agree often enough, in one pair of blocks.
-
-    Of a member's pairs only the ``most`` that agree best are told; ``cut`` says whether there were more.
-    """
+def _blocks(least: float):
+    """A spanning forest (a, b) of the links between different components in one pair of blocks."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group.side == 0], group[group.side == 1]
-        found = []
+        a = b = np.zeros(0, np.int64)
         if len(left) and len(right):
-            ys = np.stack([np.frombuffer(s, np.uint32) for s in right.sketch])
-            b, cb = right.rep.to_numpy(), right.component.to_numpy()
-            for rep, component, sketch in zip(left.rep, left.component, left.sketch, strict=True):
-                other = np.flatnonzero(cb != component)
-                agree = (ys[other] == np.frombuffer(sketch, np.uint32)).sum(axis=1)
-                other, agree = other[agree >= least], agree[agree >= least]
-                best = b[other][np.lexsort((b[other], -agree))[:most]].tolist()
-                found += [(min(rep, x), max(rep, x), len(other) > most) for x in best]
-        return pd.DataFrame(found, columns=["a", "b", "cut"]).astype({"a": "int64", "b": "int64", "cut": bool})
+            xs, ys = ([np.frombuffer(r, np.uint64) for r in side.regions] for side in (left, right))
+            common = common_regions(xs, ys).astype(np.float64)
+            every = np.array(list(map(len, xs)))[:, None] + np.array(list(map(len, ys)))[None] - common
+            linked = (common / every >= least) & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None])
+            a, b = _forest(left.rep.to_numpy(), right.rep.to_numpy(), linked)
+        return pd.DataFrame({"a": a, "b": b})[a != b].astype("int64")
 
     return compare
 
 
-def _verified(pairs: DataFrame, folded: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of representatives whose texts are similar enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    places = folded.join(ends, "rep", "left_semi").select("rep", "k1", "k2")
-    texts = materialize(
-        docs.select("text", *row_keys()).join(places, ["k1", "k2"]).dropDuplicates(["rep"]).select("rep", "text")
-    )
-    left, right = (texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return materialize(
-        pairs.join(right, "b").join(left, "a").filter(_similar(least)("text_a", "text_b")).select("a", "b")
-    )
-
-
 def near_duplicates(
-    docs: DataFrame, least: float = 0.8, bands: int = 25, rows: int = 5, block_rows: int = 512, doubt: float = 4.5,
+    docs: DataFrame, least: float = 0.8, bands: int = 25, rows: int = 5, block_rows: int = 512, block_units: int = 1_000_000,
+    doubt: float = 4.5,
 ) -> DataFrame:
     """Classes of documents whose shingles have a weighted Jaccard similarity of ``least`` or more, and all that
     such links connect.
@@ -210,8 +210,9 @@ def near_duplicates(
     Rows (one per row of ``docs``): doc_id, class_id (smallest doc_id of the class), kept (true for one row of each
     class, the first by doc_id; null ids last), and the row's keys k1 and k2. Equal word sequences are folded first, so
     a group of copies is one row from then on. Null, empty and blank texts have no shingles: each is a class of its own.
-    ``doubt``: by how many standard errors the signatures' agreement may lie below ``least`` before a pair is ruled
-    out unread. Other columns are not read.
+    ``block_rows``, ``block_units``: members and regions that a block of a bucket holds about. ``doubt``: by how many standard
+    errors the signatures' agreement with a pivot may lie below ``least`` before that pair is ruled out unread; all that does not
+    come together with its bucket's largest part that way is compared exactly. Other columns are not read.
     """
     k = bands * rows
     enough = int(k * (least - doubt * sqrt(least * (1 - least) / k)))
@@ -232,39 +233,38 @@ def near_duplicates(
     sketches = folded.select("rep", "sketch")
     likely = stars.join(sketches.toDF("b", "y"), "b").join(sketches.toDF("a", "x"), "a").filter(_agreeing(enough)("x", "y"))
     tried = materialize(likely.select("a", "b"))
-    links = _verified(tried, folded, docs, least)
+    # The regions of all that shares a bucket with another, from one pass over the texts.
+    places = folded.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "k1", "k2")
+    texts = docs.select("text", *row_keys()).join(places, ["k1", "k2"]).dropDuplicates(["rep"]).select("rep", "text")
+    cut = materialize(texts.mapInPandas(_cut_regions, "rep long, size long, regions binary"))
+    sides = [cut.select(F.col("rep").alias(c), F.col("regions").alias(f"regions_{c}")) for c in "ab"]
+    links = materialize(
+        tried.join(sides[1], "b").join(sides[0], "a").filter(_similar(least)("regions_a", "regions_b")).select("a", "b")
+    )
     roots = materialize(component_roots(links))
 
-    # The best pairs come first: one link is enough to join two components (edited copies with their original, most
-    # of all), and only pairs of components that stay apart are gone through to the end.
-    most, done = 2, False
-    while not done:
-        labelled = members.filter("size > 2").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("root", "rep")
-        )
-        split = labelled.groupBy("bucket").agg(
-            F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")
-        ).filter("x != y").select("bucket", F.ceil(F.col("size") / block_rows).cast("int").alias("blocks"))
-        parts = labelled.select("bucket", "rep", "component").join(split, "bucket")
-        own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int")
-        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        sides = parts.join(sketches, "rep")
-        columns = ["bucket", "p", "q", "side", "rep", "component", "sketch"]
-        both = sides.withColumn("side", F.lit(0)).withColumn("p", own).withColumn("q", each).select(*columns).unionByName(
-            sides.withColumn("side", F.lit(1)).withColumn("q", own).withColumn("p", each).select(*columns)
-        )
-        found = both.groupBy("bucket", "p", "q").applyInPandas(_blocks(enough, most), "a long, b long, cut boolean")
-        pairs = found.groupBy("a", "b").agg(F.max("cut").alias("cut")).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left")
-        told = materialize(pairs)
-        left = told.agg(F.count_if(F.col("old").isNull()).alias("new"), F.max("cut").alias("cut")).first()
-        if left.new:
-            more = told.filter("old IS NULL").select("a", "b")
-            tried = tried.unionByName(more)
-            better, n = write_table(_verified(more, folded, docs, least))
-            if n:
-                links = links.unionByName(better)
-                roots = materialize(component_roots(links))
-        done, most = not left.cut, most * 8
+    # In buckets whose members are in several components, all but the largest are held against every member.
+    labelled = materialize(
+        members.filter("size > 2").select("bucket", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+        .join(cut.select("rep", "size"), "rep").select("bucket", "rep", F.coalesce("root", "rep").alias("component"), "size")
+    )
+    shares = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("units"))
+    main = shares.groupBy("bucket").agg(F.max(F.struct("n", "component", "units")).alias("m"), F.sum("n").alias("n"), F.sum("units").alias("units"))
+    blocks = lambda n, units: F.ceil(F.greatest(n / block_rows, units / block_units)).cast("int")
+    split = main.filter("n > m.n").select(
+        "bucket", F.col("m.component").alias("main"), blocks(F.col("n"), F.col("units")).alias("wide"),
+        blocks(F.col("n") - F.col("m.n"), F.col("units") - F.col("m.units")).alias("narrow"),
+    )
+    parts = labelled.select("bucket", "rep", "component").join(split, "bucket")
+    place = lambda of, n: F.pmod(F.xxhash64(F.lit(of), "rep", "bucket"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    few = parts.filter("component != main").withColumn("side", F.lit(0)).withColumn("p", place(0, F.col("narrow"))).withColumn("q", each(F.col("wide")))
+    all_ = parts.withColumn("side", F.lit(1)).withColumn("q", place(1, F.col("wide"))).withColumn("p", each(F.col("narrow")))
+    columns = ["bucket", "p", "q", "side", "rep", "component"]
+    both = few.select(*columns).unionByName(all_.select(*columns)).join(cut.select("rep", "regions"), "rep")
+    more, n = write_table(both.groupBy("bucket", "p", "q").applyInPandas(_blocks(least), "a long, b long"))
+    if n:
+        roots = materialize(component_roots(links.unionByName(more)))
 
     classes = folded.select("fp", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         "fp", F.coalesce("root", "rep").alias("component")
