@@ -51,7 +51,7 @@ class PieceEncoder:
     ids are those of the tokenizer as its file has it, as ``encoder`` wants them: the content becomes the token.
     """
 
-    def __init__(self, path: str, remember: int = 300_000, longest: int = 64, together: int = 512, special_as_text: bool = True):
+    def __init__(self, path: str, remember: int = 200_000, longest: int = 64, together: int = 512, special_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         # A text that holds an added token is encoded in one go: the token cuts the text before anything else does.

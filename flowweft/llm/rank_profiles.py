@@ -186,18 +186,23 @@ def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = 4
 
 
 def keep_told(docs: DataFrame, profiles: dict[str, np.ndarray], least: dict[str, float], most: int = 400, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents with letters that name a language, or whose score reaches the least one of the language found."""
+    """The documents with letters that name a language, or whose score reaches the least one of the language found.
+
+    Those of the second kind name the language found from then on; all other columns stay.
+    """
     judge = Judge(profiles, most)
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("string")
     def told(texts: pd.Series, named: pd.Series) -> pd.Series:
         keep = []
         for one, known in zip(texts, named, strict=True):
-            if known:
-                keep.append(one is not None and any(map(str.isalpha, one)))
+            if known is not None:
+                keep.append(known if one is not None and any(map(str.isalpha, one)) else None)
             else:
                 name, score = judge.decide(one)
-                keep.append(name != UNKNOWN and score >= least[name])
-        return pd.Series(keep, dtype=bool)
+                keep.append(name if name != UNKNOWN and score >= least[name] else None)
+        return pd.Series(keep, dtype=object)
 
-    return docs.filter(told(F.col(text), F.col(lang).isNotNull()))
+    name = free_name(docs, "told")
+    found = docs.withColumn(name, told(F.col(text), F.col(lang))).filter(F.col(name).isNotNull())
+    return found.withColumn(lang, F.col(name)).select(*docs.columns)

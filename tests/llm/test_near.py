@@ -175,9 +175,12 @@ def test_language_stage_rejects_what_no_profile_is_near_to(text_spark, make_docs
         (-4, "123 ...", "en"), (-5, None, "en"), (-6, None, None), (-7, "", None), (-8, "Имя", "en"),
     ]).select(*docs.columns)
     everything = docs.unionByName(odd)
-    kept = Counter(r.doc_id for r in corpus_pipeline.identify_language(text_spark, everything, D).collect())
+    rows = corpus_pipeline.identify_language(text_spark, everything, D).collect()
+    kept = Counter(r.doc_id for r in rows)
     want = Counter(r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
     assert kept == want + Counter([-3, -8])
+    named = {r.doc_id: r.lang for r in everything.collect()} | {-3: "en"}  # what the stage found is named from then on
+    assert {r.doc_id: r.lang for r in rows} == {i: named[i] for i in kept}
 
 
 def test_language_stage_without_named_languages(text_spark, make_docs):
