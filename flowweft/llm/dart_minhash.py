@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.closure import component_roots
 from ..runtime import materialize, write_table
-from .common import free_name, row_keys
-from .cosine_cells import _forest
+from .common import free_name, release_memory, row_keys
 
 SHINGLE_WORDS = 5
 _MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(b"place%d" % i) | 1 for i in range(SHINGLE_WORDS)], np.uint64)
@@ -133,6 +132,8 @@ def _sign(k: int):
                 rows.append((len(words), xxhash.xxh3_128_digest(words.tobytes()), sketch))
             made = pd.DataFrame(rows, columns=["n", "fp", "sketch"])
             yield pd.concat([frame[["doc_id", "k1", "k2"]].reset_index(drop=True), made], axis=1)
+        _WORDS.clear()
+        release_memory()
 
     return sign
 
@@ -150,6 +151,8 @@ def _cut_regions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         found = [np.sort(regions_of(*shingles(word_hashes(text)))) for text in frame["text"]]
         yield pd.DataFrame({"rep": frame["rep"], "size": [len(r) for r in found], "regions": [r.tobytes() for r in found]})
+    _WORDS.clear()
+    release_memory()
 
 
 def common_regions(left: list[np.ndarray], right: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
@@ -183,8 +186,27 @@ def _similar(least: float):
     return similar
 
 
+def _stars(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each component of the links one left member, with every other member of the component."""
+    new_left, new_right = np.ones(len(left), bool), np.ones(len(right), bool)
+    first, other = [], []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        if not new_left[i]:
+            continue
+        rows = np.array([i])
+        while len(rows):
+            new_left[rows] = False
+            columns = np.flatnonzero(linked[rows].any(axis=0) & new_right)
+            new_right[columns] = False
+            other += [left[rows], right[columns]]
+            first.append(np.full(len(rows) + len(columns), left[i]))
+            rows = np.flatnonzero(linked[:, columns].any(axis=1) & new_left)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *first]), np.concatenate([none, *other])
+
+
 def _blocks(least: float):
-    """A spanning forest (a, b) of the links between different components in one pair of blocks."""
+    """Stars (a, b) over the components of the links between different components in one pair of blocks."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group.side == 0], group[group.side == 1]
@@ -194,7 +216,7 @@ def _blocks(least: float):
             common = common_regions(xs, ys).astype(np.float64)
             every = np.array(list(map(len, xs)))[:, None] + np.array(list(map(len, ys)))[None] - common
             linked = (common / every >= least) & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None])
-            a, b = _forest(left.rep.to_numpy(), right.rep.to_numpy(), linked)
+            a, b = _stars(left.rep.to_numpy(), right.rep.to_numpy(), linked)
         return pd.DataFrame({"a": a, "b": b})[a != b].astype("int64")
 
     return compare

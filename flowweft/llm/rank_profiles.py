@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import free_name
+from .common import free_name, release_memory
 
 UNKNOWN = "und"
 _BITS = 21  # a code point
@@ -193,15 +193,17 @@ def keep_told(docs: DataFrame, profiles: dict[str, np.ndarray], least: dict[str,
     judge = Judge(profiles, most)
 
     @F.pandas_udf("string")
-    def told(texts: pd.Series, named: pd.Series) -> pd.Series:
-        keep = []
-        for one, known in zip(texts, named, strict=True):
-            if known is not None:
-                keep.append(known if one is not None and any(map(str.isalpha, one)) else None)
-            else:
-                name, score = judge.decide(one)
-                keep.append(name if name != UNKNOWN and score >= least[name] else None)
-        return pd.Series(keep, dtype=object)
+    def told(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, named in batches:
+            keep = []
+            for one, known in zip(texts, named, strict=True):
+                if known is not None:
+                    keep.append(known if one is not None and any(map(str.isalpha, one)) else None)
+                else:
+                    name, score = judge.decide(one)
+                    keep.append(name if name != UNKNOWN and score >= least[name] else None)
+            yield pd.Series(keep, dtype=object)
+        release_memory()
 
     name = free_name(docs, "told")
     found = docs.withColumn(name, told(F.col(text), F.col(lang))).filter(F.col(name).isNotNull())

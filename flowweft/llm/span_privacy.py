@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 Span = tuple[int, int]
 KINDS = ("email", "ip", "card", "phone")
 
@@ -343,7 +345,9 @@ def mask_private(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by tags; all columns stay."""
 
     @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(mask)
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([mask(t) for t in texts], dtype=object)
+        release_memory()
 
     return docs.withColumn(text, masked(F.col(text)))

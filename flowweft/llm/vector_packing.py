@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import number_rows
 from ..runtime import materialize
+from .common import release_memory
 from .encode import encoder
 
 PLAN = "length long, rank0 long, rank1 long, per long, sequence0 long, offset0 long"
@@ -120,6 +121,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int = 1024)
                 [pa.array(c, t) for c, t in zip(rows, [pa.int64(), pa.int32(), *[pa.int64()] * 3], strict=True)],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
