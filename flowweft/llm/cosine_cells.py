@@ -5,6 +5,10 @@ most theta) has its home in cell c only if the plane between the centres of c an
 than theta: x . (c1 - c) <= sin(theta) |c1 - c|. So x visits exactly the cells beyond its own for which this holds,
 and no link is lost however the centres lie. ``reach`` scales the right side: 1 is exact, less is faster.
 
+Vectors of different lengths never meet: the length is part of a cell's name. One set of centres serves all lengths,
+as the bound holds for any centres: a shorter vector counts as one with zeros behind it, a longer one meets centres
+with zeros behind them.
+
 Cells are cut into blocks of bounded size; a task multiplies one block of residents with one block of residents or
 visitors. It returns link counts and a spanning forest of what it found, never the pairs themselves, so a group of m
 near copies costs m rows a block. The forests together have the components of the whole link graph.
@@ -29,13 +33,20 @@ FOUND = "rep long, root long, n long"
 
 
 def centres(folded: DataFrame, rows: int, cell_rows: int, max_cells: int, train_rows: int, seed: int) -> np.ndarray:
-    """Centres of spherical k-means, fitted on about ``train_rows`` rows chosen by hash; at most ``max_cells`` of them."""
+    """Centres of spherical k-means, at most ``max_cells``, fitted on about ``train_rows`` rows chosen by hash.
+
+    They have the length of most vectors (ties: the longer); others are cut or filled with zeros to fit.
+    """
     k = min(max_cells, -(-rows // cell_rows))
-    if k < 2:
-        dim = folded.select(F.size("v").alias("w")).first()
-        return np.zeros((1, dim.w if dim else 1))
+    common = folded.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("w")).first()
+    if k < 2 or common is None:
+        return np.zeros((1, common.w if common else 1))
     share = F.pmod(F.xxhash64("k1", "k2"), F.lit(1_000_000)) < F.lit(max(1, int(1_000_000 * min(1.0, train_rows / rows))))
-    sample = folded.filter(share).select(array_to_vector("v").alias("features"))
+    fitted = F.slice(F.concat("v", F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(common.w) - F.col("w")))), 1, common.w)
+    sample = folded.filter(share).select(fitted.alias("x")).filter(F.exists("x", lambda c: c != 0))
+    sample = materialize(sample.select(array_to_vector("x").alias("features")))
+    if sample.isEmpty():
+        return np.zeros((1, common.w))
     model = KMeans(k=k, distanceMeasure="cosine", maxIter=8, seed=seed, initSteps=2).fit(sample)
     found = np.array(model.clusterCenters())
     size = np.linalg.norm(found, axis=1, keepdims=True)
@@ -49,14 +60,15 @@ def homes_and_visits(centre: np.ndarray, least: float, reach: float):
 
     def place(batches):
         for frame in batches:
-            if not len(frame):
-                continue
-            near = unit_rows(frame["v"]) @ centre.T
-            home = near.argmax(axis=1)
-            apart = gap[home] if gap is not None else np.sqrt(np.maximum(0, 2 - 2 * centre[home] @ centre.T))
-            visits = near[np.arange(len(home)), home][:, None] - near <= slack * apart
-            visits &= np.arange(len(centre))[None] > home[:, None]
-            yield frame.assign(home=home.astype("int32"), visits=[np.flatnonzero(x).astype("int32") for x in visits])
+            for _, alike in frame.groupby(frame["v"].map(len)):
+                x = unit_rows(alike["v"])
+                shared = min(x.shape[1], centre.shape[1])
+                near = x[:, :shared] @ centre[:, :shared].T
+                home = near.argmax(axis=1)
+                apart = gap[home] if gap is not None else np.sqrt(np.maximum(0, 2 - 2 * centre[home] @ centre.T))
+                visits = near[np.arange(len(home)), home][:, None] - near <= slack * apart
+                visits &= np.arange(len(centre))[None] > home[:, None]
+                yield alike.assign(home=home.astype("int32"), visits=[np.flatnonzero(row).astype("int32") for row in visits])
 
     return place
 
@@ -108,42 +120,45 @@ def near_vectors(
     """Link counts and groups of vectors with cosine ``least`` or more, in double precision.
 
     Rows (one per row of ``vectors``): vec_id, n_links (other vectors linked directly), component_id (smallest vec_id
-    reachable), kept (vec_id = component_id). Vectors that are null, zero, of an uncommon length, or that hold null or
-    non-finite components link with nothing; without an id component_id is null and kept false. Repeated rows count
-    as vectors of their own. An empty table gives no rows. Other columns are not read.
+    reachable), kept (vec_id = component_id). Vectors that are null, zero, or that hold null or non-finite components
+    link with nothing, and vectors of different lengths not with each other; without an id component_id is null and
+    kept false. Repeated rows count as vectors of their own, and so do different vectors under one id: each has its
+    links and its component. An empty table gives no rows. Other columns are not read.
     """
-    keyed = materialize(usable(vectors).select("vec_id", "v", *identity()))
+    keyed = materialize(usable(vectors).select("vec_id", "v", "w", *identity()))
+    # Different vectors are numbered once, in a written table: an id may stand for several of them.
     folded, rows = write_table(keyed.groupBy("k1", "k2").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("v").alias("v")
-    ))
+        F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("v").alias("v"), F.any_value("w").alias("w")
+    ).withColumn("rep", F.monotonically_increasing_id()))
     centre = centres(folded, rows, cell_rows, max_cells, train_rows, seed)
-    placed = materialize(folded.select("rep", "copies", "v").mapInPandas(
-        homes_and_visits(centre, least, reach), "rep long, copies long, v array<double>, home int, visits array<int>"
+    placed = materialize(folded.select("rep", "copies", "v", "w").mapInPandas(
+        homes_and_visits(centre, least, reach), "rep long, copies long, v array<double>, w int, home int, visits array<int>"
     ))
-    stays = placed.select(F.col("home").alias("cell"), "rep", "copies", "v", F.lit(1).alias("role"))
-    goes = placed.select(F.explode("visits").alias("cell"), "rep", "copies", "v", F.lit(2).alias("role"))
+    stays = placed.select("w", F.col("home").alias("cell"), "rep", "copies", "v", F.lit(1).alias("role"))
+    goes = placed.select("w", F.explode("visits").alias("cell"), "rep", "copies", "v", F.lit(2).alias("role"))
     probes = stays.unionByName(goes)
     blocks = lambda n: F.ceil(n / F.lit(block_rows)).cast("int")
-    sizes = placed.select(F.explode(F.concat(F.array("home"), "visits")).alias("cell"), (F.lit(0)).alias("x")).groupBy("cell").agg(
+    at = ["w", "cell"]
+    sizes = placed.select("w", F.explode(F.concat(F.array("home"), "visits")).alias("cell")).groupBy(*at).agg(
         blocks(F.count(F.lit(1))).alias("there")
-    ).join(placed.groupBy(F.col("home").alias("cell")).agg(blocks(F.count(F.lit(1))).alias("here")), "cell")
-    sizes = F.broadcast(materialize(sizes))  # a row per cell, at most max_cells
+    ).join(placed.groupBy("w", F.col("home").alias("cell")).agg(blocks(F.count(F.lit(1))).alias("here")), at)
+    sizes = materialize(sizes)  # a row per length and cell
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("rep", F.lit(n)), F.col(n)).cast("int")
-    residents = stays.withColumn("role", F.lit(0)).join(sizes, "cell").withColumn("a", own("here")).withColumn("b", every("there"))
-    others = probes.join(sizes, "cell").withColumn("b", own("there")).withColumn("a", every("here"))
-    columns = ["cell", "a", "b", "rep", "copies", "v", "role"]
+    residents = stays.withColumn("role", F.lit(0)).join(sizes, at).withColumn("a", own("here")).withColumn("b", every("there"))
+    others = probes.join(sizes, at).withColumn("b", own("there")).withColumn("a", every("here"))
+    columns = [*at, "a", "b", "rep", "copies", "v", "role"]
     found = materialize(
-        residents.select(*columns).unionByName(others.select(*columns)).groupBy("cell", "a", "b")
+        residents.select(*columns).unionByName(others.select(*columns)).groupBy(*at, "a", "b")
         .applyInPandas(block_links(least), FOUND)
     )
     counts = found.filter("n > 0").groupBy("rep").agg(F.sum("n").alias("n"))
     edges = found.filter("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    roots = component_roots(edges)
-    named = roots.groupBy("root").agg(F.min("id").alias("component"))
-    labels = roots.join(named, "root").select(F.col("id").alias("rep"), "component")
+    roots = materialize(component_roots(edges).withColumnRenamed("id", "rep"))
+    named = roots.join(folded.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("component"))
+    labels = roots.join(named, "root").select("rep", "component")
     classes = folded.join(counts, "rep", "left").join(labels, "rep", "left").select(
-        "k1", "k2", F.coalesce("component", "rep").alias("component"),
+        "k1", "k2", F.coalesce("component", "first").alias("component"),
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     linked = keyed.select("vec_id", "k1", "k2").join(classes, ["k1", "k2"]).select(

@@ -4,24 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIM_LIMIT = 65_536
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """(vec_id, v) of rows that can take part: an id, and a vector without null or non-finite components that is not
-    zero. Vectors of another length than the commonest one (ties: the longer) take no part either.
+    """(vec_id, v, w) of rows that can take part: an id, and a vector without null or non-finite components that is not
+    zero. ``w`` is the vector's length; vectors of different lengths have no cosine and never meet.
     """
     v = F.col(vector_column).cast("array<double>")
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).filter(
-        F.col("vec_id").isNotNull() & F.col(vector_column).isNotNull() & (F.size(v) > 0) & sound & F.exists(v, lambda x: x != 0)
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("w"))
+    return rows.filter(
+        F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.col("w") > 0) & F.forall("v", _finite) & F.exists("v", lambda x: x != 0)
     )
-    widths = rows.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    top = widths.orderBy(F.desc("n"), F.desc("w")).first()
-    return rows.filter(F.size("v") == (top.w if top else 0))
 
 
 def identity() -> list:

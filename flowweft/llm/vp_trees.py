@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbering import number_rows
-from ..runtime import materialize, write_table
+from ..runtime import materialize
 from .vectors import unit_rows, usable
 
 FOUND = "query_id long, vec_id long, score double"
@@ -128,20 +128,24 @@ def nearest(
     """The ``k`` nearest rows by cosine for each row whose id is divisible by ``every``.
 
     Rows: query_id, rank (from 1), vec_id, score; nearest first, ties to the smaller id, all candidates if there are
-    fewer. Rows without an id, null, zero or non-finite vectors and vectors of an uncommon length take no part. A
-    repeated row is searched for once and found once, as its id is the same. An empty table gives no rows. Other
-    columns are not read.
+    fewer. Rows without an id and null, zero or non-finite vectors take no part; candidates of a query are vectors of its
+    length. A repeated row is searched for once and found once, as its id is the same. An empty table gives no rows.
+    Other columns are not read.
     """
     rows = materialize(usable(vectors).distinct())
     ranked = number_rows(rows.withColumn("_key", F.xxhash64("v")), ["_key", "v"], [F.col("vec_id")], "_copy")
-    index, n = write_table(ranked.filter(F.col("_copy") <= k + 1).select("vec_id", "v"))
-    queries, asked = write_table(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v"))
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // query_rows))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(n)), F.lit(n)).cast("int")
-    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    points = index.select("vec_id", "v", spread(shards).alias("shard")).withColumn("block", to_all(blocks))
-    asks = queries.select("vec_id", "v", spread(blocks).alias("block")).withColumn("shard", to_all(shards))
-    found = points.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInPandas(
+    index = materialize(ranked.filter(F.col("_copy") <= k + 1).select("vec_id", "v", "w"))
+    queries = materialize(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "w"))
+    parts = lambda size, name: F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name)
+    cut = materialize(  # a row per length that is asked for
+        index.groupBy("w").agg(parts(shard_rows, "shards")).join(queries.groupBy("w").agg(parts(query_rows, "blocks")), "w")
+    )
+    spread = lambda n: F.pmod(F.xxhash64("vec_id", F.col(n)), F.col(n)).cast("int")
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    points = index.join(cut, "w").withColumn("shard", spread("shards")).withColumn("block", to_all("blocks"))
+    asks = queries.join(cut, "w").withColumn("block", spread("blocks")).withColumn("shard", to_all("shards"))
+    at, columns = ["w", "shard", "block"], ["w", "shard", "block", "vec_id", "v"]
+    found = points.select(*columns).groupBy(*at).cogroup(asks.select(*columns).groupBy(*at)).applyInPandas(
         search_shard(k, factor, leaf), FOUND
     )
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a shard

@@ -113,3 +113,63 @@ def test_few_or_no_vectors(text_spark, vectors):
     got = V.nearest(two).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(50, 1, 3)] and got[0].score == pytest.approx(2 / 5**0.5)
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in C.near_vectors(two).collect()} == {(50, 0, 50, True), (3, 0, 3, True)}
+
+
+@pytest.fixture(scope="module")
+def mixed(text_spark):
+    """Two lengths that are equally common and a rare one; ids that stand for different vectors, or for two lengths."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for dim, start in ((8, 0), (12, 1000), (3, 2000)):
+        n = 260 if dim > 3 else 6
+        x = rng.normal(size=(n, dim)).astype("float32")
+        for i in range(n // 3):
+            x[i] = x[rng.integers(n)] + 0.2 * rng.normal(size=dim)
+        x[n - 2] = x[n - 1]
+        rows += [(start + i, [float(v) for v in row]) for i, row in enumerate(x)]
+    rows += [(5, rows[100][1]), (5, rows[400][1]), (1005, rows[101][1]), (50, [1.0, 2.0, 3.0]), (50, rows[7][1])]
+    return rows, text_spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+
+
+def row_links(rows, least):
+    """Links and components row by row: only vectors of one length, whatever the ids."""
+    unit = [np.array(v, "float32").astype(float) / np.linalg.norm(np.array(v, "float32").astype(float)) for _, v in rows]
+    linked = [[j for j in range(len(rows)) if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= least] for i in range(len(rows))]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in linked[i]:
+            a, b = group[i], group[j]
+            group = [a if g == b else g for g in group]
+    least_id = {g: min(r[0] for r, other in zip(rows, group, strict=True) if other == g) for g in set(group)}
+    return Counter((r[0], len(x), least_id[g]) for r, x, g in zip(rows, linked, group, strict=True))
+
+
+@pytest.mark.parametrize("sizes", [{"cell_rows": 60, "block_rows": 32}, {}])
+def test_lengths_do_not_meet_and_ids_may_repeat(mixed, sizes):
+    rows, table = mixed
+    got = C.near_vectors(table, 0.95, **sizes).collect()
+    want = row_links(rows, 0.95)
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == want
+    assert any(links and vec_id >= 2000 for vec_id, links, _ in want), "the rare length has links"
+
+
+def test_one_id_on_two_vectors_keeps_their_links_apart(text_spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [2.0, 0.0]), (7, [0.0, 3.0])]
+    got = C.near_vectors(text_spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False)]
+
+
+@pytest.mark.parametrize("sizes", [{"shard_rows": 40, "query_rows": 3, "leaf": 16}, {}])
+def test_nearest_within_each_length(mixed, text_spark, sizes):
+    rows, _ = mixed
+    rows = rows[:526]  # one vector an id
+    table = text_spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {}
+    for r in V.nearest(table, every=10, k=5, **sizes).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    unit = {i: np.array(v, "float32").astype(float) / np.linalg.norm(np.array(v, "float32").astype(float)) for i, v in rows}
+    for q, x in unit.items():
+        if q % 10 == 0:
+            near = sorted((-round(float(x @ y), 12), i) for i, y in unit.items() if i != q and len(y) == len(x))
+            assert found[q] == [i for _, i in near[:5]]
+    assert set(found) == {q for q in unit if q % 10 == 0} and len(found[2000]) == 5
