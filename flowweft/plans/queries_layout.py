@@ -144,25 +144,135 @@ meets AS (SELECT u.layout_id, u.edge_id, u.x, u.y FROM cells u SEMI JOIN (SELECT
 """
 
 
-# Every route of these layouts is a straight row, so: ends dock unless the target is a
-# one-tile box, all cells lie on the horizontal axis and every meeting is a broken crossing.
-@query("validate_layout", LAYOUT_SQL + """
+# Scenes for the layout checks: a lot per event, a layout per user, every other scene turned on its diagonal. A route
+# e runs on a bridge over a route g, a route h has a bend. Most scenes are sound; what number event_id % 101 is from
+# 1 to 22 changes one thing. The expressions below are read by Spark and by DuckDB.
+SCENE_NODES = [("a", "station", 0, 0), ("b", "machine", 14, 0), ("c", "machine", 7, -8), ("d", "machine", 7, 8),
+               ("s", "machine", 20, 0), ("t", "machine", 42, 8), ("z", "machine", 0, 0)]
+SCENE_ROUTES = [("e", "a", "b", 0, 2, 10), ("g", "c", "d", 1, 3, 12), ("h", "s", "t", 0, 3, 26)]
+LOTS = ["concat('user.', user_id) AS layout_id", "event_id", "event_id % 101 AS v", "event_id % 2 = 1 AS turned",
+        "event_id % 512 * 64 AS lot_x", "CAST(floor(event_id / 512) AS BIGINT) * 64 AS lot_y"]
+SCENE = {
+    "moved": "CASE v WHEN 9 THEN 40 WHEN 21 THEN -3 ELSE 0 END",
+    "node_x": "CASE WHEN n IN ('c', 'd') THEN cx + {moved} WHEN n = 'z' THEN CASE v WHEN 1 THEN 1 WHEN 11 THEN 9 ELSE 30 END ELSE cx END",
+    "node_y": "CASE WHEN n = 'z' AND v = 11 THEN 2 ELSE cy END",
+    "node_kind": "CASE WHEN n = 'b' AND v = 2 THEN 'trash' ELSE kind END",
+    "node_there": "n <> 'z' OR v IN (1, 11, 19)",
+    "src": "CASE WHEN r = 'e' AND v = 4 THEN 'd' ELSE src END",
+    "dst": "CASE WHEN r = 'h' AND v = 20 THEN 'a' ELSE dst END",
+    "route_kind": "CASE WHEN r = 'e' AND v = 3 THEN 'train' ELSE 'belt' END",
+    "start": "CASE WHEN r = 'h' AND v = 18 THEN 1 ELSE start_dir END",
+    "end": "CASE WHEN r = 'e' AND v = 5 THEN 0 ELSE end_dir END",
+    "cell_x": "CASE r WHEN 'e' THEN 2 + pos WHEN 'g' THEN 7 + {moved} ELSE least(22 + pos, 42) END",
+    "cell_y": "CASE WHEN r = 'e' THEN CASE WHEN v = 6 AND pos = 1 THEN 5 ELSE 0 END WHEN r = 'g' THEN pos - 6 "
+              "WHEN v = 13 AND pos = 26 THEN 4 ELSE greatest(pos - 20, 0) END",
+    "cell_layer": "CASE WHEN v = 14 AND r = 'h' AND pos = 3 THEN 2 "
+                  "WHEN r = 'e' AND pos BETWEEN 3 AND 7 AND NOT (v = 7 AND pos = 5) THEN 1 WHEN v = 8 AND r = 'e' AND pos = 10 THEN 1 "
+                  "WHEN v = 10 AND r = 'g' AND pos BETWEEN 3 AND 5 THEN 1 WHEN v = 15 AND r = 'h' AND pos BETWEEN 17 AND 23 THEN 1 "
+                  "WHEN v = 16 AND r = 'h' AND pos BETWEEN 2 AND 18 THEN 1 WHEN v = 17 AND r = 'h' AND pos IN (2, 3, 4, 6, 7, 8) THEN 1 "
+                  "WHEN v = 22 AND r = 'h' AND pos BETWEEN 22 AND 24 THEN 1 ELSE 0 END",
+    "cell_there": "NOT (v = 12 AND r = 'e' AND pos > 0)",
+}
+SCENE = {k: text.replace("{moved}", SCENE["moved"]) for k, text in SCENE.items()}
+
+
+def _placed(x: str, y: str) -> list[str]:
+    """Tile columns x and y in the layout: turned where the scene is, then moved to its lot."""
+    return [f"CAST(lot_x + CASE WHEN turned THEN {y} ELSE {x} END AS INT) AS x", f"CAST(lot_y + CASE WHEN turned THEN {x} ELSE {y} END AS INT) AS y"]
+
+
+def _heading(direction: str) -> str:
+    """Turning swaps right with down and left with up."""
+    return f"CASE WHEN turned THEN {direction} + 1 - 2 * (({direction}) % 2) ELSE {direction} END"
+
+
+_id = lambda c: f"concat(event_id, '.', {c})"
+SCENE_TABLES = {
+    "nodes": ["layout_id", f"{_id('n')} AS id", f"{SCENE['node_kind']} AS kind", *_placed(SCENE["node_x"], SCENE["node_y"])],
+    "routes": ["layout_id", f"{_id('r')} AS edge_id", f"{_id(SCENE['src'])} AS src", f"{_id(SCENE['dst'])} AS dst",
+               f"{SCENE['route_kind']} AS kind", f"{_heading(SCENE['start'])} AS start_dir", f"{_heading(SCENE['end'])} AS end_dir"],
+    "cells": ["layout_id", f"{_id('r')} AS edge_id", "CAST(pos AS INT) AS pos", *_placed(SCENE["cell_x"], SCENE["cell_y"]),
+              f"{SCENE['cell_layer']} AS layer"],
+}
+
+
+def scenes(spark, d):
+    """(nodes, edges, cells) of the layouts above."""
+    base = G.table(spark, d, "events").selectExpr(*LOTS)
+    struct = lambda names, row: "struct(" + ", ".join(f"{v!r} AS {n}" for n, v in zip(names, row, strict=True)) + ")"
+    each = lambda names, rows: f"inline(array({', '.join(struct(names, row) for row in rows)}))"
+    nodes = base.selectExpr("*", each(("n", "kind", "cx", "cy"), SCENE_NODES)).filter(SCENE["node_there"]).selectExpr(*SCENE_TABLES["nodes"])
+    routes = base.selectExpr("*", each(("r", "src", "dst", "start_dir", "end_dir", "last"), SCENE_ROUTES))
+    cells = routes.selectExpr("*", "explode(sequence(0, last)) AS pos").filter(SCENE["cell_there"])
+    centre = lambda c: ((F.col(c) + 0.5) * 32).alias(c)
+    return (
+        nodes.select("layout_id", "id", "kind", centre("x"), centre("y"), F.lit(3).alias("tile_size")),
+        routes.selectExpr(*SCENE_TABLES["routes"]), cells.selectExpr(*SCENE_TABLES["cells"]),
+    )
+
+
+SCENE_SQL = f"""
+WITH base AS (SELECT {', '.join(LOTS)} FROM events),
+nds AS (SELECT {', '.join(SCENE_TABLES['nodes'])} FROM base, (VALUES {', '.join(map(str, SCENE_NODES))}) AS t(n, kind, cx, cy) WHERE {SCENE['node_there']}),
+lines AS (SELECT * FROM base, (VALUES {', '.join(map(str, SCENE_ROUTES))}) AS t(r, src, dst, start_dir, end_dir, last)),
+eds AS (SELECT {', '.join(SCENE_TABLES['routes'])} FROM lines),
+cls AS (SELECT {', '.join(SCENE_TABLES['cells'])} FROM (SELECT *, unnest(range(last + 1)) AS pos FROM lines) WHERE {SCENE['cell_there']}),
+near(i) AS (VALUES (-1), (0), (1)),
+occ AS (SELECT layout_id, n.x + a.i AS x, n.y + b.i AS y, count(*) AS n FROM nds n, near a, near b GROUP BY ALL),
+way(dir, dx, dy) AS (VALUES (0, 1, 0), (1, 0, 1), (2, -1, 0), (3, 0, -1)),
+w AS (
+  SELECT c.*, e.kind, e.src, e.dst, s.dx AS sdx, s.dy AS sdy, t.dx AS edx, t.dy AS edy,
+    lag(c.x) OVER o AS px, lag(c.y) OVER o AS py, lag(layer) OVER o AS pl, lead(c.x) OVER o AS nx, lead(c.y) OVER o AS ny, lead(layer) OVER o AS nl
+  FROM cls c JOIN eds e USING (layout_id, edge_id) JOIN way s ON s.dir = start_dir JOIN way t ON t.dir = end_dir
+  WINDOW o AS (PARTITION BY layout_id, edge_id ORDER BY pos)),
+-- A bridge is a stretch of upper cells; how many lower cells lie before a cell names the stretch.
+up AS (SELECT *, pos - row_number() OVER (PARTITION BY layout_id, edge_id ORDER BY pos) AS stretch FROM w WHERE layer = 1),
+span AS (
+  SELECT *, row_number() OVER (PARTITION BY layout_id, edge_id ORDER BY stretch) AS run FROM (
+    SELECT layout_id, edge_id, stretch, min(pos) - 1 AS a, max(pos) + 1 AS b, count(DISTINCT x) = 1 AS same_x, count(DISTINCT y) = 1 AS same_y
+    FROM up GROUP BY layout_id, edge_id, stretch)),
+feet AS (
+  SELECT s.*, f.layer = 0 AND g.layer = 0 AS grounded, same_x AND f.x = g.x OR same_y AND f.y = g.y AS flat
+  FROM span s LEFT JOIN cls f ON f.layout_id = s.layout_id AND f.edge_id = s.edge_id AND f.pos = a
+  LEFT JOIN cls g ON g.layout_id = s.layout_id AND g.edge_id = s.edge_id AND g.pos = b),
+deck AS (SELECT c.layout_id, c.edge_id, run, x, y FROM cls c JOIN span s ON c.layout_id = s.layout_id AND c.edge_id = s.edge_id AND pos BETWEEN a AND b),
+env AS (SELECT layout_id, x, y, count(DISTINCT (edge_id, run)) AS n FROM (SELECT layout_id, edge_id, run, x + p.i AS x, y + q.i AS y FROM deck, near p, near q) GROUP BY ALL),
+axis AS (
+  SELECT *, CASE WHEN coalesce(px, x - sdx) = coalesce(nx, x - edx) THEN 'v' WHEN coalesce(py, y - sdy) = coalesce(ny, y - edy) THEN 'h' ELSE 'turn' END AS way
+  FROM w),
+meets AS (
+  SELECT o.layout_id, o.edge_id, o.pos, o.x, o.y, o.way = 'turn' OR u.way = 'turn' OR u.way = o.way OR coalesce(u.nl = 1, false) OR coalesce(u.pl = 1, false) AS odd
+  FROM axis o JOIN axis u ON u.layout_id = o.layout_id AND u.x = o.x AND u.y = o.y WHERE o.layer = 1 AND u.layer = 0),
+tips AS (
+  SELECT layout_id, edge_id, 'start' AS tip, src AS id, x - sdx AS hx, y - sdy AS hy, layer, coalesce(nx = x + sdx AND ny = y + sdy AND nl = 0, false) AS straight FROM w WHERE px IS NULL
+  UNION ALL SELECT layout_id, edge_id, 'end', dst, x - edx, y - edy, layer, coalesce(px = x + edx AND py = y + edy AND pl = 0, false) FROM w WHERE nx IS NULL)
+"""
+
+
+@query("validate_layout", SCENE_SQL + """
 SELECT layout_id, 'overlap' AS rule, x || ',' || y AS key FROM occ WHERE n > 1
-UNION ALL SELECT layout_id, 'trash_size', id FROM nds WHERE kind = 'trash' AND size <> 1
-UNION ALL SELECT layout_id, 'short_route', edge_id FROM ln WHERE q < 2
-UNION ALL SELECT layout_id, 'end_port', edge_id FROM ln WHERE trash AND line > 2
-UNION ALL SELECT layout_id, 'start_approach', edge_id FROM ln WHERE q < 2
-UNION ALL SELECT layout_id, 'end_approach', edge_id FROM ln WHERE q < 2
-UNION ALL SELECT layout_id, 'on_building', edge_id || '@' || x || ',' || y FROM cells SEMI JOIN occ USING (layout_id, x, y)
-UNION ALL SELECT layout_id, 'shared_cell', x || ',' || y || ',' || layer FROM cells GROUP BY layout_id, x, y, layer HAVING count(DISTINCT edge_id) > 1
-UNION ALL SELECT layout_id, 'raised_rail', edge_id || '@' || pos FROM cells WHERE status = 'F' AND layer <> 0
+UNION ALL SELECT layout_id, 'trash_size', id FROM nds WHERE kind = 'trash'
+UNION ALL SELECT layout_id, 'short_route', edge_id FROM eds LEFT JOIN cls USING (layout_id, edge_id) GROUP BY ALL HAVING count(pos) < 2
+UNION ALL SELECT layout_id, tip || '_approach', edge_id FROM tips WHERE NOT straight
+UNION ALL SELECT t.layout_id, tip || '_port', edge_id FROM tips t JOIN nds n ON n.layout_id = t.layout_id AND n.id = t.id
+  WHERE NOT (abs(hx - n.x) <= 1 AND abs(hy - n.y) <= 1 AND layer = 0)
+UNION ALL SELECT layout_id, 'on_building', edge_id || '@' || x || ',' || y FROM cls SEMI JOIN occ USING (layout_id, x, y)
+UNION ALL SELECT layout_id, 'shared_cell', x || ',' || y || ',' || layer FROM cls GROUP BY layout_id, x, y, layer HAVING count(DISTINCT edge_id) > 1
+UNION ALL SELECT layout_id, 'revisited', edge_id || '@' || x || ',' || y FROM cls GROUP BY layout_id, edge_id, x, y HAVING count(*) > 1
+UNION ALL SELECT layout_id, 'gap', edge_id || '@' || pos FROM w WHERE abs(x - px) + abs(y - py) <> 1
+UNION ALL SELECT layout_id, 'layer', edge_id || '@' || pos FROM cls WHERE layer > 1
+UNION ALL SELECT layout_id, 'raised_rail', edge_id || '@' || pos FROM w WHERE kind = 'train' AND layer <> 0
+UNION ALL SELECT layout_id, 'loose_bridge', edge_id || '#' || run FROM feet WHERE NOT coalesce(grounded, false)
+UNION ALL SELECT layout_id, 'bridge_length', edge_id || '#' || run FROM feet WHERE grounded AND b - a NOT BETWEEN 2 AND 16
+UNION ALL SELECT layout_id, 'bent_bridge', edge_id || '#' || run FROM feet WHERE grounded AND NOT flat
 UNION ALL SELECT layout_id, 'close_bridges', x || ',' || y FROM env WHERE n > 1
 UNION ALL SELECT layout_id, 'bridge_at_building', x || ',' || y FROM env SEMI JOIN occ USING (layout_id, x, y)
-UNION ALL (SELECT DISTINCT layout_id, 'crossing', x || ',' || y FROM meets)
-UNION ALL SELECT layout_id, 'idle_bridge', edge_id || '#1' FROM bridge ANTI JOIN meets USING (layout_id, edge_id)"""
-       .replace("(SELECT DISTINCT layout_id, 'crossing', x || ',' || y FROM meets)", "SELECT layout_id, 'crossing', x || ',' || y FROM meets GROUP BY layout_id, x, y"))
+UNION ALL SELECT layout_id, 'crossing', x || ',' || y FROM meets GROUP BY layout_id, x, y HAVING bool_or(odd)
+UNION ALL SELECT f.layout_id, 'idle_bridge', f.edge_id || '#' || run FROM feet f
+  WHERE grounded AND NOT EXISTS (SELECT 1 FROM meets m WHERE m.layout_id = f.layout_id AND m.edge_id = f.edge_id AND m.pos BETWEEN a AND b)""")
 def _(spark, d):
-    return V.validate_layout(*layout(spark, d))
+    """Every broken rule of the scenes; all rules fire, in upright and in turned scenes."""
+    return V.validate_layout(*scenes(spark, d))
 
 
 METRIC_SQL = LAYOUT_SQL + """,
