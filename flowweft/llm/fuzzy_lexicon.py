@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
-TOKEN = re.compile(r"\w+(?:[*@$!]\w+)*")
+TOKEN = re.compile(r"[$@*]?\w+(?:[*@$!]+\w+)*[*$]?")
+EDGES = "$@*"
+# What may stand for a letter that a writer hides; "*" stands for any.
+LOOKS = {"@": "a", "4": "a", "8": "b", "3": "e", "9": "g", "!": "il", "1": "il", "0": "o", "$": "s", "5": "s", "7": "t", "v": "u", "u": "v"}
 WINDOW_CHARS, WINDOW_WORDS = 160, 12
 QUOTES = [('"', '"'), ("“", "”"), ("„", "“"), ("«", "»"), ("‘", "’"), ("‹", "›")]
 REPORTING = frozenset(
@@ -39,68 +42,87 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def masks_allowed(term: str) -> int:
+    """Letters that may be hidden behind look-alikes: one even where no other edit is allowed."""
+    return max(1, edits_allowed(term))
+
+
+def _hides(written: str, letter: str) -> bool:
+    return written == "*" or letter in LOOKS.get(written, "")
+
+
 class LexiconAutomaton:
-    """Deterministic Levenshtein automaton over the trie of a lexicon, built as it is used."""
+    """Deterministic Levenshtein automaton over the trie of a lexicon, built as it is used.
+
+    A member of a state is (trie node, whether any edit was more than a hidden letter) with its fewest edits. Terms that
+    are too short for edits match by hidden letters only.
+    """
 
     def __init__(self, terms: Iterable[str], remember: int = 400_000):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
-        self.budget = [0]  # most edits of any term below a node
+        self.budget = [[0, 0]]  # most hidden letters, most edits of any term below a node
         for term in sorted(set(terms)):
-            node, most = 0, edits_allowed(term)
-            self.budget[0] = max(self.budget[0], most)
-            for c in term:
-                if c not in self.children[node]:
+            node, most = 0, (masks_allowed(term), edits_allowed(term))
+            for c in ["", *term]:
+                if c and c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
-                    self.budget.append(0)
-                node = self.children[node][c]
-                self.budget[node] = max(self.budget[node], most)
+                    self.budget.append([0, 0])
+                node = self.children[node][c] if c else node
+                self.budget[node] = [max(x) for x in zip(self.budget[node], most, strict=True)]
             self.term[node] = term
-        self.letters = {c for x in self.children for c in x}
+        self.letters = {c for x in self.children for c in x} | set(LOOKS) | {"*"}
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.found: list[tuple[str, int] | None] = []
         self.moves: list[dict[str, int]] = []
         self.dead = self._state({})
-        self.start = self._state(self._closed({0: 0}))
+        self.start = self._state(self._closed({(0, False): 0}))
         self.remember, self.harmless = remember, set()
         self.hits: dict[str, tuple[str, int]] = {}
 
-    def _closed(self, at: dict[int, int]) -> dict[int, int]:
-        """Add what is reached by leaving out letters of the term; fewest edits per node."""
+    def _reach(self, at: dict[tuple[int, bool], int], node: int, edited: bool, e: int) -> bool:
+        """Add a member unless a member of the same node allows no less."""
+        if e > self.budget[node][edited] or e >= at.get((node, edited), 99) or (edited and e >= at.get((node, False), 99)):
+            return False
+        at[node, edited] = e
+        return True
+
+    def _closed(self, at: dict[tuple[int, bool], int]) -> dict[tuple[int, bool], int]:
+        """Add what is reached by leaving out letters of the term."""
         todo = list(at)
         while todo:
-            node = todo.pop()
-            for child in self.children[node].values():
-                e = at[node] + 1
-                if e <= self.budget[child] and e < at.get(child, 99):
-                    at[child] = e
-                    todo.append(child)
+            here = todo.pop()
+            for child in self.children[here[0]].values():
+                if self._reach(at, child, True, at[here] + 1):
+                    todo.append((child, True))
         return at
 
-    def _state(self, at: dict[int, int]) -> int:
+    def _state(self, at: dict[tuple[int, bool], int]) -> int:
         key = frozenset(at.items())
         if key not in self.states:
             self.states[key] = len(self.members)
             self.members.append(key)
             self.moves.append({})
-            ends = [(e, self.term[n]) for n, e in at.items() if self.term[n] and e <= edits_allowed(self.term[n])]
+            ends = []
+            for (node, edited), e in at.items():
+                term = self.term[node]
+                if term and e <= (edits_allowed(term) if edited else masks_allowed(term)):
+                    ends.append((e, term))
             self.found.append((min(ends)[1], min(ends)[0]) if ends else None)
         return self.states[key]
 
     def _move(self, state: int, letter: str) -> int:
-        at: dict[int, int] = {}
-
-        def reach(node, e):
-            if e <= self.budget[node] and e < at.get(node, 99):
-                at[node] = e
-
-        for node, e in self.members[state]:
-            reach(node, e + 1)  # a letter too many
+        at: dict[tuple[int, bool], int] = {}
+        for (node, edited), e in sorted(self.members[state]):
+            self._reach(at, node, True, e + 1)  # a letter too many
             for c, child in self.children[node].items():
-                reach(child, e + (c != letter))
+                if c == letter:
+                    self._reach(at, child, edited, e)
+                else:
+                    self._reach(at, child, edited or not _hides(letter, c), e + 1)
         return self._state(self._closed(at))
 
     def match(self, word: str) -> tuple[str, int] | None:
@@ -123,7 +145,7 @@ class LexiconAutomaton:
             self.harmless.clear()
         out = {}
         for word in new:
-            hit = self.hits.get(word) or self.match(word)
+            hit = self.hits.get(word) or self.match(word) or self.match(word.strip(EDGES))
             if hit is None:
                 self.harmless.add(word)
             else:
@@ -167,7 +189,7 @@ class ToxicityModel:
             self._automaton.harmless.update(self.harmless)
         lower = (text or "").lower()
         near = self._automaton.near(set(TOKEN.findall(lower)))
-        near = {w: x for w, x in near.items() if w not in self.harmless}
+        near = {w: x for w, x in near.items() if w not in self.harmless and w.strip(EDGES) not in self.harmless}
         if not near:
             return 0.0, 0.0
         tokens = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(lower)]
@@ -176,7 +198,7 @@ class ToxicityModel:
         for k, i in enumerate(places):
             word, a, b = tokens[i]
             term, edits = near[word]
-            around = {t[0] for t in tokens[max(0, i - WINDOW_WORDS):i + WINDOW_WORDS + 1]}
+            around = {t[0].strip(EDGES) for t in tokens[max(0, i - WINDOW_WORDS):i + WINDOW_WORDS + 1]}
             context = 1.0 - 0.6 * _quoted(lower, a, b) - 0.2 * bool(around & REPORTING) + 0.2 * bool(around & ADDRESS)
             context += 0.2 * any(0 <= j < len(places) and j != k and abs(places[j] - i) <= WINDOW_WORDS for j in (k - 1, k + 1))
             strength = self.lexicon[term] * 0.7**edits
@@ -202,7 +224,7 @@ def word_places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     for frame in frames:
         for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-            tokens = TOKEN.findall(text.lower())
+            tokens = [t.strip(EDGES) for t in TOKEN.findall(text.lower())]
             first: dict[str, int] = {}
             for i, token in enumerate(tokens):
                 first.setdefault(token, i)
@@ -219,12 +241,15 @@ def lower_bound(hits, n, z: float = 2.6):
     return (middle - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, terms: int = 500, least_share: float = 0.5) -> ToxicityModel:
+def learn(
+    docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, terms: int = 500, least_share: float = 0.5, least_spread: float = 0.02,
+) -> ToxicityModel:
     """Fit a model on ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks; null texts and labels do not count.
 
     Uses about ``train_rows`` different texts (per label) at most, chosen by a hash of the text before texts are moved; copies
     with the same label count once. The lexicon has the
-    words whose share of toxic places is ``least_share`` or more with confidence, at most ``terms``, strongest first.
+    words whose share of toxic places is ``least_share`` or more with confidence and whose toxic places are as many as
+    ``least_spread`` of the toxic texts or more, at most ``terms``, strongest first. A null doc_id meets no label.
     Words near a term that occur in the sample without being terms are kept as harmless. Without rows of both labels the
     score is the share of toxic rows (0 if there are none).
     """
@@ -233,14 +258,17 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, terms: i
     hashes = usable.select("doc_id", F.xxhash64("text").alias("h"))
     rows = hashes.join(marks, "doc_id").select("h", "toxic").distinct().agg(F.count(F.lit(1)).alias("n")).first().n
     rate = min(1.0, train_rows / max(rows, 1))
-    chosen_texts = usable.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000)))
+    chance = F.xxhash64("text").cast("double") / F.lit(2.0**64) + 0.5
+    chosen_texts = usable.filter((chance < rate) if rate < 1 else F.lit(True))
     sample = materialize(chosen_texts.join(marks, "doc_id").select("text", "toxic").distinct())
     places = sample.mapInPandas(word_places, COUNTS).groupBy("word", "place").agg(
         F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("n")
     )
     counted = materialize(places.groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n")))
     share = lower_bound(F.col("t"), F.col("t") + F.col("n"))
-    chosen = counted.withColumn("share", share).filter(F.col("share") >= least_share).orderBy(F.desc("share"), "word").limit(terms).collect()
+    seen = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spread = F.col("t") >= least_spread * seen.get(1, 0)
+    chosen = counted.withColumn("share", share).filter((F.col("share") >= least_share) & spread).orderBy(F.desc("share"), "word").limit(terms).collect()
     model = ToxicityModel({r.word: float(r.share) for r in chosen})
 
     def known(frames):
@@ -257,7 +285,6 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, terms: i
         return texts.map(lambda x: list(model.features(x)))
 
     ready = sample.select(array_to_vector(features("text")).alias("features"), F.col("toxic").cast("double").alias("label"))
-    seen = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
         return ToxicityModel({}, (), (0.0, 0.0, 40.0 if seen.get(1) else -800.0))
     fitted = LogisticRegression(maxIter=50, regParam=1e-4).fit(materialize_vectors(ready))

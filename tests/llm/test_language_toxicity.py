@@ -114,6 +114,42 @@ def test_automaton_equals_edit_distance():
     assert automaton.near(words).keys() == {w for w in words if automaton.match(w)}
 
 
+def test_short_terms_match_by_hidden_letters_only():
+    automaton = X.LexiconAutomaton(["scum", "scumbag", "idiot", "rat"])
+    hidden = {"scvm": "scum", "sc*m": "scum", "$cum": "scum", "5cum": "scum", "r@t": "rat", "r*t": "rat", "*rat*": "rat", "@scum": "scum"}
+    found = automaton.near({*hidden, "scam", "scu", "sccum", "sc**m", "rot", "$c*m", "scumba", "scvmbag", "scambag", "1diot", "rats"})
+    assert {w: found[w][0] for w in hidden} == hidden
+    assert found["scumba"] == ("scumbag", 1) and found["scvmbag"] == ("scumbag", 1) and found["scambag"] == ("scumbag", 1)
+    assert found["1diot"] == ("idiot", 1) and not {"scam", "scu", "sccum", "sc**m", "rot", "$c*m", "rats"} & set(found)
+    model = X.ToxicityModel({"scum": 0.9}, [], (8.0, 0.0, -3.0))
+    assert all(model.score(f"what {w} you are") > 0.5 for w in ("scum", "scvm", "sc*m", "$cum", "*scum*"))
+    assert model.score("a scam") == model.score("it costs $100 at @home, 50*2!")
+
+
+def test_automaton_with_hidden_letters_equals_brute_force():
+    terms, rng = ["scum", "rat", "fool", "idiot", "scumbag", "degenerate"], random.Random(4)
+    automaton = X.LexiconAutomaton(terms)
+
+    def masked(word, term):
+        return len(word) == len(term) and sum(a != b for a, b in zip(word, term, strict=True)) == sum(
+            a != b and (a == "*" or b in X.LOOKS.get(a, "")) for a, b in zip(word, term, strict=True))
+
+    words = set()
+    for _ in range(6000):
+        word = list(rng.choice(terms))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(word))
+            word[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "*", "@", "v", "0", "$", "1"])
+        words.add("".join(word))
+    for word in words:
+        near = []
+        for t in terms:
+            away = levenshtein(word, t)
+            hidden = sum(a != b for a, b in zip(word, t, strict=True)) if masked(word, t) else 99
+            near += [(away, t)] * (away <= X.edits_allowed(t)) + [(hidden, t)] * (hidden <= X.masks_allowed(t))
+        assert automaton.match(word) == ((min(near)[1], min(near)[0]) if near else None), word
+
+
 def test_quotation_is_not_abuse():
     model = X.ToxicityModel({"idiot": 0.9, "stupid": 0.9}, ["stupa"], (8.0, 0.0, -3.0))
     assert model.score("what an idiot") > 0.5 and model.score("what an idi0t you are") > 0.5
