@@ -242,14 +242,16 @@ def lower_bound(hits, n, z: float = 2.6):
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, terms: int = 500, least_share: float = 0.5, least_spread: float = 0.02,
+    docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, terms: int = 500, least_share: float = 0.5, least_spread: float = 0.05,
+    sure_share: float = 0.8,
 ) -> ToxicityModel:
     """Fit a model on ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks; null texts and labels do not count.
 
     Uses about ``train_rows`` different texts (per label) at most, chosen by a hash of the text before texts are moved; copies
     with the same label count once. The lexicon has the
-    words whose share of toxic places is ``least_share`` or more with confidence and whose toxic places are as many as
-    ``least_spread`` of the toxic texts or more, at most ``terms``, strongest first. A null doc_id meets no label.
+    words whose share of toxic places is ``least_share`` or more with confidence, at most ``terms``, strongest first. So that
+    words which few texts have by chance stay out, their toxic places must be as many as ``least_spread`` of the toxic
+    texts, or the share ``sure_share`` or more. A null doc_id meets no label.
     Words near a term that occur in the sample without being terms are kept as harmless. Without rows of both labels the
     score is the share of toxic rows (0 if there are none).
     """
@@ -268,7 +270,7 @@ def learn(
     share = lower_bound(F.col("t"), F.col("t") + F.col("n"))
     seen = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     spread = F.col("t") >= least_spread * seen.get(1, 0)
-    chosen = counted.withColumn("share", share).filter((F.col("share") >= least_share) & spread).orderBy(F.desc("share"), "word").limit(terms).collect()
+    chosen = counted.withColumn("share", share).filter((F.col("share") >= least_share) & (spread | (F.col("share") >= sure_share))).orderBy(F.desc("share"), "word").limit(terms).collect()
     model = ToxicityModel({r.word: float(r.share) for r in chosen})
 
     def known(frames):
