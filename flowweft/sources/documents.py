@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from urllib.parse import quote, unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import materialize
 from ..schema import EDGES, FUNCTIONS, NODES, conform
 
 _NODE = (
@@ -141,17 +146,22 @@ def read_layouts(layouts: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_graph(tables: dict[str, DataFrame], path: str, files_per_revision: int = 8) -> None:
+def write_graph(tables: dict[str, DataFrame], path: str, files_per_revision: int | None = None, rows_per_file: int = 1_000_000) -> None:
     """JSON lines per table, partitioned by ``rev``; other revisions in the folder stay.
 
-    One array document per revision would gather a whole graph in one row; a
-    revision's lines are spread over ``files_per_revision`` files.
+    One array document per revision would gather a whole graph in one row; a revision's lines are spread over as many
+    tasks and files as it has ``rows_per_file`` rows, or over ``files_per_revision``. The rows are counted first, so
+    a table that is dear to compute should be a written one.
     """
     for name, df in tables.items():
-        spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != "rev"]), F.lit(files_per_revision))
-        df.repartition("rev", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rev").json(
-            f"{path}/{name}"
-        )
+        rows = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)) if files_per_revision is None else F.max(F.lit(files_per_revision))
+        sizes = materialize(df.groupBy(F.col("rev").alias("_rev")).agg(rows.cast("long").alias("_files")))
+        total = sizes.agg(F.sum("_files")).first()[0] or 1
+        spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != "rev"]), F.col("_files"))
+        # A stated number of tasks: they grow with the rows, and are not merged because files are small.
+        df.join(sizes, F.col("rev").eqNullSafe(F.col("_rev"))).repartition(total, "rev", spread).select(*df.columns).write.mode(
+            "overwrite"
+        ).option("partitionOverwriteMode", "dynamic").partitionBy("rev").json(f"{path}/{name}")
 
 
 def read_tables(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
@@ -159,24 +169,108 @@ def read_tables(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict
     return {n: spark.read.schema(s).json(f"{path}/{n}").na.fill("", ["rev"]) for n, s in schemas.items()}
 
 
-def save_snapshot(tables: dict[str, DataFrame], path: str, key: str) -> None:
-    """Replace the state saved under ``key``.
+class SnapshotConflict(RuntimeError):
+    """Another writer has saved since the version that this one started from."""
+
+
+def _log(spark: SparkSession, path: str, key: str):
+    """File system and folder of the commits of ``key``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/log/key={quote(key, safe='')}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _commits(spark: SparkSession, path: str, key: str) -> dict[int, dict]:
+    """Finished commits of ``key`` by number. A file without its end is still being written and does not count."""
+    fs, folder = _log(spark, path, key)
+    found = {}
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        stream = fs.open(status.getPath())
+        try:
+            text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        if text.endswith("\n"):
+            found[int(status.getPath().getName())] = json.loads(text)
+    return found
+
+
+def _commit(spark: SparkSession, path: str, key: str, number: int, entry: dict) -> bool:
+    """Write commit ``number`` unless there is one; whether it was written."""
+    fs, folder = _log(spark, path, key)
+    file = spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}")
+    try:
+        stream = fs.create(file, False)
+    except Py4JJavaError:
+        if fs.exists(file):
+            return False
+        raise
+    stream.write(bytearray(json.dumps(entry) + "\n", "utf-8"))
+    stream.close()
+    return True
 
-    The tables go to a folder of their own first. One small pointer partition is
-    swapped last, so a reader sees the old state or the new one, never a mixture.
+
+def snapshot_version(spark: SparkSession, path: str, key: str) -> int:
+    """Number of the state saved last under ``key``; 0 if there is none."""
+    return max(_commits(spark, path, key), default=0)
+
+
+def save_snapshot(tables: dict[str, DataFrame], path: str, key: str, after: int | None = None) -> int:
+    """Save a state under ``key``; its version number.
+
+    The tables go to a folder of their own first; a numbered commit file, created only if it is absent, makes them the
+    state, so a reader sees the old state or the new one, never a mixture. Of two writers of one number one wins. The other
+    takes the next number, or, if it names the version it started from (``after``), gets ``SnapshotConflict`` and can
+    read again. That needs a file system whose creation of a file fails if it exists (HDFS and local folders do).
     """
     version = uuid.uuid4().hex
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.parquet(f"{path}/data/{version}/{name}")
-    pointer = spark.range(1).select(F.lit(version).alias("version"), F.lit(",".join(tables)).alias("tables"), F.lit(key).alias("key"))
-    pointer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").parquet(f"{path}/current")
-
-
-def load_snapshot(spark: SparkSession, path: str, key: str) -> dict[str, DataFrame]:
-    """The tables last saved under ``key``."""
-    current = spark.read.schema("version STRING, tables STRING, key STRING").parquet(f"{path}/current")
-    row = current.filter(F.col("key") == key).first()  # one pointer row per key
-    if row is None:
-        raise KeyError(key)
-    return {n: spark.read.parquet(f"{path}/data/{row['version']}/{n}") for n in row["tables"].split(",")}
+    entry = {"version": version, "tables": list(tables)}
+    last = snapshot_version(spark, path, key)
+    if after is not None and last != after:
+        raise SnapshotConflict(f"{key}: version {last} has been saved since version {after}")
+    number = last + 1
+    while not _commit(spark, path, key, number, entry):
+        if after is not None:
+            raise SnapshotConflict(f"{key}: another writer has saved version {number}")
+        number += 1
+    return number
+
+
+def load_snapshot(spark: SparkSession, path: str, key: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables saved under ``key``, last or as ``version``; KeyError if there are none."""
+    commits = _commits(spark, path, key)
+    entry = commits.get(max(commits, default=0) if version is None else version)
+    if entry is None:
+        raise KeyError(key if version is None else (key, version))
+    return {n: spark.read.parquet(f"{path}/data/{entry['version']}/{n}") for n in entry["tables"]}
+
+
+def clean_snapshots(spark: SparkSession, path: str, keep: int = 1, older_than: float = 86_400.0) -> int:
+    """Delete all but the last ``keep`` commits of every key, and table folders that no commit names; the folders deleted.
+
+    Only what is older than ``older_than`` seconds goes: a younger folder may belong to a writer that has not committed, a
+    younger commit may still be read.
+    """
+    if keep < 1:
+        raise ValueError("the last state of a key stays")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = (time.time() - older_than) * 1000
+    children = lambda name: list(fs.listStatus(at)) if fs.exists(at := spark._jvm.org.apache.hadoop.fs.Path(root, name)) else []
+    # Folders are listed before commits: one that is committed in between is then seen as named.
+    folders = [s.getPath() for s in children("data") if s.getModificationTime() <= before]
+    named = set()
+    for log in children("log"):
+        key = unquote(log.getPath().getName().removeprefix("key="))
+        commits = _commits(spark, path, key)
+        kept = set(sorted(commits)[-keep:])
+        for status in fs.listStatus(log.getPath()):
+            number = int(status.getPath().getName())
+            if number in commits and number not in kept and status.getModificationTime() <= before:
+                fs.delete(status.getPath(), False)
+            elif number in commits:
+                named.add(commits[number]["version"])
+    gone = [f for f in folders if f.getName() not in named]
+    return sum(fs.delete(f, True) for f in gone)

@@ -147,6 +147,62 @@ def test_saved_state_is_replaced_by_key(spark, tmp_path):
         D.load_snapshot(spark, str(tmp_path / "s"), "three")
 
 
+def test_two_writers_of_a_state_get_two_versions(spark, tmp_path):
+    path = str(tmp_path / "s")
+    state = lambda n: {"n": spark.range(n)}
+    count = lambda version=None: D.load_snapshot(spark, path, "a/b=c", version)["n"].count()
+    assert D.snapshot_version(spark, path, "a/b=c") == 0
+    assert D.save_snapshot(state(1), path, "a/b=c", after=0) == 1
+    # Both writers read version 1; the first to commit wins, the other reads again and retries.
+    assert D.save_snapshot(state(2), path, "a/b=c", after=1) == 2
+    with pytest.raises(D.SnapshotConflict):
+        D.save_snapshot(state(3), path, "a/b=c", after=1)
+    assert count() == 2
+    assert D.save_snapshot(state(3), path, "a/b=c", after=D.snapshot_version(spark, path, "a/b=c")) == 3
+    assert (count(), count(1), count(2)) == (3, 1, 2)
+    # The number is taken between a writer's look at the log and its commit.
+    assert not D._commit(spark, path, "a/b=c", 3, {}) and count() == 3
+    with pytest.raises(KeyError):
+        count(9)
+
+
+def test_a_writer_that_meets_a_taken_number(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    assert D.save_snapshot({"n": spark.range(1)}, path, "k") == 1
+    monkeypatch.setattr(D, "snapshot_version", lambda *a: 0)  # as if the other had not committed yet
+    with pytest.raises(D.SnapshotConflict):
+        D.save_snapshot({"n": spark.range(2)}, path, "k", after=0)
+    assert D.save_snapshot({"n": spark.range(3)}, path, "k") == 2
+    assert D.load_snapshot(spark, path, "k")["n"].count() == 3
+
+
+def test_an_unfinished_commit_is_not_seen_and_old_versions_go(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for key, n in (("a", 1), ("a", 2), ("b", 3)):
+        D.save_snapshot({"n": spark.range(n)}, path, key)
+    (tmp_path / "s" / "log" / "key=a" / f"{3:012d}").write_text('{"version": "x", "tab')
+    assert D.load_snapshot(spark, path, "a")["n"].count() == 2 and D.save_snapshot({"n": spark.range(4)}, path, "a") == 4
+    spark.range(1).write.parquet(f"{path}/data/lost/n")  # of a writer that never committed
+    assert D.clean_snapshots(spark, path) == 0, "too young"
+    assert D.clean_snapshots(spark, path, older_than=-60) == 3
+    assert D.load_snapshot(spark, path, "a")["n"].count() == 4 and D.load_snapshot(spark, path, "b")["n"].count() == 3
+    with pytest.raises(KeyError):
+        D.load_snapshot(spark, path, "a", 1)
+    with pytest.raises(ValueError):
+        D.clean_snapshots(spark, path, keep=0)
+
+
+def test_written_files_follow_the_rows(spark, tmp_path):
+    rows = spark.range(400).selectExpr("CASE WHEN id < 300 THEN 'big' WHEN id < 390 THEN 'small' END AS rev", "CAST(id AS STRING) AS id")
+    files = lambda name, rev: len(list((tmp_path / name / "nodes" / f"rev={rev}").glob("*.json")))
+    D.write_graph({"nodes": rows}, str(tmp_path / "many"), rows_per_file=30)
+    D.write_graph({"nodes": rows}, str(tmp_path / "one"))
+    assert files("many", "big") > files("many", "small") >= 1 and files("one", "big") == 1
+    for name in ("many", "one"):
+        back = D.read_tables(spark, str(tmp_path / name), {"nodes": "rev string, id string"})["nodes"]
+        assert back.count() == 400 and back.filter("rev = 'big'").count() == 300
+
+
 def test_manifests(spark):
     def files(*rows):
         return spark.createDataFrame(rows, "path string, content string")
