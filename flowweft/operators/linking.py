@@ -20,6 +20,11 @@ def _edge(src: str, dst: str, kind: str, label, type) -> list[Column]:
     return [F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("kind"), label.alias("label"), type.alias("type")]
 
 
+def _place(df: DataFrame) -> list[str]:
+    """The place in the build, if the rows bring one: edges keep it."""
+    return ["seq"] if "seq" in df.columns else []
+
+
 def value_label() -> Column:
     """Joined source names of a value, else its own name."""
     return F.when(F.size("names") > 0, F.array_join("names", ", ")).otherwise(F.col("name"))
@@ -48,7 +53,7 @@ def instruction_order(instructions: DataFrame) -> DataFrame:
 def operand_edges(operands: DataFrame, values: DataFrame) -> DataFrame:
     """Value -> using instruction. Functions and built-ins are not in ``values`` (value_id, node, label, type)."""
     return operands.join(values.select("value_id", "node", "label", "type"), "value_id").select(
-        *_edge("node", "instr_id", "belt", F.col("label"), F.col("type"))
+        *_edge("node", "instr_id", "belt", F.col("label"), F.col("type")), *_place(operands)
     )
 
 
@@ -57,10 +62,10 @@ def argument_edges(calls: DataFrame, call_args: DataFrame, params: DataFrame, va
     target = params.select(F.col("function").alias("callee"), "idx", F.col("node").alias("param_node"), F.col("name").alias("param"))
     return (
         calls.select("instr_id", "callee")
-        .join(call_args.select("instr_id", "idx", "value_id"), "instr_id")
+        .join(call_args.select("instr_id", "idx", "value_id", *_place(call_args)), "instr_id")
         .join(target, ["callee", "idx"])
         .join(values.select("value_id", "node", "label", "type"), "value_id")
-        .select(*_edge("node", "param_node", "call", F.concat_ws(" → ", "label", "param"), F.col("type")))
+        .select(*_edge("node", "param_node", "call", F.concat_ws(" → ", "label", "param"), F.col("type")), *_place(call_args))
     )
 
 
@@ -68,7 +73,7 @@ def invocation_edges(calls: DataFrame, params: DataFrame, instructions: DataFram
     """Call -> first instruction of a callee without parameters."""
     entry = instructions.groupBy(F.col("function").alias("callee")).agg(F.min_by("instr_id", "ord").alias("entry"))
     bare = entry.join(params.select(F.col("function").alias("callee")).distinct(), "callee", "left_anti")
-    return calls.join(bare, "callee").select(*_edge("instr_id", "entry", "call", F.lit(CALL_LABEL), F.lit("")))
+    return calls.join(bare, "callee").select(*_edge("instr_id", "entry", "call", F.lit(CALL_LABEL), F.lit("")), *_place(calls))
 
 
 def return_edges(calls: DataFrame, returns: DataFrame) -> DataFrame:
@@ -77,8 +82,8 @@ def return_edges(calls: DataFrame, returns: DataFrame) -> DataFrame:
     A callee has as many returns as its text, so the join grows with the calls.
     """
     exits = returns.select(F.col("function").alias("callee"), F.col("instr_id").alias("ret")).distinct()
-    waiting = calls.filter(F.col("mode") == "call").select("instr_id", "callee", "type")
-    return waiting.join(exits, "callee").select(*_edge("ret", "instr_id", "return", F.lit(RESULT_LABEL), F.col("type")))
+    waiting = calls.filter(F.col("mode") == "call").select("instr_id", "callee", "type", *_place(calls))
+    return waiting.join(exits, "callee").select(*_edge("ret", "instr_id", "return", F.lit(RESULT_LABEL), F.col("type")), *_place(calls))
 
 
 def return_aliases(calls: DataFrame, returns: DataFrame, extracts: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def capture_edges(captures: DataFrame, free_vars: DataFrame, values: DataFrame)
         free_vars.select("function", "idx", F.col("value_id").alias("free"), F.col("node").alias("free_node")), ["function", "idx"]
     )
     edges = bound.join(values.select("value_id", "node", "label", "type"), "value_id").select(
-        *_edge("node", "free_node", "call", F.col("label"), F.col("type"))
+        *_edge("node", "free_node", "call", F.col("label"), F.col("type")), *_place(captures)
     )
     return edges, bound.select(F.col("value_id").alias("value_a"), F.col("free").alias("value_b"))
 

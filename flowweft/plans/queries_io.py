@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import build as B
+from ..operators import classify as L
 from ..operators import inspect as I
 from ..operators import validate as V
 from ..runtime import checkpoint_root
@@ -508,77 +510,245 @@ def _(spark, d):
 
 # --- the whole build over the derived facts ---------------------------------------------------------
 
+SKIPPED = "event_id % 20 NOT IN (16, 17)"  # events that are a jump or a debug mark, see facts.OPS
+
+
+def _program(spark, d):
+    """Functions, sources and projects: a file per supplier and a root per nation; every fifth function is marked by hand."""
+    supplier = G.table(spark, d, "supplier")
+    marked = F.col("s_suppkey") % 5 == 0
+    path = F.concat_ws("/", F.lit("/src"), "s_nationkey", F.concat("s_suppkey", F.lit(".go")))
+    functions = supplier.select(
+        F.concat(F.lit("fn."), "s_suppkey").alias("function"), F.concat(F.lit("f"), "s_suppkey").alias("name"), F.lit("trade").alias("package"),
+        path.alias("path"), F.when(marked, 4).otherwise(3).alias("line"), F.col("s_suppkey").cast("bigint").alias("seq"),
+    )
+    nowhere = [F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line")]
+    user = F.concat(F.lit("user."), "user_id")
+    users = G.table(spark, d, "events").select("user_id").distinct().select(
+        user.alias("function"), user.alias("name"), F.lit("trade").alias("package"), *nowhere, (F.col("user_id") + 1000000).cast("bigint").alias("seq")
+    )
+    main = spark.range(1).select(
+        F.lit("main").alias("function"), F.lit("main").alias("name"), F.lit("trade").alias("package"), *nowhere, F.lit(-1).cast("bigint").alias("seq")
+    )
+    body = F.concat(F.lit("package trade\n\n"), F.when(marked, "//flow:warehouse sql\n").otherwise(""), F.lit("func f"), "s_suppkey", F.lit("() {\n}\n"))
+    sources = supplier.select(F.concat(F.lit("f"), "s_suppkey").alias("file_id"), path.alias("path"), body.alias("content"))
+    projects = G.table(spark, d, "nation").filter("n_regionkey < 3").select(
+        F.concat(F.lit("/src/"), "n_nationkey").alias("path"), F.concat(F.lit("mod/"), "n_name").alias("module")
+    )
+    return functions.unionByName(users).unionByName(main), sources, projects
+
+
 def _facts(spark, d):
     lines = K.lines(spark, d)
-    no = F.lit(False)
-    place = [F.lit("trade").alias("package")]
-    part_values = K.values(spark, d).select("value_id", F.col("label").alias("name"), "type")
-    own = K.addr_values(spark, d).select("value_id", F.col("value_id").alias("name"), F.lit("*addr").alias("type"))
-    chans = K.channel_values(spark, d).select("value_id", F.col("label").alias("name"), "type", "is_channel")
-    results = lines.select(F.concat(F.lit("r."), "instr_id").alias("value_id"), F.lit("t0").alias("name"), F.col("l_linestatus").alias("type"))
+    no, trade, fn = F.lit(False), F.lit("trade"), F.concat(F.lit("fn."), "l_suppkey")
+    string = F.lit(None).cast("string")
+    result = F.concat(F.lit("r."), "instr_id")
+    functions = _program(spark, d)[0]
     params = K.params(spark, d).withColumn("value_id", F.col("node"))
-    param_values = params.select("value_id", "name", F.lit("param").alias("type"))
-    values = (
-        part_values.withColumn("is_channel", no).withColumn("is_pointer", no)
-        .unionByName(own.withColumn("is_channel", no).withColumn("is_pointer", F.lit(True)))
-        .unionByName(chans.withColumn("is_pointer", no))
-        .unionByName(results.withColumn("is_channel", no).withColumn("is_pointer", no))
-        .unionByName(param_values.withColumn("is_channel", no).withColumn("is_pointer", no))
-        .dropDuplicates(["value_id"])
-        .withColumns({"is_global": no, "is_const": no, "function": F.lit("main"), "package": F.lit("trade")})
+    free_vars = G.table(spark, d, "supplier").filter("s_suppkey % 4 = 0").select(
+        F.concat(F.lit("fn."), "s_suppkey").alias("function"), F.lit(0).alias("idx"), F.concat(F.lit("fn."), "s_suppkey", F.lit(".f0")).alias("value_id"),
+        F.lit("env").alias("name"),
+    )
+    events = K.instructions(spark, d)
+    own = events.filter(F.col("op").isin("makechan", "phi", "slice")).select(
+        F.concat(F.lit("v."), "instr_id").alias("value_id"), F.lit("t1").alias("name"), F.lit("chan").alias("type"), (F.col("op") != "slice").alias("is_channel"),
+        "function", "op",
     )
+    main = F.lit("main").alias("function")
+    chans = K.channel_values(spark, d).select("value_id", F.col("label").alias("name"), "type", "is_channel", main)
+    addresses = K.addr_values(spark, d).select("value_id", F.col("value_id").alias("name"), F.lit("*addr").alias("type"), no.alias("is_channel"), main)
+    rest = [
+        K.values(spark, d).select("value_id", F.col("label").alias("name"), "type", no.alias("is_channel"), main), chans,
+        lines.select(result.alias("value_id"), F.lit("t0").alias("name"), F.col("l_linestatus").alias("type"), no.alias("is_channel"), fn.alias("function")),
+        params.select("value_id", "name", F.lit("param").alias("type"), no.alias("is_channel"), "function"),
+        free_vars.select("value_id", "name", F.lit("order").alias("type"), no.alias("is_channel"), "function"), own.drop("op"),
+    ]
+    values = addresses.withColumn("is_pointer", F.lit(True))
+    for part in rest:
+        values = values.unionByName(part.withColumn("is_pointer", no))
+    values = values.withColumns({"is_global": no, "is_const": no, "package": trade})
     calls = K.calls(spark, d).withColumns({
         "callee_pkg": F.lit("net/http"), "callee_name": F.when(F.col("mode") == "go", "Post").otherwise("Close"), "signature": F.lit(""),
         "dispatch": F.lit("static"), "const_args": F.array().cast("array<string>"), "receiver_type": F.lit(""),
     })
-    none = F.array().cast("array<string>")
-    at_call = lines.select(
-        "instr_id", F.concat(F.lit("fn."), "l_suppkey").alias("function"), F.col("l_linenumber").alias("block"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.lit("call").alias("op"), F.concat(F.lit("r."), "instr_id").alias("value_id"),
-        F.col("l_linestatus").alias("type"),
-    )
     rets = K.returns(spark, d)
+    nowhere = [F.lit("").alias("detail"), string.alias("path"), F.lit(None).cast("int").alias("line")]
+    at_call = lines.select(
+        "instr_id", fn.alias("function"), F.col("l_linenumber").alias("block"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
+        F.lit("call").alias("op"), result.alias("value_id"), F.col("l_linestatus").alias("type"), F.concat(F.lit("call "), fn).alias("detail"),
+    ).join(functions.select("function", "path"), "function").withColumn("line", F.col("block") + 10)
     at_return = rets.select("instr_id", "function").distinct().select(
         "instr_id", "function", F.lit(99).alias("block"), F.lit(0).cast("bigint").alias("pos"), F.lit("return").alias("op"),
-        F.lit(None).cast("string").alias("value_id"), F.lit("").alias("type"),
+        string.alias("value_id"), F.lit("").alias("type"), *nowhere,
     )
-    ev = K.instructions(spark, d).select("instr_id", "function", "block", "pos", "op", F.lit(None).cast("string").alias("value_id"), F.lit("").alias("type"))
-    instructions = at_call.unionByName(at_return).unionByName(ev).withColumns({"operator": F.lit("+"), "of_label": F.lit("queue"), "package": F.lit("trade")})
-    empty_refs = values.select("value_id", "name", F.lit(0).cast("bigint").alias("seq")).filter("value_id LIKE 'p%'")
-    bound = K.call_args(spark, d).join(calls.select("instr_id", F.col("callee").alias("function")), "instr_id").filter("idx < 0")
+    valued = F.col("op").isin("makechan", "phi", "slice")
+    at_event = events.select(
+        "instr_id", "function", "block", "pos", "op", F.when(valued, F.concat(F.lit("v."), "instr_id")).alias("value_id"),
+        F.when(valued, "chan").otherwise("").alias("type"), *nowhere,
+    )
+    instructions = at_call.unionByName(at_return).unionByName(at_event).withColumns({"operator": F.lit("+"), "package": trade})
+    second = lines.filter("l_linenumber = 2")
+    spoken = second.select(result.alias("value_id"), F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.lit(i).cast("bigint").alias("seq")) for i, n in enumerate(("_", "sum", "total", "sum"))
+    ])).alias("r")).select("value_id", "r.*")
+    refs = spoken.unionByName(own.filter("op <> 'phi'").select("value_id", F.lit("box").alias("name"), F.lit(0).cast("bigint").alias("seq"))).unionByName(
+        G.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("value_id"), F.col("p_name").alias("name"), F.lit(0).cast("bigint").alias("seq"))
+    )
+    exits = rets.select("instr_id", "function").distinct()
+    used = params.filter("idx = 0").select("function", "value_id", F.lit(0).alias("idx")).unionByName(
+        second.select(fn.alias("function"), result.alias("value_id"), F.lit(1).alias("idx"))
+    ).join(exits, "function").select("instr_id", "idx", "value_id")
+    captures = lines.filter("l_linenumber = 1 AND l_suppkey % 4 = 0").select(
+        "instr_id", fn.alias("function"), F.lit(0).alias("idx"), F.concat(F.lit("o"), "l_orderkey").alias("value_id")
+    )
+    id_ = F.substring("instr_id", 2, 20).cast("bigint").alias("event_id")
     return B.Facts(
-        values=values, instructions=instructions, operands=K.call_args(spark, d), calls=calls, call_args=K.call_args(spark, d), params=params,
-        returns=rets, extracts=K.extracts(spark, d), captures=bound, free_vars=params.filter("idx < 0"), channel_ops=K.channel_ops(spark, d),
-        mem_ops=K.mem_ops(spark, d), addr_paths=K.addr_paths(spark, d), alias_links=K.channel_links(spark, d), debug_refs=empty_refs,
-        map_values=rets.select("value_id").filter("1 = 0"),
+        values=values, instructions=instructions, operands=K.call_args(spark, d).unionByName(used), calls=calls, call_args=K.call_args(spark, d),
+        params=params, returns=rets, extracts=K.extracts(spark, d), captures=captures, free_vars=free_vars,
+        channel_ops=K.channel_ops(spark, d).withColumn("event_id", id_).filter(SKIPPED).drop("event_id"),
+        mem_ops=K.mem_ops(spark, d), addr_paths=K.addr_paths(spark, d), alias_links=K.channel_links(spark, d), debug_refs=refs,
+        map_values=second.filter("l_quantity > 25").select(result.alias("value_id")),
     )
 
 
+def _build(spark, d):
+    functions, sources, projects = _program(spark, d)
+    located = B.program_functions(functions, sources, projects)
+    directives = L.directive_functions(L.parse_directives(sources), located)
+    return B.build_graph(_facts(spark, d), directives, functions=functions)
+
+
 BUILD_SQL = f"""WITH RECURSIVE {K.CALL_SQL.strip()},
 {K.MEMORY_SQL.split("FROM lineitem),", 1)[1].strip()},
 {K.CHANNEL_SQL.strip()},
-troots AS (SELECT ops.*, root FROM ops JOIN roots ON value_id = channel),
+troots AS (SELECT ops.*, root, 'queue ' || user_id % 3 AS label FROM ops JOIN roots ON value_id = channel WHERE substr(instr_id, 2)::BIGINT % 20 NOT IN (16, 17)),
 tlive AS (SELECT root FROM troots GROUP BY root HAVING bool_or(dir = 'send') AND bool_or(dir = 'recv')),
-entries AS (SELECT 'fn.' || l_suppkey AS callee, arg_min(instr_id, (l_linenumber, l_orderkey * 8 + l_linenumber, instr_id)) AS entry FROM lines GROUP BY 1),
+evs AS (
+  SELECT 'i' || event_id AS instr_id, 'user.' || user_id AS function, 1000000 + user_id AS turn, datediff('day', DATE '2024-01-01', ts::DATE) AS block,
+    event_id AS pos, {K.OPS}[event_id % {len(K.OPS)} + 1] AS op FROM events),
+ins AS (
+  SELECT instr_id, 'fn.' || l_suppkey AS function, l_suppkey AS turn, l_linenumber AS block, l_orderkey * 8 + l_linenumber AS pos, 'call' AS op,
+    'r.' || instr_id AS value_id, l_linestatus AS type, 'call fn.' || l_suppkey AS detail, '/src/' || s_nationkey || '/' || s_suppkey || '.go' AS path,
+    l_linenumber + 10 AS line FROM lines JOIN supplier ON s_suppkey = l_suppkey
+  UNION ALL SELECT DISTINCT function || '.ret', function, substr(function, 4)::BIGINT, 99, 0, 'return', NULL, '', '', NULL, NULL FROM rets
+  UNION ALL SELECT instr_id, function, turn, block, pos, op, CASE WHEN op IN ('makechan', 'phi', 'slice') THEN 'v.' || instr_id END,
+    CASE WHEN op IN ('makechan', 'phi', 'slice') THEN 'chan' ELSE '' END, '', NULL, NULL FROM evs),
+place AS (
+  SELECT *, row_number() OVER (PARTITION BY function ORDER BY block, pos, instr_id) - 1 AS ord FROM ins WHERE op NOT IN ('jump', 'debugref')),
+values_ AS (
+  SELECT 'p' || p_partkey AS value_id, p_name AS label, p_name AS names, p_type AS type, 'main' AS function, p_partkey NOT IN (SELECT l_partkey FROM lineitem) AS may_end FROM part
+  UNION ALL SELECT 'o' || o_orderkey, o_orderpriority, '', 'order', 'main', false FROM orders
+  UNION ALL SELECT DISTINCT 'a.' || l_partkey || '.f' || l_linenumber, 'a.' || l_partkey || '.f' || l_linenumber, '', '*addr', 'main', false FROM lineitem
+  UNION ALL SELECT 'a.' || k, 'a.' || k, '', '*addr', 'main', false FROM (SELECT l_partkey AS k FROM lineitem UNION SELECT p_partkey FROM part WHERE p_size > 10)
+  UNION ALL SELECT DISTINCT 'brand.' || p_brand, 'brand.' || p_brand, '', '*addr', 'main', false FROM part WHERE p_size > 10
+  UNION ALL SELECT 'ch.' || u, 'queue ' || u % 3, '', 'chan', 'main', false FROM users
+  UNION ALL SELECT DISTINCT 'x.' || event_type, event_type, '', 'msg.' || event_type, 'main', false FROM events
+  UNION ALL SELECT 'r.' || instr_id, CASE l_linenumber WHEN 2 THEN 'sum, total' ELSE 't0' END, CASE l_linenumber WHEN 2 THEN 'sum,total' ELSE '' END,
+    l_linestatus, 'fn.' || l_suppkey, l_linenumber = 2 AND l_quantity <= 25 FROM lines
+  UNION ALL SELECT function || '.p' || idx, 'arg' || idx, 'arg' || idx, 'param', function, true FROM params
+  UNION ALL SELECT 'fn.' || s_suppkey || '.f0', 'env', 'env', 'order', 'fn.' || s_suppkey, true FROM supplier WHERE s_suppkey % 4 = 0
+  UNION ALL SELECT 'v.' || instr_id, CASE op WHEN 'phi' THEN 't1' ELSE 'box' END, CASE op WHEN 'phi' THEN '' ELSE 'box' END, 'chan', function, op = 'slice'
+    FROM evs WHERE op IN ('makechan', 'phi', 'slice')),
+noded AS (
+  SELECT v.value_id, v.label, v.names, v.type, v.function, may_end, coalesce(i.instr_id, v.value_id) AS node, coalesce(i.block, 0) AS block,
+    coalesce(i.ord, -1) AS ord, i.path, i.line FROM values_ v LEFT JOIN place i ON i.value_id = v.value_id),
+args AS (
+  SELECT * FROM call_args
+  UNION ALL SELECT function || '.ret', 0, function || '.p0' FROM params WHERE idx = 0
+  UNION ALL SELECT 'fn.' || l_suppkey || '.ret', 1, 'r.' || instr_id FROM lines WHERE l_linenumber = 2 AND l_suppkey % 4 > 0),
+last AS (
+  SELECT n.value_id, max({{'ord': i.ord, 'instr_id': i.instr_id, 'block': i.block, 'path': i.path, 'line': i.line}}) AS x
+  FROM noded n JOIN args USING (value_id) JOIN place i ON i.instr_id = args.instr_id AND i.function = n.function AND i.ord > n.ord WHERE may_end GROUP BY 1),
+ending AS (
+  SELECT n.*, coalesce(x.instr_id, node) AS src, coalesce(x.block, block) AS last_block, coalesce(x.ord, ord) + 1 AS last_ord,
+    CASE WHEN x IS NULL THEN path ELSE x.path END AS last_path, CASE WHEN x IS NULL THEN line ELSE x.line END AS last_line
+  FROM noded n LEFT JOIN last USING (value_id) WHERE may_end)
+"""
+LINKS_SQL = BUILD_SQL + """,
+entries AS (SELECT function AS callee, instr_id AS entry FROM place WHERE ord = 0),
+spot AS (SELECT instr_id, turn, function, ord FROM place),
 e AS (
-  SELECT value_id AS src, instr_id AS dst, 'belt' AS kind FROM call_args
-  UNION SELECT a.value_id, callee || '.p' || p.idx, 'call' FROM calls c JOIN call_args a USING (instr_id) JOIN params p ON p.function = c.callee AND p.idx = a.idx
-  UNION SELECT instr_id, entry, 'call' FROM calls JOIN entries USING (callee) WHERE instr_id <> entry AND callee NOT IN (SELECT function FROM params)
-  UNION SELECT callee || '.ret', instr_id, 'return' FROM calls JOIN rets ON function = callee WHERE mode = 'call'
-  UNION SELECT CASE WHEN into_ THEN instr_id ELSE 'memory:' || key END, CASE WHEN into_ THEN 'memory:' || key ELSE instr_id END,
-    CASE WHEN into_ THEN 'memory' ELSE 'belt' END FROM live
-  UNION SELECT CASE dir WHEN 'send' THEN instr_id ELSE 'train:' || root END, CASE dir WHEN 'send' THEN 'train:' || root ELSE instr_id END,
-    CASE dir WHEN 'send' THEN 'train' ELSE 'belt' END FROM troots JOIN tlive USING (root))
-SELECT src, dst, kind FROM e"""
-
-
-@query("build_graph_edges", BUILD_SQL)
-def _(spark, d):
-    """Every link of the build; trash ends are checked by their own query."""
-    _nodes, edges = B.build_graph(_facts(spark, d))
-    return edges.filter("kind <> 'disposal'").select("src", "dst", "kind").distinct()
-
-
-@query("build_graph_nodes")
-def _(spark, d):
-    return B.build_graph(_facts(spark, d))[0].withColumn("names", F.array_join("names", ","))
+  SELECT node AS src, a.instr_id AS dst, 'belt' AS kind, label, type, 0 AS phase, spot.turn, spot.function, spot.ord, 0 AS step, a.idx
+    FROM args a JOIN noded USING (value_id) JOIN spot ON spot.instr_id = a.instr_id
+  UNION ALL SELECT 'o' || l_orderkey, 'fn.' || l_suppkey || '.f0', 'call', o_orderpriority, 'order', 0, turn, function, ord, 1, 0
+    FROM lines JOIN orders ON o_orderkey = l_orderkey JOIN spot USING (instr_id) WHERE l_linenumber = 1 AND l_suppkey % 4 = 0
+  UNION ALL SELECT node, callee || '.p' || p.idx, 'call', label || ' → arg' || p.idx, n.type, 0, spot.turn, spot.function, spot.ord, 2, a.idx
+    FROM calls c JOIN call_args a USING (instr_id) JOIN params p ON p.function = c.callee AND p.idx = a.idx JOIN noded n USING (value_id)
+    JOIN spot ON spot.instr_id = c.instr_id
+  UNION ALL SELECT instr_id, entry, 'call', 'вызов', '', 0, turn, function, ord, 3, 0 FROM calls JOIN entries USING (callee) JOIN spot USING (instr_id)
+    WHERE instr_id <> entry AND callee NOT IN (SELECT function FROM params)
+  UNION ALL SELECT DISTINCT callee || '.ret', calls.instr_id, 'return', 'результат', type, 0, turn, spot.function, ord, 4, 0
+    FROM calls JOIN rets ON rets.function = callee JOIN spot ON spot.instr_id = calls.instr_id WHERE mode = 'call'
+  UNION ALL SELECT DISTINCT CASE WHEN into_ THEN instr_id ELSE 'memory:' || key END, CASE WHEN into_ THEN 'memory:' || key ELSE instr_id END,
+    CASE WHEN into_ THEN 'memory' ELSE 'belt' END, CASE WHEN into_ THEN 'память' ELSE '' END, CASE WHEN into_ THEN type END, 1, 0, '', 0, 0, 0 FROM live
+  UNION ALL SELECT DISTINCT CASE dir WHEN 'send' THEN instr_id ELSE 'train:' || root END, CASE dir WHEN 'send' THEN 'train:' || root ELSE instr_id END,
+    CASE dir WHEN 'send' THEN 'train' ELSE 'belt' END, CASE dir WHEN 'send' THEN label ELSE '' END, CASE dir WHEN 'send' THEN 'msg.' || event_type END,
+    2, 0, '', 0, 0, 0 FROM troots JOIN tlive USING (root)
+  UNION ALL SELECT src, 'trash:' || value_id, 'disposal', label, type, 3, 0, '', 0, 0, 0 FROM ending),
+firsts AS (
+  SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, dst, kind, label ORDER BY phase, turn, function, ord, step, idx, type) = 1)
+SELECT kind || ':' || src || '>' || dst || CASE label WHEN '' THEN '' ELSE ':' || label END AS id, src, dst, kind, label, type,
+  row_number() OVER (ORDER BY phase, turn, function, ord, step, idx, src, dst, kind, label) - 1 AS seq FROM firsts"""
+
+
+@query("build_graph_edges", LINKS_SQL)
+def _(spark, d):
+    """Every link of the build with its place: operands, captures, arguments, invocations, returns, memory, channels, ends of use."""
+    return _build(spark, d)[1]
+
+
+NODES_SQL = BUILD_SQL + f""",
+texts AS (FROM (VALUES
+  ('alloc', 'machine', 'Выделение памяти', true), ('binop', 'machine', '+', false), ('recv', 'station', 'Получить · ', false),
+  ('unop', 'machine', 'Обработка', true), ('makechan', 'station', 'Канал · ', false), ('send', 'station', 'Отправить · ', false),
+  ('select', 'station', 'Развязка select', false), ('phi', 'splitter', 'Слияние · ', false), ('if', 'splitter', 'Условие', false),
+  ('return', 'output', 'Возврат', false), ('store', 'memory', 'Запись в память', true), ('mapupdate', 'memory', 'Запись в map', false),
+  ('panic', 'trash', 'panic', false), ('extract', 'machine', 'Обработка', true), ('fieldaddr', 'machine', 'Обработка', true),
+  ('convert', 'machine', 'Обработка', true), ('slice', 'machine', 'box', false), ('call', 'machine', 'Обработка', false)) t(op, kind, label, helper)),
+told AS (
+  SELECT c.instr_id, callee, mode, CASE WHEN l_suppkey % 5 = 0 THEN 'warehouse' WHEN mode = 'go' THEN 'rocket' ELSE 'machine' END AS kind,
+    CASE WHEN l_suppkey % 5 = 0 THEN 'sql' WHEN mode = 'go' THEN 'http' ELSE '' END AS protocol,
+    CASE WHEN l_suppkey % 5 = 0 THEN 'Явная аннотация //flow:warehouse sql' WHEN mode = 'go' THEN 'Типизированный вызов net/http' ELSE '' END AS reason
+  FROM calls c JOIN lines USING (instr_id)),
+n AS (
+  SELECT i.instr_id AS id, coalesce(told.kind, t.kind) AS kind,
+    CASE WHEN told.callee IS NOT NULL THEN CASE mode WHEN 'go' THEN 'go · ' WHEN 'defer' THEN 'defer · ' ELSE '' END || told.callee
+      ELSE t.label || CASE WHEN i.op IN ('recv', 'send') THEN coalesce('queue ' || user_id % 3, '') WHEN i.op IN ('makechan', 'phi') THEN v.label ELSE '' END END AS label,
+    i.function, coalesce(told.callee, '') AS method, 'trade' AS package, i.type, coalesce(v.names, '') AS names, coalesce(protocol, '') AS protocol,
+    coalesce(told.reason, CASE i.op WHEN 'panic' THEN 'Аварийное завершение пути исполнения' ELSE '' END) AS reason, t.helper, i.block, i.ord::DOUBLE AS ord,
+    NULL AS role, i.detail, i.path, i.line
+  FROM place i JOIN texts t USING (op) LEFT JOIN told USING (instr_id) LEFT JOIN values_ v ON v.value_id = i.value_id LEFT JOIN ops ON ops.instr_id = i.instr_id
+  UNION ALL SELECT value_id, 'source', label, function, '', 'trade', type, names, '', '', false, 0, -1, NULL, '', NULL, NULL FROM noded WHERE node = value_id
+  UNION ALL SELECT DISTINCT 'memory:' || key, 'memory', key, '', '', '', '', '', '', '', true, 0, 0, 'hub', '', NULL, NULL FROM live
+  UNION ALL SELECT 'train:' || root, 'station', root, '', '', '', '', '', '', '', true, 0, 0, 'hub', '', NULL, NULL FROM tlive
+  UNION ALL SELECT 'trash:' || value_id, 'trash', 'Утилизация · ' || label, function, '', 'trade', type, '', '', '{B.END_REASON}', false, last_block, last_ord, NULL,
+    '{B.END_DETAIL}' || label, last_path, last_line FROM ending)
+SELECT * REPLACE (coalesce(path, '') AS path, coalesce(line, 0) AS line) FROM n"""
+
+
+@query("build_graph_nodes", NODES_SQL)
+def _(spark, d):
+    return _build(spark, d)[0].withColumn("names", F.array_join("names", ",")).na.fill({"path": "", "line": 0})
+
+
+@query("program_functions", """
+SELECT 'fn.' || s_suppkey AS id, 'f' || s_suppkey AS name, 'trade' AS package, CASE WHEN n_regionkey < 3 THEN 'mod/' || n_name ELSE '' END AS project,
+  'f' || s_suppkey AS file, CASE WHEN s_suppkey % 5 = 0 THEN 4 ELSE 3 END AS line, s_suppkey::BIGINT AS seq
+FROM supplier JOIN nation ON n_nationkey = s_nationkey
+UNION ALL SELECT DISTINCT 'user.' || user_id, 'user.' || user_id, 'trade', '', '', 0, 1000000 + user_id FROM events
+UNION ALL SELECT 'main', 'main', 'trade', '', '', 0, -1""")
+def _(spark, d):
+    return B.program_functions(*_program(spark, d)).select("id", "name", "package", "project", "source.file", "source.line", "seq")
+
+
+@query("build_document_check", """
+SELECT 'nodes' AS part, count(*) AS n FROM ({nodes}) UNION ALL SELECT 'edges', count(*) FROM ({edges})
+UNION ALL SELECT 'files', count(*) FROM supplier UNION ALL SELECT 'projects', count(*) FROM nation WHERE n_regionkey < 3 UNION ALL SELECT 'violations', 0
+""".format(nodes=NODES_SQL, edges=LINKS_SQL))
+def _(spark, d):
+    """The document of the whole program: rows per table, and that no rule of validate_graph is broken."""
+    functions, sources, projects = _program(spark, d)
+    tables = B.build_document(_facts(spark, d), functions, sources, projects)
+    counts = [tables[t].groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("part"), "n") for t in ("nodes", "edges", "files", "projects")]
+    faults = V.validate_graph(tables).groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("violations").alias("part"), "n")
+    return reduce(lambda a, b: a.unionByName(b), [*counts, faults])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from flowweft.operators import aggregate as A
 from flowweft.operators import validate as V_check
 from flowweft.operators import views as V
-from flowweft.operators.build import Facts, build_graph
+from flowweft.operators.build import END_DETAIL, WARNINGS, Facts, build_document, build_graph
 
 
 def facts(spark):
@@ -87,3 +87,51 @@ def test_row_order_does_not_matter(spark):
     b = Facts(**{k: v.orderBy(F.rand(7)) for k, v in vars(a).items()})
     first, second = (sorted(map(str, build_graph(f)[1].drop("seq").collect())) for f in (a, b))
     assert first == second
+
+
+def test_operations_are_labelled_by_what_they_work_on(spark):
+    program = facts(spark)
+    program.instructions = program.instructions.drop("of_label")
+    labels = {r.id: r.label for r in build_graph(program)[0].collect()}
+    assert labels["m0"] == "Канал · queue" and labels["m2"] == "Отправить · queue" and labels["w0"] == "Получить · ch"
+
+
+def test_edges_come_in_build_order_and_the_first_of_equals_stays(spark):
+    program = facts(spark)
+    functions = spark.createDataFrame([("worker", "worker", "m", None, None, 0), ("main", "main", "m", None, None, 1)],
+                                      "function string, name string, package string, path string, line int, seq bigint")
+    # The same operand twice: one link.
+    program.operands = program.operands.unionByName(program.operands.filter("instr_id = 'w1' AND idx = 0").withColumn("idx", F.lit(2)))
+    edges = build_graph(program, functions=functions)[1].orderBy("seq").collect()
+    assert [r.seq for r in edges] == list(range(len(edges)))
+    place = {(r.src, r.dst): r.seq for r in edges}
+    assert place["w.ch", "w0"] < place["w0", "w1"] < place["m0", "m1"] < place["m0", "w.ch"]  # the worker's body first
+    assert [r.kind for r in edges][-1] == "disposal" and len(place) == len(edges)
+
+
+def test_document_has_places_projects_directives_and_no_faults(spark):
+    program = facts(spark)
+    functions = spark.createDataFrame(
+        [("main", "main", "m", "/app/main.go", 3, 0), ("worker", "worker", "m", "/app/sub/w.go", 4, 1), ("lost", "lost", "m", "/else/x.go", 1, 2)],
+        "function string, name string, package string, path string, line int, seq bigint")
+    program.instructions = program.instructions.withColumns({
+        "path": F.when(F.col("function") == "worker", "/app/sub/w.go").otherwise("/app/main.go"), "line": F.col("pos").cast("int") + 5,
+    })
+    sources = spark.createDataFrame([
+        ("f1", "/app/main.go", "package m\n\nfunc main() {\n}\n"), ("f2", "/app/sub/w.go", "package m\n\n//flow:rocket mqtt\nfunc worker() {\n}\n"),
+        ("f3", "/app/unused.go", "package m\n"),
+    ], "file_id string, path string, content string")
+    projects = spark.createDataFrame([("/app", "test/app")], "path string, module string")
+    t = build_document(program, functions, sources, projects)
+    assert V_check.validate_graph(t).count() == 0
+    head = t["snapshots"].first()
+    assert tuple(head.warnings) == WARNINGS and len(head.rev) == 20 and {r.rev for r in t["nodes"].select("rev").distinct().collect()} == {head.rev}
+    assert {(r.id, r.project, r.source.file, r.source.line) for r in t["functions"].collect()} == {
+        ("main", "test/app", "f1", 3), ("worker", "test/app", "f2", 4), ("lost", "", "", 0)}
+    assert {r.file_id for r in t["files"].collect()} == {"f1", "f2"} == {r.file_id for r in t["sources"].collect()}
+    nodes = {r.id: r for r in t["nodes"].collect()}
+    assert (nodes["m1"].kind, nodes["m1"].protocol, nodes["m1"].reason) == ("rocket", "mqtt", "Явная аннотация //flow:rocket mqtt")
+    assert nodes["w1"].source == ("f2", 6) and nodes["ch" if "ch" in nodes else "x"].source == ("", 0)
+    end = nodes["trash:got"]
+    assert end.source == ("f2", 6) and end.detail == END_DETAIL + "v" and end.reason.startswith("Конец использования")
+    assert sorted(r.seq for r in nodes.values()) == list(range(len(nodes))) and end.seq == len(nodes) - 1
