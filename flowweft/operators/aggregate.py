@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -204,6 +205,79 @@ def function_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return mirrored_weights(lifted.unionByName(routes.select(F.col("from").alias("src"), F.col("to").alias("dst"), "n")))
 
 
+@dataclass
+class FunctionClasses:
+    """The contact graph between functions with its hub routes as bicliques: linear in the sides of the hubs."""
+
+    members: DataFrame  # id (function), group: functions with the same sides everywhere
+    sides: DataFrame  # group, n (members), hub, w, r: writers and readers of one member at the hub
+    direct: DataFrame  # id, other, weight: links that pass no hub, both directions
+
+
+def function_classes(nodes: DataFrame, edges: DataFrame) -> FunctionClasses:
+    """``function_graph`` without its pairs.
+
+    The routes through a hub join every function that writes with every one that reads: a hub
+    of a million functions has up to 10^12 pairs, but as many sides as functions. Functions
+    with the same writers and readers at the same hubs have the same weights to all others,
+    so they share a group, named by summed pieces of the hashes of their sides (two sums
+    of 60-bit pieces; sums combine map-side and no list of sides is built).
+    """
+    role = F.col("role") if "role" in nodes.columns else F.lit(None).cast("string")
+    marked = nodes.select("id", "function", F.coalesce(role == "hub", F.lit(False)).alias("is_hub"))
+    hubs, owner = marked.filter("is_hub").select("id"), marked.filter("NOT is_hub").select("id", "function")
+    one, no = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    into = edges.join(hubs.withColumnRenamed("id", "dst"), "dst", "left_semi").join(owner.withColumnRenamed("id", "src"), "src")
+    out = edges.join(hubs.withColumnRenamed("id", "src"), "src", "left_semi").join(owner.withColumnRenamed("id", "dst"), "dst")
+    touches = into.select(F.col("dst").alias("hub"), F.col("function").alias("id"), one.alias("w"), no.alias("r")).unionByName(
+        out.select(F.col("src").alias("hub"), F.col("function").alias("id"), no.alias("w"), one.alias("r"))
+    )
+    own = touches.groupBy("hub", "id").agg(F.sum("w").alias("w"), F.sum("r").alias("r"))
+    digest = F.sha2(F.concat_ws("\u0000", "hub", "w", "r"), 256)
+    pieces = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(2)]
+    members = own.groupBy("id").agg(F.concat_ws(".", *pieces).alias("group"))
+    first = members.groupBy("group").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    sides = own.join(first, "id").select("group", "n", "hub", "w", "r")
+    lifted = (
+        edges.join(owner.select(F.col("id").alias("src"), F.col("function").alias("f")), "src")
+        .join(owner.select(F.col("id").alias("dst"), F.col("function").alias("g")), "dst")
+        .select(F.col("f").alias("src"), F.col("g").alias("dst"), one.alias("n"))
+    )
+    return FunctionClasses(members, sides, mirrored_weights(lifted))
+
+
+def class_links(classes: FunctionClasses) -> DataFrame:
+    """(group, other, n, weight): weight between a member of one group and each of the ``n`` members of another, or of its own."""
+    a = classes.sides.select("hub", "group", F.col("w").alias("w1"), F.col("r").alias("r1"))
+    b = classes.sides.select("hub", F.col("group").alias("other"), "n", "w", "r")
+    routes = F.col("w1") * F.col("r") + F.col("r1") * F.col("w")
+    pairs = a.join(b, "hub").groupBy("group", "other").agg(F.sum(routes).cast("double").alias("weight"), F.min("n").alias("n"))
+    return pairs.filter("weight > 0").select("group", "other", "n", "weight")
+
+
+def class_strength(functions: DataFrame, classes: FunctionClasses) -> DataFrame:
+    """``node_strength`` of functions (id) from the factored form, without listing pairs of functions.
+
+    Each group's links are summed once for all its members. Links that pass no hub change the
+    weight of their own pair only, so they add the difference. Work grows with the
+    pairs of groups that share a hub and with the direct links.
+    """
+    links = class_links(classes)
+    others = F.col("n") - F.when(F.col("group") == F.col("other"), 1).otherwise(0)
+    shared = links.groupBy("group").agg(F.sum(others).alias("d"), F.sum(others * (1 + F.log2("weight"))).alias("s"))
+    by_hub = classes.members.join(shared, "group").select("id", "d", "s")
+    far = classes.members.select(F.col("id").alias("other"), F.col("group").alias("far"))
+    known = links.select("group", F.col("other").alias("far"), F.col("weight").alias("through"))
+    direct = classes.direct.join(classes.members, "id", "left").join(far, "other", "left").join(known, ["group", "far"], "left")
+    alone = F.col("through").isNull()
+    more = direct.select(
+        "id", F.when(alone, 1).otherwise(0).cast("bigint").alias("d"),
+        F.when(alone, 1 + F.log2("weight")).otherwise(F.log2(1 + F.col("weight") / F.col("through"))).alias("s"),
+    )
+    busy = by_hub.unionByName(more).groupBy("id").agg(F.sum("d").alias("degree"), F.sum("s").alias("strength"))
+    return functions.select("id").join(busy, "id", "left").na.fill({"degree": 0, "strength": 0.0})
+
+
 def method_calls(nodes: DataFrame) -> DataFrame:
     """Calls per callee identity, whoever calls and however (go, defer)."""
     return nodes.filter(F.col("method") != "").groupBy("method").agg(F.count(F.lit(1)).alias("calls"))

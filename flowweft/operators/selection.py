@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import search_text
 from ..schema import LARGE_GRAPH_NODES, LAYERS, NODE_KINDS
 
 SEARCHED = ["label", "function", "type", "names"]
+INDEX_PARTS = 64
 
 
 def edge_class() -> Column:
@@ -66,6 +69,54 @@ def search_nodes(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
     return intersect_selection(nodes, hits.unionByName(neighbours(edges, hits)))
 
 
+def _index_part(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(INDEX_PARTS)).cast("int")
+
+
+def write_text_index(nodes: DataFrame, path: str) -> None:
+    """Postings (gram, id) of every three characters in a row of the searched text, each once per node.
+
+    Folders by a hash of the gram, sorted by gram and id within: a search reads the folders
+    of its grams, and of their files the row groups that may hold them. Ranges go by
+    gram and id, so a gram that every node has fills many tasks and files.
+    """
+    text = F.col("_text")
+    starts = F.when(F.length(text) >= 3, F.sequence(F.lit(1), F.length(text) - 2)).otherwise(F.array().cast("array<int>"))
+    grams = nodes.select("id", search_text(SEARCHED).alias("_text")).select(
+        F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(3))))).alias("gram"), "id"
+    )
+    order = ["part", "gram", "id"]
+    grams.withColumn("part", _index_part(F.col("gram"))).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(path)
+
+
+def read_text_index(spark: SparkSession, path: str) -> DataFrame:
+    """The postings of ``write_text_index``: gram, id, part."""
+    return spark.read.schema("gram string, id string, part int").parquet(path)
+
+
+def indexed_matching(nodes: DataFrame, postings: DataFrame, query: str) -> DataFrame:
+    """``matching`` by the postings of the same nodes: ids that hold every gram of the text, then compared in full.
+
+    A text of fewer than three characters has no gram; all nodes are compared.
+    """
+    q = query.strip().lower()
+    grams = sorted({q[i:i + 3] for i in range(len(q) - 2)})
+    if not grams:
+        return matching(nodes, query)
+    # Both conditions are literals after folding: the first chooses folders, the second reaches the scan.
+    folders = reduce(or_, [F.col("part") == _index_part(F.lit(g)) for g in grams])
+    hits = postings.filter(folders & F.col("gram").isin(grams)).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return matching(nodes.join(hits.filter(F.col("n") == len(grams)).select("id"), "id", "left_semi"), query)
+
+
+def search_indexed(nodes: DataFrame, edges: DataFrame, postings: DataFrame, query: str) -> DataFrame:
+    """``search_nodes`` with the postings of ``write_text_index`` in place of a scan of all texts."""
+    if not query.strip():
+        return nodes
+    hits = indexed_matching(nodes, postings, query).select("id")
+    return intersect_selection(nodes, hits.unionByName(neighbours(edges, hits)))
+
+
 def focus_function(nodes: DataFrame, edges: DataFrame, fn: str) -> tuple[DataFrame, DataFrame]:
     """Nodes of one function, their direct neighbours, and the edges among them."""
     own = nodes.filter(F.col("function") == fn).select("id")

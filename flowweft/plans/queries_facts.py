@@ -44,8 +44,8 @@ def _(spark, d):
 
 @query("return_aliases", D.with_calls("""
 SELECT DISTINCT callee || '.v' || r.idx AS value_a, CASE WHEN n = 1 THEN 'r.' || instr_id ELSE instr_id || '#' || r.idx END AS value_b
-FROM calls c JOIN rets r ON function = callee JOIN lines USING (instr_id)
-WHERE mode = 'call' AND (n = 1 OR (r.idx < 2 AND l_linenumber <= 4))"""))
+FROM calls c JOIN rets r ON function = callee
+WHERE mode = 'call' AND (n = 1 OR r.idx < 2)"""))
 def _(spark, d):
     return L.return_aliases(D.calls(spark, d), D.returns(spark, d), D.extracts(spark, d))
 
@@ -145,6 +145,19 @@ def _(spark, d):
     return A.function_graph(*_routed_graph(spark, d))
 
 
+@query("function_strength_built", PAIR_SQL + """,
+w AS (SELECT id, other, sum(n) AS n FROM (
+  SELECT 'f.' || (a % 50) AS id, 'f.' || (b % 50) AS other, count(*) AS n FROM pairs WHERE a % 50 <> b % 50 GROUP BY 1, 2
+  UNION ALL SELECT 'f.' || (b % 50), 'f.' || (a % 50), count(*) FROM pairs WHERE a % 50 <> b % 50 GROUP BY 1, 2) GROUP BY 1, 2)
+SELECT f AS id, count(n) AS degree, round(coalesce(sum(1 + log2(n)), 0), 4) AS strength
+FROM (SELECT DISTINCT 'f.' || (substr(instr_id, 2)::BIGINT % 50) AS f FROM ops) LEFT JOIN w ON id = f GROUP BY f""")
+def _(spark, d):
+    """Strengths of functions from the factored form: no pair of functions is listed."""
+    nodes, edges = _routed_graph(spark, d)
+    functions = nodes.filter("function <> ''").select(F.col("function").alias("id")).distinct()
+    return A.class_strength(functions, A.function_classes(nodes, edges)).withColumn("strength", F.round("strength", 4))
+
+
 @query("contact_graph_counts", PAIR_SQL + """,
 flows AS (SELECT least(a % 7, b % 7) AS x, greatest(a % 7, b % 7) AS y, count(*)::DOUBLE AS weight FROM pairs WHERE a % 7 <> b % 7 GROUP BY 1, 2)
 SELECT 'pkg.' || x AS id, 'pkg.' || y AS other, weight FROM flows UNION ALL SELECT 'pkg.' || y, 'pkg.' || x, weight FROM flows""")

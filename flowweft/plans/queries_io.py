@@ -168,7 +168,7 @@ SELECT 'r' || o_orderkey AS rev, 'e1' AS edge_id, i::INT AS pos, i::INT AS x, 2
 FROM (SELECT o_orderkey, unnest(range(o_orderkey % 4 + 2)) AS i FROM orders WHERE o_orderkey % 3 <> 0), (VALUES (0), (1)) v(n)
 WHERE n = 0 OR o_orderkey % 11 = 0""")
 def _(spark, d):
-    t = D.read_layouts(D.read_snapshot(spark, _snapshot_path(spark, d), one_per_file=False)["layouts"].dropDuplicates(["rev", "layout"]))
+    t = D.read_layouts(D.read_snapshot(spark, _snapshot_path(spark, d), one_per_file=False)["layouts"])
     return t["layout_cells"].join(t["layout_edges"], ["layout_id", "edge_id"]).select(
         F.split("layout_id", r"\|")[0].alias("rev"), "edge_id", "pos", "x", "y", "layer", "start_dir", "end_dir"
     )

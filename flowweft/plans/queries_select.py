@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.numbering import number_rows
 from ..functions import scalars as S
 from ..operators import aggregate as A
 from ..operators import selection as P
+from ..runtime import checkpoint_root
 from . import graphs as G
 from .registry import query
 
@@ -36,18 +39,28 @@ def _(spark, d):
     return _plain(P.drop_helpers(G.trade_nodes(spark, d)))
 
 
-@query("search_nodes", G.with_trade(f"""
+FOUND_SQL = G.with_trade(f"""
 hits AS (SELECT id FROM nodes WHERE contains({SEARCH_SQL}, 'red w')),
 found AS (
   SELECT id FROM hits
   UNION SELECT dst FROM edges JOIN hits ON src = hits.id
   UNION SELECT src FROM edges JOIN hits ON dst = hits.id)
 SELECT {PLAIN} FROM nodes WHERE id IN (FROM found)
-"""))
+""")
+
+
+@query("search_nodes", FOUND_SQL)
 def _(spark, d):
     return _plain(P.search_nodes(G.trade_nodes(spark, d), G.trade_edges(spark, d), "  Red W"))
 
 
+@query("search_indexed", FOUND_SQL)
+def _(spark, d):
+    nodes, path = G.trade_nodes(spark, d), f"{checkpoint_root(spark)}/text-{uuid.uuid4().hex}"
+    P.write_text_index(nodes, path)
+    return _plain(P.search_indexed(nodes, G.trade_edges(spark, d), P.read_text_index(spark, path), "  Red W"))
+
+
 FOCUS_SQL = """
 own AS (SELECT id FROM nodes WHERE function = 'trade/parts.Brand#7'),
 kept AS (
@@ -113,6 +126,15 @@ def _(spark, d):
     return P.default_view(G.trade_functions(spark, d), G.trade_nodes(spark, d))
 
 
+ENTRY = "CASE WHEN seq % 7 = 3 THEN 'main' WHEN seq % 7 = 5 THEN 'Run' ELSE name END"
+
+
+@query("default_view_entry", G.with_trade(f"SELECT coalesce(arg_min(id, (n <> 'Run', seq)), '') AS fn FROM (SELECT *, {ENTRY} AS n FROM functions) WHERE n IN ('Run', 'main')"))
+def _(spark, d):
+    """A graph shown whole at any size: of several entries the first Run."""
+    return P.default_view(G.trade_functions(spark, d).withColumn("name", F.expr(ENTRY)), G.trade_nodes(spark, d), whole_nodes=None)
+
+
 @query("dedup_edges", G.with_trade("SELECT * FROM edges"))
 def _(spark, d):
     return A.dedup_edges(G.trade_raw_edges(spark, d))
@@ -136,11 +158,14 @@ def _(spark, d):
     )
 
 
-@query("package_overview", G.with_trade("""
+PACKAGES_SQL = G.with_trade("""
 SELECT a.package AS src_package, b.package AS dst_package, CASE e.kind WHEN 'train' THEN 'train' ELSE 'call' END AS kind,
   count(*) AS n, array_to_string(list_sort(list_distinct(list(e.type))), '|') AS types
 FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst
-WHERE a.package <> b.package GROUP BY ALL"""))
+WHERE a.package <> b.package GROUP BY ALL""")
+
+
+@query("package_overview", PACKAGES_SQL)
 def _(spark, d):
     _nodes, links = A.package_overview(G.trade_functions(spark, d), G.trade_nodes(spark, d), G.trade_edges(spark, d))
     return links.withColumn("types", F.array_join("types", "|"))
@@ -213,6 +238,15 @@ def _(spark, d):
     return A.size_limits(G.trade_nodes(spark, d), G.trade_edges(spark, d))
 
 
+@query("size_limits_exceeded", G.with_trade("SELECT 'edges: ' || count(*) || ' rows, limit 10' AS message FROM edges"))
+def _(spark, d):
+    edges = G.trade_edges(spark, d)
+    try:
+        return A.size_limits(G.trade_nodes(spark, d), edges, 0, 10)
+    except A.SizeLimitError as e:
+        return edges.limit(1).select(F.lit(str(e)).alias("message"))
+
+
 @query("first_objects", G.with_trade(f"SELECT {PLAIN} FROM nodes ORDER BY seq LIMIT 200"))
 def _(spark, d):
     return _plain(P.first_objects(G.trade_nodes(spark, d)))

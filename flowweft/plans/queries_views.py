@@ -10,6 +10,7 @@ from ..operators import selection as P
 from ..operators import views as V
 from ..runtime import materialize
 from . import graphs as G
+from .queries_select import PACKAGES_SQL
 from .registry import query
 
 FN = "trade/region/AFRICA.NATION_0"
@@ -39,9 +40,12 @@ def _(spark, d):
     return links.select("src", "dst", "kind", "label", F.array_join("types", "|").alias("types"), "seq")
 
 
-@query("visible_graph_hidden", G.with_trade("""
+HIDDEN_SQL = G.with_trade("""
 keep AS (FROM nodes WHERE kind <> 'station')""" + "," + VISIBLE_SQL.replace("JOIN nodes a", "JOIN keep a").replace("JOIN nodes b", "JOIN keep b") + """
-SELECT src, dst, kind, label, types FROM links WHERE kind <> 'train'"""))
+SELECT src, dst, kind, label, types FROM links WHERE kind <> 'train'""")
+
+
+@query("visible_graph_hidden", HIDDEN_SQL)
 def _(spark, d):
     links = _visible(spark, d, hidden=["station", "train"])[1]
     return links.select("src", "dst", "kind", "label", F.array_join("types", "|").alias("types"))
@@ -136,9 +140,12 @@ touched AS (
 """
 
 
-@query("section_view_edges", G.with_trade(SECTION_SQL + """
+SECTION_LINKS_SQL = G.with_trade(SECTION_SQL + """
 SELECT s2 AS src, d2 AS dst, kind, count(*) AS n, array_to_string(list_sort(list_distinct(flatten(list(types)))), '|') AS types
-FROM touched GROUP BY s2, d2, kind"""))
+FROM touched GROUP BY s2, d2, kind""")
+
+
+@query("section_view_edges", SECTION_LINKS_SQL)
 def _(spark, d):
     view = V.section_view(*_folded(spark, d), FN, 1)
     return view.edges.select("src", "dst", "kind", "n", F.array_join("types", "|").alias("types"))
@@ -174,6 +181,30 @@ def _(spark, d):
     return view.nodes.select("id", "name", "package")
 
 
+def _view(spark, d, **options):
+    whole = options.pop("whole_nodes", 1200)
+    return V.project_view(G.trade_functions(spark, d), G.trade_nodes(spark, d), G.trade_edges(spark, d), V.ViewOptions(**options), whole_nodes=whole)
+
+
+@query("project_view_packages", PACKAGES_SQL)
+def _(spark, d):
+    """A large graph without a chosen function: flows between packages."""
+    return _view(spark, d).edges.withColumn("types", F.array_join("types", "|"))
+
+
+@query("project_view_whole", HIDDEN_SQL)
+def _(spark, d):
+    """Shown whole: every operation of the layers that are on."""
+    links = _view(spark, d, hidden=("station", "train"), whole_nodes=None).edges
+    return links.select("src", "dst", "kind", "label", F.array_join("types", "|").alias("types"))
+
+
+@query("project_view_function", SECTION_LINKS_SQL)
+def _(spark, d):
+    """One function, its neighbours folded into portals, its second section."""
+    return _view(spark, d, fn=FN, part=1).edges.select("src", "dst", "kind", "n", F.array_join("types", "|").alias("types"))
+
+
 @query("trace", G.with_trade("""
 seeds AS (SELECT id FROM nodes WHERE kind = 'station' AND type = 'PROMO' AND list_contains(names, 'red')),
 down AS (SELECT id FROM seeds UNION SELECT dst FROM down JOIN edges ON src = down.id),
