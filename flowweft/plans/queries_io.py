@@ -254,6 +254,23 @@ def _(spark, d):
     ).agg(F.sum(F.length("content")).alias("chars"))
 
 
+@query("read_lines", """
+SELECT lang, source, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(len(string_split(text, chr(10))))::BIGINT AS numbered,
+  sum(length(replace(text, chr(10), '')))::BIGINT AS chars FROM documents GROUP BY lang, source""")
+def _(spark, d):
+    """Lines of files read in byte ranges: their number, the sum of each file's last number, and their characters."""
+    path = scratch(spark)
+    G.table(spark, d, "documents").select("text", "lang", "source").write.partitionBy("lang", "source").text(path)
+    files, lines = X.read_lines(spark, path)
+    home = files.select(
+        "file_id", F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"), F.regexp_extract("path", "source=([^/]+)", 1).alias("source")
+    )
+    per_file = lines.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.max("line").alias("numbered"), F.sum(F.length("text")).alias("chars")
+    )
+    return per_file.join(home, "file_id").groupBy("lang", "source").agg(*[F.sum(c).alias(c) for c in ("lines", "numbered", "chars")])
+
+
 def _doc_sources(spark, d):
     docs = G.table(spark, d, "documents").select(
         F.concat(F.lit("f"), "doc_id").alias("file_id"), F.concat_ws("/", F.lit("/src"), "source", "doc_id").alias("path"), F.col("text").alias("content")
