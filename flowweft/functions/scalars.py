@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,10 +193,17 @@ def csv_cell(c, is_text: bool = True) -> Column:
     return F.coalesce(quoted(value.cast("string")), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility composition; the one step Spark has no function for."""
-    return s.str.normalize("NFKC")
+def _composed(s: str | None) -> str | None:
+    return None if s is None else unicodedata.normalize("NFKC", s)
+
+
+# Row by row: an Arrow batch of long texts is held whole, in several forms, by each worker.
+_compose = F.udf(_composed, T.StringType(), useArrow=False)
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility composition; the one step Spark has no function for. ASCII text stays as it is and is not sent to Python."""
+    return F.coalesce(_compose(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def safe_name(c, extension: str = "", prefix: str = "", fallback: str = "factory", compose: bool = True) -> Column:

@@ -45,6 +45,13 @@ def test_file_names(spark):
         "Run-цех-No1.csv", "factory.csv", "factory.csv", "file.csv", "a" * 90 + ".csv"]
 
 
+def test_names_are_composed_row_by_row(spark):
+    """No Arrow batch of whole texts; ASCII, null and composed texts keep their places."""
+    df = spark.createDataFrame([(1, "ａb"), (2, "plain"), (3, None), (4, "e\u0301")], "i int, c string").select("i", S.nfkc(F.col("c")).alias("v"))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: r.v for r in df.collect()} == {1: "ab", 2: "plain", 3: None, 4: "é"}
+
+
 def test_natural_order(spark):
     texts = ["n10", "n2", "n02", "n1", "a100b20", "a100b3", "n"]
     df = spark.createDataFrame([(t,) for t in texts], "c string")
