@@ -139,3 +139,15 @@ def test_calls_link_arguments_entries_and_returns(spark):
     assert {(r.src, r.dst) for r in L.return_edges(calls, returns).collect()} == {("ret", "c1"), ("ret2", "c3")}
     extracts = spark.createDataFrame([("c3", 1, "r3.1")], "instr_id string, idx int, value_id string")
     assert {(r.value_a, r.value_b) for r in L.return_aliases(calls, returns, extracts).collect()} == {("a", "r1"), ("c", "r3.1")}
+
+
+def test_hub_links_move_once_by_key(spark):
+    """Rows of a hub are made distinct where they lie: no shuffle by whole links."""
+    ops = spark.createDataFrame(
+        [("k", "w", True, "a", "t"), ("k", "w", True, "a", "t"), ("k", "r", False, "b", "t"), ("k", "r", None, "c", "u"), ("lone", "x", True, "a", "t")],
+        "key string, node string, into boolean, label string, type string")
+    hubs, edges = L._hubs(ops, "memory", F.col("label"))
+    assert "hashpartitioning(src" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, edges.collect()), key=str) == sorted(
+        [("w", "memory:k", "memory", "a", "t"), ("memory:k", "r", "belt", "", None)], key=str)
+    assert [(r.key, r.n_in, r.n_out) for r in hubs.collect()] == [("k", 2, 1)]
