@@ -99,6 +99,7 @@ def read_snapshot(spark: SparkSession, path: str, one_per_file: bool = True) ->
 
     A leading byte-order mark is ignored. Both forms are read with one schema that has
     the fields of either. Damaged documents are marked ``corrupt``, see read_graph.
+    Texts are parsed once and written as a table: parsing costs far more than what the tables below take from it.
     """
     text = F.regexp_replace("value", "^\uFEFF", "")
     own = [f for f in T.StructType.fromDDL(graph_schema()).fields if f.name != "version"]
@@ -115,6 +116,7 @@ def read_snapshot(spark: SparkSession, path: str, one_per_file: bool = True) ->
         F.when(~bare, F.col("s.version")).alias("doc_version"), "s.view", "s.layouts", "s.sources", "s.camera", "s.selected",
         F.coalesce("s.time", F.lit(0.0)).alias("time"), F.coalesce("s.speed", F.lit(1.0)).alias("speed"),
     ).withColumn("rev", F.coalesce("graph.revision", F.lit("")))
+    docs = materialize(docs)
     tables = _tables(docs)
     view = F.coalesce("view.fn", F.lit("")).alias("fn"), F.coalesce("view.pkg", F.lit("")).alias("pkg")
     tables["snapshots"] = docs.select(

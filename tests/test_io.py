@@ -112,6 +112,14 @@ def test_bare_graph_is_a_snapshot(spark, tmp_path):
     assert t["snapshots"].first().format is None and t["nodes"].count() == 2 and t["sources"].count() == 0
 
 
+def test_snapshots_are_parsed_once(spark, tmp_path):
+    (tmp_path / "s.json").write_text("\n".join([json.dumps(snapshot()), json.dumps(GRAPH), "{"]))
+    t = D.read_snapshot(spark, str(tmp_path / "s.json"), one_per_file=False)
+    for name, df in t.items():
+        assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString(), name
+    assert t["snapshots"].filter("corrupt").count() == 1 and t["nodes"].count() == 4
+
+
 def test_graph_violations(spark, make_nodes, make_edges):
     nodes = make_nodes([{"id": "a", "kind": "what"}, {"id": "b", "function": "gone"}, "c", "c", {"id": "d", "ord": float("nan")}])
     functions = spark.createDataFrame([("f", "F", "p")], "id string, name string, package string")
