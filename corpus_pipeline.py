@@ -16,12 +16,12 @@ from flowweft.runtime import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is named or can be told; those without a text or without letters go.
+    """Documents whose text bears out the language they name, or tells one; those without a text or without letters go.
 
     Profiles are learned from the documents that name a language, and so are the least scores at which a language counts
-    as told (``rank_profiles.least_scores``). A document that names its language stays, any other needs that score and names
-    the language found from then on. If no document names a language, none can be told by profiles, and all with
-    letters stay.
+    as told (``rank_profiles.least_scores``). A document whose text tells another language than it names goes. One that names
+    none needs that score and names the language found from then on. If no document names a language, none can be told
+    by profiles, and all with letters stay.
     """
     prepare(spark)
     profiles = rank_profiles.learn_profiles(docs.select("text", "lang"))

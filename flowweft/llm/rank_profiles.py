@@ -186,9 +186,12 @@ def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = 4
 
 
 def keep_told(docs: DataFrame, profiles: dict[str, np.ndarray], least: dict[str, float], most: int = 400, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents with letters that name a language, or whose score reaches the least one of the language found.
+    """The documents with letters whose text bears out the language they name, or tells one where they name none.
 
-    Those of the second kind name the language found from then on; all other columns stay.
+    A language is told if the text's score reaches the least one of the language found. A document that names another
+    language than the one told goes, as does one that names none and is told none. One that names a language stays if its text
+    tells none, being too short or too odd to speak against it. Those that named no language name the one told from
+    then on; all other columns stay.
     """
     judge = Judge(profiles, most)
 
@@ -197,11 +200,12 @@ def keep_told(docs: DataFrame, profiles: dict[str, np.ndarray], least: dict[str,
         for texts, named in batches:
             keep = []
             for one, known in zip(texts, named, strict=True):
-                if known is not None:
-                    keep.append(known if one is not None and any(map(str.isalpha, one)) else None)
-                else:
-                    name, score = judge.decide(one)
-                    keep.append(name if name != UNKNOWN and score >= least[name] else None)
+                if one is None or not any(map(str.isalpha, one)):
+                    keep.append(None)
+                    continue
+                name, score = judge.decide(one)
+                found = name if name != UNKNOWN and score >= least[name] else None
+                keep.append(found if known is None else known if found in (None, known) else None)
             yield pd.Series(keep, dtype=object)
         release_memory()
 

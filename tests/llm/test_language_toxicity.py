@@ -84,6 +84,20 @@ def test_held_out_language_accuracy(text_spark):
     assert len(rows) > 200 and np.mean([truth[r.doc_id] == r.lang_pred for r in rows]) > 0.97
 
 
+def test_a_text_in_another_language_than_it_names_goes(text_spark, make_docs):
+    docs = text_spark.read.parquet(f"{D}/documents.parquet").filter("n_chars > 300")
+    english, german = (docs.filter(f"lang = '{x}'").orderBy("doc_id").first().text for x in ("en", "de"))
+    named = docs.select("text", "lang")
+    profiles = R.learn_profiles(named)
+    least = R.least_scores(named, profiles)
+    odd = make_docs([
+        (1, english, "en"), (2, english, "de"), (3, german, "en"), (4, german, "de"), (5, english, None), (6, "Имя", "en"),
+        (7, english, "xx"), (8, "12 --", "en"), (9, None, "de"), (2, english, "de"),
+    ])
+    rows = R.keep_told(odd, profiles, least).collect()
+    assert {r.doc_id: r.lang for r in rows} == {1: "en", 4: "de", 5: "en", 6: "en"} and len(rows) == 4
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
