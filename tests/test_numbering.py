@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from flowweft.functions.numbering import next_filled, number_rows, running_sum, with_next, with_previous
+from flowweft.functions import numbering
+from flowweft.functions.numbering import next_filled, number_rows, running_sum, with_neighbours, with_next, with_previous
+from flowweft.runtime import materialize
 
 
 def _data(spark):
@@ -46,3 +48,16 @@ def test_next_value_that_is_not_null(spark):
         ts = [t for t, _ in items]
         for i, t in enumerate(ts):
             assert got[g, t] == next((x for x in ts[i:] if x % 7 == 0), None)
+
+
+def test_both_neighbours_in_one_ranging(spark, monkeypatch):
+    rows = [(g, t, t * 10 if t % 3 else None) for g, n in ((None, 3), ("a", 400), ("b", 1)) for t in range(n)]
+    df = spark.createDataFrame(rows, "g string, t int, v int").repartition(5)
+    written = []
+    monkeypatch.setattr(numbering, "materialize", lambda rows: written.append(1) or materialize(rows))
+    both = with_neighbours(df, ["g"], [F.col("t")], {"t": "p", "v": "pv"}, {"t": "n", "v": "nv"})
+    assert len(written) == 1 and both.columns == ["g", "t", "v", "p", "pv", "n", "nv"]
+    value = {(g, t): v for g, t, v in rows}
+    got = {(r.g, r.t): (r.v, r.p, r.pv, r.n, r.nv) for r in both.collect()}
+    at = lambda g, t: (t, value[g, t]) if (g, t) in value else (None, None)
+    assert got == {(g, t): (v, *at(g, t - 1), *at(g, t + 1)) for g, t, v in rows} and both.count() == len(rows)
