@@ -164,3 +164,41 @@ def test_view_keys_ignore_what_is_on(spark):
     assert keys[1] == keys[2] != keys[3]
     bad = spark.createDataFrame([("f", "", -2, True, "", {})], "fn string, pkg string, part int, compact boolean, query string, layers map<string,boolean>")
     assert P.normalize_view(bad).first().part == -2  # validate_snapshot reports it
+
+
+def test_ended_links_of_a_hub_are_neither_written_nor_kept_as_states(spark, make_nodes, make_edges, monkeypatch):
+    from flowweft.operators import views as V
+
+    written, write = [], V.write_table
+
+    def counted(df):
+        table, n = write(df)
+        written.append(n)
+        return table, n
+
+    monkeypatch.setattr(V, "write_table", counted)
+    nodes = make_nodes([{"id": "h", "helper": True}, *[f"a{i}" for i in range(20)], *[f"b{i}" for i in range(20)]])
+    edges = make_edges([(f"a{i}", "h") for i in range(20)] + [("h", f"b{i}") for i in range(20)])
+    assert V.visible_graph(nodes, edges)[1].count() == 400
+    assert sum(written) == 20  # the paths into the helper, not the 400 that leave it
+
+
+def test_links_around_a_function_fold_as_links_that_meet_the_nodes(spark, make_nodes, make_edges):
+    from flowweft.operators import selection as P
+    from flowweft.operators import views as V
+
+    rows = [
+        {"id": "a", "function": "f"}, {"id": "h", "function": "f", "helper": True}, {"id": "x", "function": "g"}, {"id": "y", "function": "k"},
+        {"id": "y", "function": "k"}, {"id": "z", "function": "k"}, {"id": "x", "function": "f"},
+    ]
+    nodes, edges = make_nodes(rows), make_edges([("a", "h"), ("h", "x"), ("h", "y"), ("x", "y"), ("y", "z")])
+    functions = spark.createDataFrame([("f", "f"), ("g", "g"), ("k", "k")], "id string, name string")
+    shown, links = V.visible_graph(nodes, edges, around="f")
+    plain = links.drop("src_at", "dst_at")
+    near, kept = P.focus_function(shown, links, "f", focused=True)
+    far, joined = P.focus_function(shown, plain, "f")
+    sort = lambda df: sorted(map(str, df.collect()))
+    assert sort(near) == sort(far) and sort(kept.select(plain.columns)) == sort(joined.select(plain.columns))
+    with_homes, by_joins = V.fold_portals(nodes, functions, near, kept, "f"), V.fold_portals(nodes, functions, far, joined, "f")
+    assert sort(with_homes[0]) == sort(by_joins[0]) and sort(with_homes[1]) == sort(by_joins[1])
+    assert with_homes[1].count() > 1
