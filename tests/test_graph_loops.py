@@ -235,3 +235,20 @@ def test_junction_trees(spark, make_nodes, make_edges, n):
         at = f"s{i}"
         while at != "hub":
             at = up[at]
+
+
+def test_descent_to_a_leaf_names_the_junctions_of_the_halving_tree(spark):
+    from pyspark.sql import functions as F
+
+    from flowweft.operators.hubs import _descent
+
+    def paths(size, num=0):
+        """Per leaf the junctions above it, by building the tree."""
+        if size < 2:
+            return [[]]
+        half = -(-size // 2)
+        return [[num, *p] for p in paths(half, num + 1)] + [[num, *p] for p in paths(size - half, num + half)]
+
+    rows = [(n, i) for n in (1, 2, 3, 5, 8, 13, 100) for i in range(n)]
+    got = spark.createDataFrame(rows, "n long, leaf long").select("n", "leaf", _descent(F.col("n"), F.col("leaf")).alias("path")).collect()
+    assert {(r.n, r.leaf): r.path for r in got} == {(n, i): p for n in {n for n, _ in rows} for i, p in enumerate(paths(n))}
