@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import natural_key
@@ -27,6 +27,20 @@ class Hierarchy:
     group_edges: DataFrame
 
 
+# While groups merge they are numbers: that of a node, and above it the round after which the group was made (0: a node by itself).
+_NODE_BITS = 54
+
+
+def _node(c: str) -> Column:
+    """The node that a group is named after."""
+    return F.col(c).bitwiseAND(F.lit((1 << _NODE_BITS) - 1))
+
+
+def _name(c: str, node_id: str) -> Column:
+    made = F.shiftright(c, _NODE_BITS)
+    return F.when(made == 0, F.concat(F.lit("block:"), node_id)).otherwise(F.concat(F.lit("group:"), (made - 1).cast("string"), F.lit(":"), node_id))
+
+
 def _external(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, shared) mirrored contact pairs and (group, degree); parallel links count each."""
     pairs = live.groupBy(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y")).agg(
@@ -37,15 +51,20 @@ def _external(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     return contact, contact.groupBy(F.col("a").alias("group")).agg(F.sum("shared").alias("degree"))
 
 
-def _live(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ids = nodes.select("id")
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """(id, n): the nodes' ids, each once, with numbers that rise in their natural order."""
+    ids = nodes.filter("id IS NOT NULL").select("id").distinct().withColumn("_key", natural_key("id"))
+    ranged = ids.repartitionByRange("_key").sortWithinPartitions("_key")
+    return materialize(ranged.select("id", F.monotonically_increasing_id().alias("n")))
+
+
+def _live(numbers: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge_id, ga, gb): links between two of the numbered nodes (id, n)."""
     return (
         edges.filter(F.col("src") != F.col("dst"))
-        .join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-        .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        .select(
-            F.col("id").alias("edge_id"), F.concat(F.lit("block:"), "src").alias("ga"), F.concat(F.lit("block:"), "dst").alias("gb")
-        )
+        .join(numbers.select(F.col("id").alias("src"), F.col("n").alias("ga")), "src")
+        .join(numbers.select(F.col("id").alias("dst"), F.col("n").alias("gb")), "dst")
+        .select(F.col("id").alias("edge_id"), "ga", "gb")
     )
 
 
@@ -70,44 +89,67 @@ def _stars(picks: DataFrame, number: int) -> DataFrame:
     joined = picks.join(partners, "partner").filter(
         (rank("group") < rank("partner")) & (rank("partner") > rank("beyond"))
     )
-    none = F.lit(None).cast("string")
+    none = F.lit(None).cast("bigint")
     both = F.explode(F.array(
         F.struct("group", F.col("partner").alias("centre"), F.col("partner").alias("partner"), F.col("degree")),
         F.struct(F.col("partner").alias("group"), F.col("partner").alias("centre"), none.alias("partner"), F.col("centre_degree").alias("degree")),
     ))
     rows = joined.select(both.alias("m")).select("m.*").groupBy("group", "centre").agg(F.min("partner").alias("partner"), F.min("degree").alias("degree"))
-    return rows.select("group", F.concat(F.lit(f"group:{number}:"), "centre").alias("parent"), "partner", "degree")
+    parent = F.lit((number + 1) << _NODE_BITS).bitwiseOR(_node("centre"))
+    return rows.select("group", parent.alias("parent"), "partner", "degree")
 
 
 def contract_groups(nodes: DataFrame, edges: DataFrame) -> Hierarchy:
     """Merge groups until no link leaves a group.
 
     In each round every group with links to others picks a partner: the one it shares most links with, then the one of the
-    higher degree, then the smaller id in natural order. Picks are followed in stars (``_stars``), so the number of rounds grows with
+    higher degree, then the one made earlier, then that of the smaller node in natural order. Picks are followed in stars (``_stars``), so the number of rounds grows with
     the logarithm of the number of nodes, whatever their degrees; a strict global order would need one job per merge.
-    ``degree`` of a merge is its group's number of external links at the time.
+    ``degree`` of a merge is its group's number of external links at the time. Groups are numbers while they merge; they are named
+    ``group:<round>:<node>`` after a node in them, so names do not grow with the rounds.
     """
-    live, left = write_table(_live(nodes, edges))
+    numbers = _numbered(nodes)
+    live, left = write_table(_live(numbers, edges))
     rounds, inner = [], []
     while left:
         contact, degree = _external(live)
         picks = materialize(
-            contact.join(degree.select(F.col("group").alias("a"), F.col("degree").alias("da")), "a")
-            .join(degree.select(F.col("group").alias("b"), F.col("degree").alias("db")), "b")
+            contact.join(degree.select(F.col("group").alias("b"), F.col("degree").alias("db")), "b")
             .groupBy(F.col("a").alias("group"))
-            .agg(F.min("da").alias("degree"), F.min_by("b", F.struct(-F.col("shared"), -F.col("db"), natural_key("b"))).alias("partner"))
+            .agg(F.sum("shared").alias("degree"), F.min_by("b", F.struct(-F.col("shared"), -F.col("db"), "b")).alias("partner"))
         )
         moves = materialize(_stars(picks, len(rounds)))
-        relabelled = materialize(_relabel(live, moves))
+        relabelled, left = write_table(_relabel(live, moves), F.count_if(F.col("ga") != F.col("gb")))
         inner.append(relabelled.filter("ga = gb").select(F.lit(len(rounds)).alias("round"), F.col("ga").alias("parent"), "edge_id"))
-        live, left = write_table(relabelled.filter("ga <> gb"))
+        live = relabelled.filter("ga <> gb")
         rounds.append(moves.select(F.lit(len(rounds)).alias("round"), "group", "partner", "parent", "degree"))
     spark = nodes.sparkSession
-    empty_m = "round INT, group STRING, partner STRING, parent STRING, degree BIGINT"
+    empty_m = "round INT, group BIGINT, partner BIGINT, parent BIGINT, degree BIGINT"
     merges = reduce(DataFrame.unionByName, rounds) if rounds else spark.createDataFrame([], empty_m)
-    merge_edges = reduce(DataFrame.unionByName, inner) if inner else spark.createDataFrame([], "round INT, parent STRING, edge_id STRING")
-    members = materialize(_members(nodes, Forest(merges)))
-    return Hierarchy(merges, merge_edges, members, internal_edges(members, edges))
+    merge_edges = reduce(DataFrame.unionByName, inner) if inner else spark.createDataFrame([], "round INT, parent BIGINT, edge_id STRING")
+    members = materialize(_named_members(_members(nodes, numbers, Forest(merges)), numbers))
+    return Hierarchy(_named_merges(merges, numbers), _named_edges(merge_edges, numbers), members, internal_edges(members, edges))
+
+
+def _named_merges(merges: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Merges with names; the parent is named after the node of the group's partner, a centre's after its own."""
+    nodes = lambda at, id: numbers.select(F.col("n").alias(at), F.col("id").alias(id))
+    return (
+        merges.withColumn("_a", _node("group")).withColumn("_b", F.coalesce(_node("partner"), _node("group")))
+        .join(nodes("_a", "_own"), "_a").join(nodes("_b", "_centre"), "_b")
+        .select("round", _name("group", "_own").alias("group"), F.when(F.col("partner").isNotNull(), _name("partner", "_centre")).alias("partner"),
+                _name("parent", "_centre").alias("parent"), "degree")
+    )
+
+
+def _named_edges(merge_edges: DataFrame, numbers: DataFrame) -> DataFrame:
+    nodes = numbers.select(F.col("n").alias("_a"), F.col("id").alias("_own"))
+    return merge_edges.withColumn("_a", _node("parent")).join(nodes, "_a").select("round", _name("parent", "_own").alias("parent"), "edge_id")
+
+
+def _named_members(members: DataFrame, numbers: DataFrame) -> DataFrame:
+    nodes = numbers.select(F.col("n").alias("_a"), F.col("id").alias("_own"))
+    return members.withColumn("_a", _node("group_id")).join(nodes, "_a", "left").select(_name("group_id", "_own").alias("group_id"), "node_id")
 
 
 class Forest:
@@ -138,9 +180,9 @@ class Forest:
         self.roots = state.join(self.rings, "group", "left_anti").select("group", "top", F.col("steps").alias("depth"))
 
 
-def _members(nodes: DataFrame, forest: Forest) -> DataFrame:
-    """(group_id, node_id): each node under its outermost group."""
-    leaves = nodes.select(F.concat(F.lit("block:"), "id").alias("group"), F.col("id").alias("node_id"))
+def _members(nodes: DataFrame, numbers: DataFrame, forest: Forest) -> DataFrame:
+    """(group_id, node_id): each node under its outermost group, by number."""
+    leaves = nodes.select(F.col("id").alias("node_id")).join(numbers.select(F.col("id").alias("node_id"), F.col("n").alias("group")), "node_id", "left")
     return leaves.join(forest.roots, "group", "left").select(F.coalesce("top", "group").alias("group_id"), "node_id")
 
 
@@ -194,10 +236,12 @@ def internal_edges(groups: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _mismatch(rule: str, want: DataFrame, got: DataFrame, key: str) -> DataFrame:
-    """Rows present on one side only, as violations."""
+    """Rows present on one side only, as violations; rows of ``got`` with a name in ``_other`` are like none that are wanted."""
+    if "_other" in got.columns:
+        want = want.withColumn("_other", F.lit(None).cast("string"))
     signed = want.withColumn("_n", F.lit(1)).unionByName(got.select(*want.columns).withColumn("_n", F.lit(-1)))
     odd = signed.groupBy(*want.columns).agg(F.sum("_n").alias("s")).filter("s <> 0")
-    return odd.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
+    return odd.select(F.lit(rule).alias("rule"), F.col(key).alias("key"))
 
 
 def validate_hierarchy(nodes: DataFrame, edges: DataFrame, stored: Hierarchy) -> DataFrame:
@@ -211,9 +255,12 @@ def validate_hierarchy(nodes: DataFrame, edges: DataFrame, stored: Hierarchy) ->
     group_edges: what is stored and what follows differ; a row for each side. open_edge: a link that no group holds. Groups in or below a
     ring are held to nothing else.
     """
-    merges = materialize(stored.merges.select("round", "group", "parent", F.col("degree").cast("bigint").alias("degree")))
+    named = materialize(stored.merges.select("round", "group", "parent", F.col("degree").cast("bigint").alias("degree")))
+    book = _book(nodes, named)
+    numbers = book.filter("leaf").select(F.substring("name", len("block:") + 1, _LONGEST).alias("id"), "n")
+    merges = materialize(_numbers(_numbers(named, "group", book), "parent", book).select("round", "group", "parent", "degree"))
     forest = Forest(merges)
-    live = materialize(_live(nodes, edges))
+    live = materialize(_live(numbers, edges))
     met = materialize(_meetings(live, forest))
     ends = live.select(F.explode(F.array("ga", "gb")).alias("group"), F.lit(1).alias("n"))
     own = ends.unionByName(met.select(F.col("parent").alias("group"), F.lit(-2).alias("n")))
@@ -222,16 +269,36 @@ def validate_hierarchy(nodes: DataFrame, edges: DataFrame, stored: Hierarchy) ->
     degree = _below(own, forest).filter("n <> 0").join(placed.select("group"), "group", "left_semi").select("group", F.col("n").alias("degree"))
     made = forest.parents.groupBy(F.col("parent").alias("group")).agg(F.min("round").alias("begun"), F.max("round").alias("whole"))
     early = made.join(forest.parents.select("group", "round"), "group", "left").filter("begun <> whole OR round <= whole")
-    told = lambda rule, df, key: df.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
-    members = materialize(_members(nodes, forest))
-    found = [
+    told = lambda rule, df, key: df.select(F.lit(rule).alias("rule"), F.col(key).alias("key"))
+    members = materialize(_members(nodes, numbers, forest))
+    at_groups = [
         told("merged_twice", merges.groupBy("group").count().filter("count > 1"), "group"),
         told("ring", forest.rings, "group"),
         told("order", early.join(forest.rings, "group", "left_anti"), "group"),
         _mismatch("degree", degree, placed, "group"),
-        _mismatch("merge_edges", met.select("round", "parent", "edge_id"), stored.merge_edges, "edge_id"),
-        _mismatch("members", members, stored.groups, "node_id"),
-        _mismatch("group_edges", internal_edges(members, edges), stored.group_edges, "edge_id"),
+    ]
+    found = [
+        reduce(DataFrame.unionByName, at_groups).join(book.select(F.col("n").alias("key"), "name"), "key", "left").select("rule", F.col("name").alias("key")),
+        _mismatch("merge_edges", met.select("round", "parent", "edge_id"), _numbers(stored.merge_edges, "parent", book), "edge_id"),
+        _mismatch("members", members, _numbers(stored.groups, "group_id", book), "node_id"),
+        _mismatch("group_edges", internal_edges(members, edges), _numbers(stored.group_edges, "group_id", book), "edge_id"),
         told("open_edge", live.join(met.select("edge_id"), "edge_id", "left_anti"), "edge_id"),
     ]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [f.select("rule", F.col("key").cast("string").alias("key")) for f in found])
+
+
+_LONGEST = 2**31 - 1
+
+
+def _book(nodes: DataFrame, merges: DataFrame) -> DataFrame:
+    """(name, n, leaf): a number for every name of a merge or node, and whether it is a node's."""
+    name = lambda df, c, leaf: df.select(c.alias("name"), F.lit(leaf).alias("leaf")).filter("name IS NOT NULL")
+    every = name(nodes, F.concat(F.lit("block:"), "id"), True).unionByName(name(merges, F.col("group"), False)).unionByName(name(merges, F.col("parent"), False))
+    return materialize(every.groupBy("name").agg(F.max("leaf").alias("leaf")).select("name", F.monotonically_increasing_id().alias("n"), "leaf"))
+
+
+def _numbers(df: DataFrame, column: str, book: DataFrame) -> DataFrame:
+    """``df`` with the numbers of the names in ``column``; a name that the book does not have stands in ``_other``."""
+    known = book.select(F.col("name").alias(column), "n")
+    rows = df.join(known, column, "left").withColumn("_other", F.when(F.col("n").isNull(), F.col(column)))
+    return rows.withColumn(column, F.col("n")).drop("n")

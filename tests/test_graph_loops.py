@@ -196,6 +196,17 @@ def test_hierarchies_that_are_no_forest(spark, make_nodes, make_edges):
     assert got == [("degree", "group:x"), ("merged_twice", "block:a"), ("order", "group:x"), ("ring", "block:c"), ("ring", "loop")]
 
 
+def test_names_of_groups_do_not_grow_with_the_rounds(spark, make_nodes, make_edges):
+    ids = [f"n{i}" for i in range(40)]
+    h = H.contract_groups(make_nodes(ids), make_edges(list(zip(ids, ids[1:], strict=False))))
+    merges = h.merges.collect()
+    assert max(m.round for m in merges) > 1
+    assert all(m.parent in {f"group:{m.round}:{i}" for i in ids} for m in merges)
+    made = {m.parent for m in merges}
+    assert all(g in made or g in {f"block:{i}" for i in ids} for m in merges for g in (m.group, m.partner) if g)
+    assert {r.group_id for r in h.groups.collect()} == made - {m.group for m in merges}
+
+
 def test_parallel_links_count_each(spark, make_nodes, make_edges):
     h = H.contract_groups(make_nodes(["a", "b"]), make_edges([("a", "b"), ("b", "a"), ("a", "a")]))
     assert {r.degree for r in h.merges.collect()} == {2}
