@@ -171,11 +171,13 @@ class Forest:
             further = state.join(beyond, "top", "left").select(
                 "group", F.coalesce("above", "top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
             )
-            state, step = materialize(further), step * 2
-            open_ = state.filter(F.col("steps") == step).count()
-            if step > 2 * n:
+            state, now = write_table(further, F.count_if(F.col("steps") == 2 * step))
+            step, before, open_ = step * 2, open_, now
+            if open_ == before:
+                # A chain has a group at every depth. If none is as deep as the last step and less deep than this one, all
+                # that are still on their way go round. The last lift has no others either.
+                self.lifts.pop()
                 break
-        # What is still on its way after more steps than there are groups goes round.
         self.rings = state.filter(F.col("steps") >= step).select("group") if open_ else up.filter("false").select("group")
         self.roots = state.join(self.rings, "group", "left_anti").select("group", "top", F.col("steps").alias("depth"))
 

@@ -196,6 +196,18 @@ def test_hierarchies_that_are_no_forest(spark, make_nodes, make_edges):
     assert got == [("degree", "group:x"), ("merged_twice", "block:a"), ("order", "group:x"), ("ring", "block:c"), ("ring", "loop")]
 
 
+def test_rings_end_the_doubling_when_only_they_are_left(spark):
+    """As many lifts as the deepest chain needs, whatever the number of groups in and below rings."""
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(9)]
+    rings = [pair for i in range(200) for pair in ((f"x{i}", f"y{i}"), (f"y{i}", f"x{i}"), (f"below{i}", f"x{i}"))]
+    merges = spark.createDataFrame([(0, g, p) for g, p in chain + rings], "round int, group string, parent string")
+    forest = H.Forest(merges)
+    assert len(forest.lifts) == 4
+    assert {(r.group, r.top, r.depth) for r in forest.roots.collect()} == {(f"c{i}", "c9", 9 - i) for i in range(9)}
+    assert sorted(r.group for r in forest.rings.collect()) == sorted(g for g, _ in rings)
+    assert len(H.Forest(merges.filter("NOT startswith(group, 'c')")).lifts) == 0
+
+
 def test_names_of_groups_do_not_grow_with_the_rounds(spark, make_nodes, make_edges):
     ids = [f"n{i}" for i in range(40)]
     h = H.contract_groups(make_nodes(ids), make_edges(list(zip(ids, ids[1:], strict=False))))
