@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Sequence
-from itertools import filterfalse
+from itertools import compress, count, pairwise
+from operator import not_
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -92,7 +93,9 @@ class PieceEncoder:
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of new pieces: many in one text where fences can stand between them, all others in one batch."""
         found, single = {}, []
-        words = [k for k in new if k.isalpha()]
+        words, others = [], []
+        for key in new:
+            (words if key.isalpha() else others).append(key)
         for at in range(0, len(words), self.together):
             group = words[at:at + self.together]
             raw = self._raw(" " + " ".join(group))
@@ -101,13 +104,12 @@ class PieceEncoder:
             if len(first) != len(group):
                 first = np.concatenate([[0], np.flatnonzero(self.ends[ids])[:-1] + 1])
                 if len(first) != len(group) or not self.ends[ids[-1]]:
-                    continue  # the fences below
-            cuts = [*first.tolist(), len(ids)]
-            found.update((k, raw[4 * a:4 * b]) for k, a, b in zip(group, cuts, cuts[1:], strict=False))
+                    others += group  # the fences below
+                    continue
+            cuts = [*(4 * first).tolist(), len(raw)]
+            found.update(zip(group, [raw[a:b] for a, b in pairwise(cuts)], strict=True))
         fenced = []
-        for key in new:
-            if key in found:
-                continue
+        for key in others:
             piece = piece_text(key)
             if piece[0] in " \n" and piece[-1] not in " \n" and _FENCE not in piece:
                 fenced.append((key, piece))
@@ -133,21 +135,22 @@ class PieceEncoder:
     def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of texts as little-endian unsigned 32-bit integers; null counts as empty."""
         cut = [self._pieces(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for keys in cut:
-            if keys:
-                new.update(filterfalse(self.known.__contains__, keys))
+        # Every piece is looked up once; what is not known then is filled in after it has been learned.
+        got = [list(map(self.known.get, keys)) if keys else [] for keys in cut]
+        gaps = [list(compress(count(), map(not_, ids))) for ids in got]
+        new = {keys[i] for keys, holes in zip(cut, gaps, strict=True) for i in holes}
         if new:
             if len(self.known) + len(new) > self.remember:
+                # What this batch uses of the old table moves into the new one.
                 self.older, self.known = self.known, {}
-                new = set().union(*[c for c in cut if c])
+                self.known.update((k, self.older[k]) for k in set().union(*[c for c in cut if c]) if k in self.older)
             again = {k: self.older[k] for k in new if k in self.older}
             self.known |= again
             self.known |= self._learn([k for k in new if k not in again])
-        out = [
-            self._raw(t) if c is None else b"".join(map(self.known.__getitem__, c))
-            for t, c in zip(texts, cut, strict=True)
-        ]
+            for keys, holes, ids in zip(cut, gaps, got, strict=True):
+                for i in holes:
+                    ids[i] = self.known[keys[i]]
+        out = [self._raw(t) if c is None else b"".join(ids) for t, c, ids in zip(texts, cut, got, strict=True)]
         for key in [k for k in new if len(k) > self.longest]:
             del self.known[key]
         return out

@@ -36,6 +36,35 @@ def test_pieces_give_the_ids_of_whole_texts(path):
         assert [np.frombuffer(x, "<u4").tolist() for x in one.encode_all(group)] == want
 
 
+def test_known_pieces_are_looked_up_once():
+    """Also with a table that turns over between batches, and ids stay those of whole texts."""
+    looked = []
+
+    class Counted(dict):
+        def get(self, key, other=None):
+            looked.append(key)
+            return super().get(key, other)
+
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            looked.append(key)
+            return super().__contains__(key)
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    one, text = PieceEncoder(path), "some words, and some words again"
+    want = [np.array(one.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert one.encode_all([text]) == want
+    one.known = Counted(one.known)
+    assert one.encode_all([text]) == want and len(looked) == 7  # six words and a comma
+    small = PieceEncoder(path, remember=8)
+    texts = ["a b c d e f", "c d x y z", "a b x q r s", "", "a  b", "x y . z"]
+    for batch in (texts, texts[2:], texts[:2], texts[::-1]):
+        assert small.encode_all(batch) == [np.array(small.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_operators_give_the_ids_of_the_tokenizer_as_it_is(path):
     rng, whole = random.Random(5), Tokenizer.from_file(path)
