@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from flowweft.operators import aggregate as A
 from flowweft.operators import validate as V_check
 from flowweft.operators import views as V
-from flowweft.operators.build import END_DETAIL, WARNINGS, Facts, build_document, build_graph
+from flowweft.operators.build import END_DETAIL, WARNINGS, Facts, _spots, build_document, build_graph
 
 
 def facts(spark):
@@ -109,6 +109,25 @@ def test_edges_come_in_build_order_and_the_first_of_equals_stays(spark):
     assert [r.kind for r in edges][-1] == "disposal" and len(place) == len(edges)
 
 
+def test_links_of_an_unknown_instruction_come_before_the_functions_of_turn_0(spark):
+    program = facts(spark)
+    lost = spark.createDataFrame([("gone", 0, "x")], "instr_id string, idx int, value_id string")
+    program.operands = program.operands.unionByName(lost)
+    functions = spark.createDataFrame([("worker", "worker", "m", None, None, -1)], "function string, name string, package string, path string, line int, seq bigint")
+    edges = build_graph(program, functions=functions)[1].orderBy("seq").collect()
+    place = {(r.src, r.dst): r.seq for r in edges}
+    # worker has turn -1, main none: the lost link lies between their bodies.
+    assert place["w0", "w1"] < place["x", "gone"] < place["m0", "m1"] and edges[0].dst == "w0"
+    assert set(edges[0].asDict()) == {"id", "src", "dst", "kind", "label", "type", "seq"}
+
+
+def test_links_carry_one_number_as_their_place(spark):
+    ordered = spark.createDataFrame([("a", "f", 0), ("b", "f", 1), ("c", "g", 0), ("d", None, 0), ("e", "", 0)], "instr_id string, function string, ord bigint")
+    functions = spark.createDataFrame([("f", 5), ("g", 1)], "function string, seq bigint")
+    placed, unknown = _spots(ordered, functions)
+    assert unknown == 0 and {r.instr_id: r.spot for r in placed.collect()} == {"d": 0, "e": 0, "c": 1, "a": 2, "b": 3}
+
+
 def test_document_has_places_projects_directives_and_no_faults(spark):
     program = facts(spark)
     functions = spark.createDataFrame(

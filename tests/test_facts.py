@@ -112,6 +112,22 @@ def test_memory_reaches_the_joint_fixpoint(spark):
     assert {(e.src, e.dst) for e in L.expand_hubs(hubs, edges).collect()} == {("i1", "i2"), ("i3", "i4")}
 
 
+def test_fixpoint_can_leave_out_values_that_stand_for_themselves(spark):
+    """What is left out is its own root or key; payloads that cannot alias and addresses that are no value change nothing."""
+    v = values(spark, [(i, i, "*T", False, i != "a0") for i in ("cell", "p", "q", "pf", "qf", "x", "y", "alone", "a0")])
+    paths = spark.createDataFrame([("pf", "p", ".field0"), ("qf", "q", ".field0"), ("far", "p", ".field1")], "value_id string, base string, step string")
+    ops = spark.createDataFrame([("i1", "store", "cell", "p"), ("i2", "load", "cell", "q"), ("i3", "store", "pf", "x"), ("i4", "load", "qf", "y"),
+                                 ("i5", "store", "alone", "a0"), ("i6", "load", "alone", "x"), ("i7", "load", "far", None), ("i8", "store", "far", "y")],
+                                "instr_id string, rw string, address string, payload string")
+    none = spark.createDataFrame([], "value_a string, value_b string")
+    roots, keys = L.resolve_memory(v, none, paths, ops)
+    few_roots, few_keys = L.resolve_memory(v, none, paths, ops, every=False)
+    assert {tuple(r) for r in few_roots.collect()} == {(r.value_id, r.root) for r in roots.collect() if r.value_id != r.root} == {("q", "p"), ("y", "x")}
+    assert {tuple(r) for r in few_keys.collect()} == {(r.value_id, r.addr_key) for r in keys.collect() if r.value_id != r.addr_key}
+    whole, few = (sorted(map(str, L.memory_edges(ops, k, v)[1].collect())) for k in (keys, few_keys))
+    assert whole == few and whole
+
+
 def test_names_and_end_of_use(spark):
     refs = spark.createDataFrame([("v", "b", 5), ("v", "a", 3), ("v", "b", 1), ("v", "_", 0), ("w", "w", 2)], "value_id string, name string, seq bigint")
     params = spark.createDataFrame([("v", "self", 9)], "value_id string, name string, seq bigint")

@@ -61,3 +61,10 @@ def test_both_neighbours_in_one_ranging(spark, monkeypatch):
     got = {(r.g, r.t): (r.v, r.p, r.pv, r.n, r.nv) for r in both.collect()}
     at = lambda g, t: (t, value[g, t]) if (g, t) in value else (None, None)
     assert got == {(g, t): (v, *at(g, t - 1), *at(g, t + 1)) for g, t, v in rows} and both.count() == len(rows)
+
+
+def test_rows_stay_where_few_groups_hand_on(spark):
+    _, df = _data(spark)
+    for group in ([], ["g"]):
+        plan = number_rows(df, group, [F.col("t")])._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
