@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from flowweft.functions import numbering
-from flowweft.functions.numbering import next_filled, number_rows, running_sum, with_neighbours, with_next, with_previous
+from flowweft.functions.numbering import next_filled, number_rows, running_sum, sum_in_slices, with_neighbours, with_next, with_previous
 from flowweft.runtime import materialize
 
 
@@ -68,3 +68,23 @@ def test_rows_stay_where_few_groups_hand_on(spark):
     for group in ([], ["g"]):
         plan = number_rows(df, group, [F.col("t")])._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_sums_go_on_in_the_slices_of_the_neighbours(spark):
+    rows, df = _data(spark)
+    near = with_neighbours(df, ["g"], [F.col("t")], {"t": "p"}, {"t": "n"}, keep_slices=True)
+    got = sum_in_slices(near.withColumn("one", F.lit(1)), ["g"], "one", "s")
+    assert got.columns == ["g", "t", "v", "p", "n", "one", "s"]
+    want = {(g, t): i + 1 for g, items in _by_group(rows).items() for i, (t, _) in enumerate(items)}
+    assert {(r.g, r.t): r.s for r in got.collect()} == want and got.count() == len(rows)
+
+
+def test_rows_stay_whatever_the_number_of_groups(spark):
+    """Only groups in several slices are handed something; the rows join that without a shuffle, and one window follows."""
+    df = spark.range(20_000).select((F.col("id") % 5_000).alias("g"), "id").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        plan = running_sum(df, ["g"], [F.col("id")], "id", "s")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("hashpartitioning") == 1 and "SortMergeJoin" not in plan
