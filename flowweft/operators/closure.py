@@ -14,29 +14,58 @@ from pyspark.sql import functions as F
 from ..runtime import drop_table, materialize, write_bucketed, write_table
 
 _COMPACT_EVERY = 8
+_HUB_LINKS = 100_000  # of one node in a bucket
 _HOPS = 8  # rounds of plain hops before the rest of a graph is contracted
 _FROM_REACHED = ""  # stands for everything reached; other names start with their direction
 
 
-def _walk(adjacency: DataFrame, seeds: DataFrame, hops: int) -> tuple[DataFrame, bool]:
-    """(dir, at) within ``hops`` of ``seeds``, and whether there may be more."""
+def _walk(links: DataFrame, seeds: DataFrame, hops: int) -> tuple[DataFrame, bool]:
+    """(dir, at) within ``hops`` of ``seeds``, and whether there may be more.
+
+    The links are written once, bucketed by the node they leave, and stay where they are; in a round the frontier goes to them.
+    """
     keys = ["dir", "at"]
     frontier, found = write_table(seeds)
     rounds = [frontier]
+    adjacency, fans, name = _at_origin(links, ["dir", "a"])
     for _ in range(hops):
         if not found:
             break
         seen = reduce(DataFrame.unionByName, rounds)
         step = (
-            adjacency.join(frontier.select("dir", F.col("at").alias("a")), ["dir", "a"], "left_semi")
+            adjacency.join(_spread(frontier.select("dir", F.col("at").alias("a")), fans, ["dir", "a"]), adjacency.columns[:-1], "left_semi")
             .select("dir", F.col("b").alias("at")).distinct().join(seen, keys, "left_anti")
         )
         frontier, found = write_table(step)
         if found:
             rounds.append(frontier)
+    drop_table(seeds.sparkSession, name)
     return reduce(DataFrame.unionByName, rounds), found > 0
 
 
+def _at_origin(links: DataFrame, origin: list[str], hub_links: int = _HUB_LINKS) -> tuple[DataFrame, DataFrame | None, str]:
+    """``links`` bucketed by ``origin``, nodes with more than one bucket (``fan`` more) if any, and the table's name.
+
+    Nodes with more than ``hub_links`` links have them in several buckets, told by ``s``; without such nodes there is no ``s``, as
+    a constant in the key of a join would make the links move.
+    """
+    fans, hubs = write_table(links.groupBy(*origin).agg((F.count(F.lit(1)) / hub_links).cast("int").alias("fan")).filter("fan > 0"))
+    if hubs:
+        part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("fan") + 1).cast("int"), F.lit(0))
+        placed = links.join(fans, origin, "left").select(*origin, part.alias("s"), "b")
+        adjacency, name = write_bucketed(placed, [*origin, "s"])
+        return adjacency, fans, name
+    adjacency, name = write_bucketed(links.select(*origin, "b"), origin)
+    return adjacency, None, name
+
+
+def _spread(ends: DataFrame, fans: DataFrame | None, origin: list[str]) -> DataFrame:
+    """``ends`` (``origin``) once per bucket in which their links lie."""
+    if fans is None:
+        return ends
+    return ends.join(fans, origin, "left").select(*origin, F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(0)))).alias("s"))
+
+
 def _equivalent(live: DataFrame) -> DataFrame:
     """Pairs of names (a, b) of which either both are reached or neither.
 
@@ -122,23 +151,19 @@ def trace(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) ->
         F.struct(F.lit("down").alias("dir"), F.col("src").alias("a"), F.col("dst").alias("b")),
         F.struct(F.lit("up").alias("dir"), F.col("dst").alias("a"), F.col("src").alias("b")),
     ))
-    adjacency = materialize(edges.select(ends.alias("e")).select("e.*").distinct())
+    pairs = materialize(edges.select("src", "dst").distinct())  # half the rows of both ways, which are made as they are read
+    adjacency = pairs.select(ends.alias("e")).select("e.*")
     start = seeds.select("id").distinct().select(F.explode(F.array(F.lit("down"), F.lit("up"))).alias("dir"), F.col("id").alias("at"))
     return reached(adjacency, start, max_rounds).select(F.col("at").alias("id")).distinct()
 
 
 def _hop(adjacency: DataFrame, fans: DataFrame | None, frontier: DataFrame, earlier: list[DataFrame], level: int) -> DataFrame:
     """Neighbours of the frontier that are not among ``earlier``. Only the frontier and its neighbours move."""
-    ends = frontier.select(F.col("at").alias("a"))
-    if fans is None:
-        ends = ends.withColumn("s", F.lit(0))
-    else:
-        ends = ends.join(fans, "a", "left").select("a", F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(0)))).alias("s"))
-    near = adjacency.join(ends, ["a", "s"]).select(F.col("b").alias("at")).distinct()
+    near = adjacency.join(_spread(frontier.select(F.col("at").alias("a")), fans, ["a"]), adjacency.columns[:-1]).select(F.col("b").alias("at")).distinct()
     return near.join(reduce(DataFrame.unionByName, earlier), "at", "left_anti").withColumn("level", F.lit(level))
 
 
-def bfs_levels(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None, hub_links: int = 100_000) -> DataFrame:
+def bfs_levels(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None, hub_links: int = _HUB_LINKS) -> DataFrame:
     """Undirected hop distance (id, level) from the nearest seed; unreachable ids are absent.
 
     The links are written once, bucketed by the node they leave, and stay where they are; in a round the frontier goes to
@@ -151,13 +176,7 @@ def bfs_levels(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None
         F.struct(F.col("dst").alias("a"), F.col("src").alias("b")),
     ))
     pairs = materialize(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(ends.alias("e")).select("e.*").distinct())
-    fans, hubs = write_table(pairs.groupBy("a").agg((F.count(F.lit(1)) / hub_links).cast("int").alias("fan")).filter("fan > 0"))
-    if hubs:
-        part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("fan") + 1).cast("int"), F.lit(0))
-        placed = pairs.join(fans, "a", "left").select("a", part.alias("s"), "b")
-    else:
-        fans, placed = None, pairs.select("a", F.lit(0).alias("s"), "b")
-    adjacency, name = write_bucketed(placed, ["a", "s"])
+    adjacency, fans, name = _at_origin(pairs, ["a"], hub_links)
     frontier, found = write_table(seeds.select(F.col("id").alias("at")).distinct().withColumn("level", F.lit(0)))
     rounds, last, level = [frontier], [frontier.select("at")], 0
     while found:

@@ -275,3 +275,22 @@ def test_descent_to_a_leaf_names_the_junctions_of_the_halving_tree(spark):
     rows = [(n, i) for n in (1, 2, 3, 5, 8, 13, 100) for i in range(n)]
     got = spark.createDataFrame(rows, "n long, leaf long").select("n", "leaf", _descent(F.col("n"), F.col("leaf")).alias("path")).collect()
     assert {(r.n, r.leaf): r.path for r in got} == {(n, i): p for n in {n for n, _ in rows} for i, p in enumerate(paths(n))}
+
+
+def test_a_closure_leaves_its_links_where_they_are(spark):
+    """The links are written by the node they leave, those of hubs in several buckets, and do not move in a round."""
+    rows = [("down", f"n{i % 50}", f"m{i}") for i in range(400)] + [("down", "hub", f"h{i}") for i in range(30)]
+    links = spark.createDataFrame(rows, "dir string, a string, b string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for hub_links, hubs in ((1_000, False), (10, True)):
+            adjacency, fans, name = C._at_origin(links, ["dir", "a"], hub_links)
+            assert (fans is not None) == hubs and {tuple(r) for r in adjacency.select("dir", "a", "b").collect()} == set(rows)
+            ends = C._spread(spark.createDataFrame([("down", "hub"), ("down", "n7")], "dir string, a string"), fans, ["dir", "a"])
+            step = adjacency.join(ends, adjacency.columns[:-1], "left_semi")
+            assert {r.b for r in step.collect()} == {b for _, a, b in rows if a in ("hub", "n7")}
+            scan = step._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "Bucketed: true" in scan
+            C.drop_table(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
